@@ -14,21 +14,24 @@ from pyspark.sql import functions as F
 from ledgerlife.functions import columns as C
 
 
-def b2c_parties(kyc: DataFrame) -> DataFrame:
-    return kyc.filter(F.col("B2C") == "Y").select("party_code").distinct()
+def b2c_only(rows: DataFrame, kyc: DataFrame | None) -> DataFrame:
+    """Rows of B2C parties; without a customer table every row is kept.
 
+    Applied to reduced rows: a customer table too large to broadcast is then
+    joined on the partitioning that the per-party window needs anyway, and no
+    raw trades are shuffled by party. Spark moves the semi join below the
+    aggregation by itself when the customer side can be broadcast.
+    """
+    if kyc is None:
+        return rows
+    return rows.join(kyc.filter(F.col("B2C") == "Y").select("party_code"), "party_code", "left_semi")
 
-def b2c_only(trades: DataFrame, kyc: DataFrame | None) -> DataFrame:
-    """Rows of B2C parties; without a customer table every row is kept."""
-    return trades if kyc is None else trades.join(b2c_parties(kyc), "party_code", "left_semi")
 
-
-def party_days(trades: DataFrame, *aggregates: Column) -> DataFrame:
-    """One row per party and trade day, with optional per-day aggregates."""
+def party_days(trades: DataFrame, *aggregates: Column, kyc: DataFrame | None = None) -> DataFrame:
+    """One row per (B2C) party and trade day, with optional per-day aggregates."""
     keys = ["party_code", "sauda_date"]
-    if not aggregates:
-        return trades.select(*keys).distinct()
-    return trades.groupBy(*keys).agg(*aggregates)
+    reduced = trades.groupBy(*keys).agg(*aggregates) if aggregates else trades.select(*keys).distinct()
+    return b2c_only(reduced, kyc)
 
 
 def by_party() -> Window:

@@ -23,7 +23,7 @@ def first_trade_cohort(trades: DataFrame) -> DataFrame:
 def dormancy_rate(trades: DataFrame, kyc: DataFrame | None, as_of, start, end, dormant_after: int = 60) -> DataFrame:
     """Share of the parties first seen in ``start``..``end`` that are dormant at ``as_of``."""
     as_of = C.as_date(as_of)
-    parties = first_trade_cohort(base.dates_between(base.b2c_only(trades, kyc), last=as_of))
+    parties = base.b2c_only(first_trade_cohort(base.dates_between(trades, last=as_of)), kyc)
     idle = F.datediff(as_of, "last_trade")
     return (
         parties.filter(F.col("first_trade").between(C.as_date(start), C.as_date(end)))
@@ -46,7 +46,7 @@ def dormancy_matrix(
     """
     as_of = [C.as_date(d) for d in as_of_dates]
     latest = max(str(d) for d in as_of_dates)
-    seen = base.dates_between(base.b2c_only(trades, kyc), last=latest)
+    seen = base.dates_between(trades, last=latest)
     day = F.col("sauda_date")
     parties = seen.groupBy("party_code").agg(
         F.min(day).alias("first_trade"),
@@ -58,7 +58,8 @@ def dormancy_matrix(
         start = F.when(hit, C.as_date(low)) if start is None else start.when(hit, C.as_date(low))
         end = F.when(hit, C.as_date(high)) if end is None else end.when(hit, C.as_date(high))
     grouped = (
-        parties.withColumn("cohort_start", start)
+        base.b2c_only(parties, kyc)
+        .withColumn("cohort_start", start)
         .withColumn("cohort_end", end)
         .filter(F.col("cohort_start").isNotNull())
         .groupBy("cohort_start", "cohort_end")

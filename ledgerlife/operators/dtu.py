@@ -22,7 +22,7 @@ def _type_of(age: Column, old_after: int) -> Column:
 
 def daily_users(trades: DataFrame, kyc: DataFrame | None, old_after: int = 90) -> DataFrame:
     """One row per party and trade day with the party's type on that day."""
-    days = base.party_days(base.b2c_only(trades, kyc))
+    days = base.party_days(trades, kyc=kyc)
     first = F.min("sauda_date").over(base.by_party())
     return days.withColumn("customer_type", _type_of(F.datediff("sauda_date", first), old_after))
 
@@ -54,7 +54,7 @@ def dtu_return_rate(trades: DataFrame, kyc: DataFrame | None, days=None, bands:
     """Per day: share of users that trade again in each band of later days."""
     bands = bands or RETURN_BANDS
     seen = base.around(trades, days, 0, max(high for _, high in bands.values()))
-    users = base.party_days(base.b2c_only(seen, kyc)).withColumns(_returns(bands))
+    users = base.party_days(seen, kyc=kyc).withColumns(_returns(bands))
     return (
         base.requested(users, days)
         .groupBy("sauda_date")

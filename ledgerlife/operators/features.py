@@ -55,7 +55,7 @@ def cohort_trade_stats(
 ) -> DataFrame:
     """Trade days, trades, orders and mean turnover over the last ``history`` days of each day's users."""
     seen = base.around(trades, days, history, 0)
-    activity = base.party_days(base.b2c_only(seen, kyc), *_day_totals()).withColumns(_trade_stats(history))
+    activity = base.party_days(seen, *_day_totals(), kyc=kyc).withColumns(_trade_stats(history))
     kept = base.requested(activity, days).filter(_enough(F.col("trade_days_cnt"), min_days, max_days))
     return kept.select(
         "party_code", "sauda_date", "trade_days_cnt", "total_trades", "total_order_count", "avg_investment"
@@ -96,7 +96,7 @@ def next_trade_target(
     ``min_future_days``..``max_future_days``; others get ``default_after``.
     """
     seen = base.around(trades, days, 0, horizon)
-    activity = base.party_days(base.b2c_only(seen, kyc)).withColumns(_next_trade(horizon))
+    activity = base.party_days(seen, kyc=kyc).withColumns(_next_trade(horizon))
     target = _target(horizon, default_after, min_future_days, max_future_days, calendar_days)
     rows = BusinessDays(calendar).attach(base.requested(activity, days))
     return rows.withColumns(target).select("party_code", "sauda_date", "future_days", "next_trade", "inactive_days")
@@ -165,7 +165,7 @@ def next_trade_dataset(
     below four trade days (``max_days=3``) goes without recency features.
     """
     seen = base.around(trades, days, history, horizon)
-    activity = base.party_days(base.b2c_only(seen, kyc), *_day_totals())
+    activity = base.party_days(seen, *_day_totals(), kyc=kyc)
     activity = activity.withColumns(_trade_stats(history) | _next_trade(horizon) | _lagged_days(history))
     rows = base.requested(activity, days).filter(_enough(F.col("trade_days_cnt"), min_days, max_days))
     rows = BusinessDays(calendar).attach(rows)
@@ -201,7 +201,7 @@ def week_cohort(
     """
     first_seen, last_seen = horizon
     seen = base.around(trades, weeks, history, last_seen)
-    activity = base.party_days(base.b2c_only(seen, kyc), *_day_totals())
+    activity = base.party_days(seen, *_day_totals(), kyc=kyc)
     day, week = F.col("sauda_date"), F.col("week_start")
     if weeks is None:
         first_monday = F.next_day(F.date_sub(day, last_seen + 1), "MON")
@@ -339,9 +339,9 @@ def instrument_mix_by_inactivity(
     Only users that return in the horizon count. The instruments of a party-day
     travel through the window as a small array (one entry per instrument code).
     """
-    seen = base.b2c_only(base.around(trades, days, 0, horizon), kyc)
+    seen = base.around(trades, days, 0, horizon)
     per_code = seen.groupBy("party_code", "sauda_date", "INST_TYPE").agg(F.count("*").alias("trades"))
-    activity = base.party_days(per_code, F.collect_list(F.struct("INST_TYPE", "trades")).alias("codes"))
+    activity = base.party_days(per_code, F.collect_list(F.struct("INST_TYPE", "trades")).alias("codes"), kyc=kyc)
     rows = base.requested(activity.withColumns(_next_trade(horizon)), days)
     rows = BusinessDays(calendar).attach(rows.filter(F.col("future_days") >= min_future_days))
     day = F.col("sauda_date")
