@@ -215,11 +215,7 @@ def demographic_features(t):
     return features.demographic_features(t.kyc, t.tiers, "2022-02-03")
 
 
-@query(
-    "next_trade_dataset",
-    with_tables(
-        "purchase_log kyc tiers trading_days",
-        _DTU + _CLOSED + _STATS + _NEXT.format(cond=">= 1") + _RECENCY + _SPANS + """
+_DATASET = """
         SELECT party_code, sauda_date, trade_days_cnt, total_trades, total_order_count,
                round(avg_investment + 1e-9, 6) AS avg_investment, gap_1, gap_2, gap_3, mean_last_3, stddev_last_3,
                next_trade, inactive_days, coalesce(occupation, 'other') AS occupation,
@@ -234,9 +230,17 @@ def demographic_features(t):
         FROM stats JOIN targets USING (party_code, sauda_date) JOIN recency USING (party_code, sauda_date)
         LEFT JOIN client_kyc k USING (party_code) LEFT JOIN city_tier c
           ON upper(substr(k.City, 1, 1)) || lower(substr(k.City, 2)) = c.City AND c.Tier IS NOT NULL
-        WHERE trade_days_cnt >= 4""",
-    ),
-)
+        WHERE trade_days_cnt >= 4"""
+
+
+def next_trade_dataset_sql(query_text: str | None = None) -> str:
+    """SQL of the data set, or of a query over it under the name ``next_trade_rows``."""
+    parts = _DTU + _CLOSED + _STATS + _NEXT.format(cond=">= 1") + _RECENCY + _SPANS
+    body = _DATASET if query_text is None else f",\n    next_trade_rows AS ({_DATASET}),\n    {query_text.strip()}"
+    return with_tables("purchase_log kyc tiers trading_days", parts + body)
+
+
+@query("next_trade_dataset", next_trade_dataset_sql())
 def next_trade_dataset(t):
     trades = t.purchase_log
     rows = features.next_trade_dataset(trades, t.kyc, t.trading_days(trades), t.tiers)
