@@ -53,6 +53,7 @@ def compare(df, con, sql):
     found = con.execute(sql)
     names = [d[0] for d in found.description]
     oracle_columns, oracle_rows = rows_of(names, found.fetchall())
+    compare.rows = len(spark_rows)
     if spark_columns != oracle_columns:
         return f"columns {spark_columns} != {oracle_columns}"
     if len(spark_rows) != len(oracle_rows):
@@ -70,6 +71,9 @@ def compare(df, con, sql):
     return "types " + ", ".join(odd) if odd else ""
 
 
+compare.rows = 0
+
+
 def main() -> int:
     from ledgerlife.plans import ORACLES, QUERIES
 
@@ -90,11 +94,13 @@ def main() -> int:
                 problem = compare(df, con, ORACLES[name])
                 kind = "oracle"
             else:
-                problem, kind = "" if df.count() >= 0 else "no rows", "rows"
+                compare.rows = len(df.collect())
+                problem, kind = "", "rows"
         except Exception as error:  # report and go on with the next query
             problem, kind = f"{type(error).__name__}: {str(error)[:1500]}", "error"
         bad += bool(problem)
-        print(f"{'FAIL' if problem else 'ok  '} {name} [{kind}] {time.time() - started:.1f}s {problem}", flush=True)
+        shown = f"{compare.rows} rows" if kind != "error" else ""
+        print(f"{'FAIL' if problem else 'ok  '} {name} [{kind}] {time.time() - started:.1f}s {shown} {problem}", flush=True)
     print(f"{bad} failing")
     return bad
 
