@@ -74,3 +74,21 @@ def requested(df: DataFrame, days, column: str = "sauda_date") -> DataFrame:
         wanted = days.select(F.col(days.columns[0]).cast("date").alias(column)).distinct()
         return df.join(wanted, column, "left_semi")
     return df.filter(F.col(column).isin([C.as_date(d) for d in days]))
+
+
+def one_per_key(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by an ordering column.
+
+    A min/max-by aggregate, so each task forwards one row per key instead of
+    shuffling and sorting whole groups.
+    """
+    rest = F.struct(*[c for c in df.columns if c not in keys])
+    pick = F.max_by(rest, order) if last else F.min_by(rest, order)
+    return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*")
+
+
+def append_all(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Result frames stacked by column name; columns one lacks are null."""
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlife.operators.survival import chi_square_tail
+from ledgerlife.session import reused
 
 EXACT_TIES = 20_000
 
@@ -148,12 +149,11 @@ def cox_fit(
     """Newton-Raphson on the partial likelihood with Efron's handling of ties."""
     covariates, strata = list(covariates), list(strata)
     needed = [duration, event, *covariates, *strata]
-    patterns = (
+    patterns = reused(
         df.select(*needed)
         .na.drop()
         .groupBy(*strata, F.col(duration).alias("_duration"), F.col(event).alias("_event"), *covariates)
         .agg(F.count("*").alias("_n"))
-        .persist()
     )
     total = F.sum("_n")
     first = patterns.agg(*[(F.sum(F.col(c) * F.col("_n")) / total).alias(f"m{i}") for i, c in enumerate(covariates)]).first()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlife.operators import metrics
+from ledgerlife.session import reused
 
 # Tuned settings of the two classification tasks.
 SETTLE = {
@@ -110,29 +111,31 @@ def boosted_trees(label: str, settings: Mapping, seed: int, classes: int):
     return trainer if classes <= 2 else OneVsRest(labelCol=label, classifier=trainer)
 
 
+def _fit(train: DataFrame, label: str, trainer) -> object:
+    """Fit preprocessing and a classifier on rows that are computed once.
+
+    ``trainer`` gets the materialised rows, of which there is one per party.
+    """
+    rows = reused(labelled(train, label))
+    fitted = Pipeline(stages=preprocessing(rows, label) + [trainer(rows)]).fit(rows)
+    rows.unpersist()
+    return fitted
+
+
 def classify_random_forest(train: DataFrame, label: str, settings: Mapping = SETTLE):
-    rows = labelled(train, label)
-    stages = preprocessing(rows, label)
-    return Pipeline(stages=stages + [random_forest(label, settings["random_forest"], settings["seed"])]).fit(rows)
+    return _fit(train, label, lambda rows: random_forest(label, settings["random_forest"], settings["seed"]))
 
 
 def classify_decision_tree(train: DataFrame, label: str, settings: Mapping = SETTLE):
-    rows = labelled(train, label)
-    stages = preprocessing(rows, label)
-    return Pipeline(stages=stages + [decision_tree(label, settings["decision_tree"], settings["seed"])]).fit(rows)
+    return _fit(train, label, lambda rows: decision_tree(label, settings["decision_tree"], settings["seed"]))
 
 
 def classify_logistic(train: DataFrame, label: str, settings: Mapping = SETTLE):
-    rows = labelled(train, label)
-    stages = preprocessing(rows, label)
-    return Pipeline(stages=stages + [logistic(label, settings["logistic"], rows.count())]).fit(rows)
+    return _fit(train, label, lambda rows: logistic(label, settings["logistic"], rows.count()))
 
 
 def classify_boosted_trees(train: DataFrame, label: str, classes: int, settings: Mapping = SETTLE):
-    rows = labelled(train, label)
-    stages = preprocessing(rows, label)
-    trainer = boosted_trees(label, settings["boosted_trees"], settings["seed"], classes)
-    return Pipeline(stages=stages + [trainer]).fit(rows)
+    return _fit(train, label, lambda rows: boosted_trees(label, settings["boosted_trees"], settings["seed"], classes))
 
 
 def tree_text(model) -> str:
@@ -163,9 +166,9 @@ def score(model, df: DataFrame, classes: int) -> DataFrame:
 
 def evaluate(model, test: DataFrame, label: str, classes: int, prefix: str = "test_") -> DataFrame:
     """One row of overall metrics on a labelled data set."""
-    scored = score(model, labelled(test, label), classes).persist()
+    scored = reused(score(model, labelled(test, label), classes))
     row = metrics.classification_summary(scored, label, "prediction").first().asDict()
-    truth = F.col(f"probability_class_0")
+    truth = F.col("probability_class_0")
     for i in range(1, classes):
         truth = F.when(F.col(label) == i, F.col(f"probability_class_{i}")).otherwise(truth)
     row["log_loss"] = scored.agg(F.avg(-F.log(F.greatest(truth, F.lit(1e-15))))).first()[0]
@@ -182,7 +185,7 @@ def model_search(
     families: Sequence[str] = ("random_forest", "decision_tree", "logistic"), depths: Sequence[int] = (4, 8),
 ):
     """Cross-validated search over model families and tree depths; gives the cross-validation model."""
-    rows = labelled(train, label)
+    rows = reused(labelled(train, label))
     shared, seed = preprocessing(rows, label), settings["seed"]
     candidates: list = []
     if "logistic" in families:
@@ -205,7 +208,9 @@ def model_search(
         parallelism=parallelism,
         seed=seed % 2**31,
     )
-    return search.fit(rows)
+    found = search.fit(rows)
+    rows.unpersist()
+    return found
 
 
 def search_results(spark, fitted) -> DataFrame:
@@ -242,7 +247,10 @@ def next_trade_model(train: DataFrame, trees: int = 100, depth: int = 10, seed:
         VectorAssembler(inputCols=[f"{c}__f" for c in numbers] + [f"{c}__v" for c in text], outputCol="features"),
         RandomForestRegressor(labelCol="inactive_days", numTrees=trees, maxDepth=depth, seed=seed),
     ]
-    return Pipeline(stages=stages).fit(train)
+    rows = reused(train)
+    fitted = Pipeline(stages=stages).fit(rows)
+    rows.unpersist()
+    return fitted
 
 
 def regression_scores(model, df: DataFrame) -> DataFrame:

@@ -61,15 +61,30 @@ def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True, max_
     A null value gives 0 everywhere. A column with more than ``max_values``
     values is refused.
     """
+    seen = values_of(df, columns, max_values)
     for name in columns:
-        found = df.select(name).filter(F.col(name).isNotNull()).distinct().limit(max_values + 1).collect()
-        if len(found) > max_values:
-            raise ValueError(f"{name} has more than {max_values} values")
-        values = sorted(row[0] for row in found)
-        for value in values[1:] if drop_first else values:
-            df = df.withColumn(f"{name}_{value}", F.coalesce((F.col(name) == value).cast("int"), F.lit(0)))
-        df = df.drop(name)
-    return df
+        text = F.col(name).cast("string")
+        for value in seen[name][1:] if drop_first else seen[name]:
+            df = df.withColumn(f"{name}_{value}", F.coalesce((text == value).cast("int"), F.lit(0)))
+    return df.drop(*columns)
+
+
+def values_of(df: DataFrame, columns: Sequence[str], max_values: int) -> dict[str, list[str]]:
+    """Distinct non-null values of each column as text, in value order; one job for all columns.
+
+    Raises when a column has more than ``max_values``.
+    """
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    pairs = long.filter(F.col("value").isNotNull()).distinct().limit(max_values * len(columns) + 1).collect()
+    numeric = {name for name, kind in df.dtypes if kind in ("int", "bigint", "smallint", "double", "float")}
+    found: dict[str, list[str]] = {name: [] for name in columns}
+    for row in pairs:
+        found[row["column"]].append(row["value"])
+    for name, values in found.items():
+        values.sort(key=float if name in numeric else str)
+        if len(values) > max_values or len(pairs) > max_values * len(columns):
+            raise ValueError(f"{name} has too many values to spread over columns")
+    return found
 
 
 def _events(duration: str, event: str) -> list[Column]:

@@ -11,6 +11,7 @@ from ledgerlife.plans.metrics import dataset
 from ledgerlife.plans.registry import query
 from ledgerlife.plans.stages import daily, profile, states
 from ledgerlife.plans.survival import _LABEL, _LONG, long_subjects
+from ledgerlife.session import reused
 from ledgerlife.sources.sample_tables import with_tables
 
 # -- next trade ---------------------------------------------------------------
@@ -213,7 +214,7 @@ STRATUM = f"{_LABEL}_new"
 
 def encoded(t):
     """Survival subjects with 0/1 covariates, as the hazard model takes them."""
-    rows = long_subjects(t).select("tenure", "target", STRATUM, *COVARIATES)
+    rows = reused(long_subjects(t).select("tenure", "target", STRATUM, *COVARIATES))
     return survival.dummies(rows, COVARIATES)
 
 

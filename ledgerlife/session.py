@@ -25,17 +25,22 @@ def local_session(cores: int | str = 8, app: str = "ledgerlife") -> SparkSession
     )
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The folder for reliable checkpoints that the session names, if any."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a
-    fallback is used only where none is set, as in tests.
+
+def reused(df: DataFrame) -> DataFrame:
+    """Materialise a reduced frame that several jobs are going to read.
+
+    Where the session names a checkpoint folder the frame is written there, so
+    a lost executor costs no recomputation of what lies before. Without one
+    (tests, notebooks) it is cached with its lineage.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if folder is None and fallback_dir is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(folder or fallback_dir)
+    folder = checkpoint_folder(spark)
+    if folder is None:
+        return df.persist()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
