@@ -136,11 +136,16 @@ def confusion_matrix(t):
 
 @query(
     "never_predicted",
-    with_tables("order_log daily", _STAGED + " SELECT DISTINCT t AS class FROM staged WHERE t NOT IN (SELECT 2 FROM staged)"),
+    with_tables(
+        "order_log daily",
+        _INTENDED + """,
+        rough AS (SELECT settle_target AS t, CASE WHEN cumulative_trade_days > 3 THEN 2 ELSE 0 END AS p FROM targets)
+        SELECT DISTINCT t AS class FROM rough WHERE t NOT IN (SELECT p FROM rough)""",
+    ),
 )
 def never_predicted(t):
-    rows = targets(t).withColumn("prediction", F.lit(2))
-    return metrics.never_predicted(rows, "settle_target", "prediction")
+    rough = F.when(F.col("cumulative_trade_days") > 3, 2).otherwise(0)
+    return metrics.never_predicted(targets(t).withColumn("prediction", rough), "settle_target", "prediction")
 
 
 @query(
