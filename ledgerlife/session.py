@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,14 +35,14 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
 def reused(df: DataFrame) -> DataFrame:
     """Materialise a reduced frame that several jobs are going to read.
 
-    Where the session names a checkpoint folder the frame is written there, so
-    a lost executor costs no recomputation of what lies before. Without one
-    (tests, notebooks) it is cached with its lineage.
+    Where the session names a checkpoint folder the frame is written there as a
+    table and read back: it is computed once, later jobs prune its columns, and
+    a lost executor costs no recomputation of what lies before. Without a
+    folder it is cached with its lineage.
     """
-    spark = df.sparkSession
-    folder = checkpoint_folder(spark)
+    folder = checkpoint_folder(df.sparkSession)
     if folder is None:
         return df.persist()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/ledgerlife-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
