@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlife.operators.survival import chi_square_tail
+from ledgerlife.operators.survival import chi_square_tail, whole_days
 from ledgerlife.session import reused
 
 EXACT_TIES = 20_000
@@ -150,7 +150,8 @@ def cox_fit(
     covariates, strata = list(covariates), list(strata)
     needed = [duration, event, *covariates, *strata]
     patterns = reused(
-        df.select(*needed)
+        whole_days(df, duration)
+        .select(*needed)
         .na.drop()
         .groupBy(*strata, F.col(duration).alias("_duration"), F.col(event).alias("_event"), *covariates)
         .agg(F.count("*").alias("_n"))

@@ -44,22 +44,36 @@ def daily_order_profile(order_detail: DataFrame, since=None) -> DataFrame:
 
 
 def order_lists(order_detail: DataFrame, since=None) -> DataFrame:
-    """Per order: its asset set and rejection list, blanks removed, with their sizes.
+    """Per party and day: the set of assets and the list of rejections, blanks removed, with their sizes.
 
-    Lists are kept per order, whose line count is bounded; per-day sizes come
-    from ``daily_order_profile``.
+    Repeated rejections are held as (reason, times), so a busy party-day keeps
+    one entry per code and not one per order; they are counted before they are
+    gathered.
     """
-    rows = order_rows(order_detail, since).groupBy("straccountid", "dt", "strguiorgordid").agg(
-        F.collect_set("strsymbolname").alias("assets"), F.collect_list("strrejectionby").alias("rejections")
+    entry = F.array(
+        F.struct(F.lit("asset").alias("kind"), F.col("strsymbolname").alias("value")),
+        F.struct(F.lit("rejection").alias("kind"), F.col("strrejectionby").alias("value")),
     )
-    assets, rejections = C.non_blank(F.col("assets")), C.non_blank(F.col("rejections"))
-    return rows.withColumns(
-        {
-            "assets": F.array_sort(assets),
-            "rejections": F.array_sort(rejections),
-            "assets_cnt": C.item_count(assets),
-            "rejections_cnt": C.item_count(rejections),
-        }
+    counted = (
+        order_rows(order_detail, since)
+        .select(F.col("straccountid").alias("party_id"), F.col("dt").alias("sauda_date2"), F.inline(entry))
+        .groupBy("party_id", "sauda_date2", "kind", "value")
+        .agg(F.count("*").alias("times"))
+    )
+    gathered = counted.groupBy("party_id", "sauda_date2").agg(
+        F.collect_list(F.when(F.col("kind") == "asset", F.col("value"))).alias("assets"),
+        F.collect_list(F.when(F.col("kind") == "rejection", F.struct("value", "times"))).alias("rejections"),
+    )
+    assets = C.non_blank(F.col("assets"))
+    rejections = F.filter("rejections", lambda item: item["value"] != "")
+    times = F.aggregate(rejections, F.lit(0).cast("long"), lambda total, item: total + item["times"])
+    return gathered.select(
+        "party_id",
+        "sauda_date2",
+        F.array_sort(assets).alias("assets"),
+        F.array_sort(rejections).alias("rejections"),
+        C.item_count(assets).alias("underlying_assets_cnt"),
+        times.alias("rejected_by_cnt"),
     )
 
 

@@ -11,6 +11,8 @@ from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlife.operators.survival import whole_days
+
 _erfc = np.vectorize(math.erfc)
 
 
@@ -98,7 +100,8 @@ def parametric_survival(
     Durations must be positive; zero-day rows are left out.
     """
     counts = (
-        df.filter(F.col(duration) > 0)
+        whole_days(df, duration)
+        .filter(F.col(duration) > 0)
         .groupBy(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"))
         .agg(F.count("*").alias("n"))
         .toPandas()

@@ -87,13 +87,25 @@ def values_of(df: DataFrame, columns: Sequence[str], max_values: int) -> dict[st
     return found
 
 
-def _events(duration: str, event: str) -> list[Column]:
-    return [F.count_if(F.col(event) == 1).alias("events"), F.count("*").alias("subjects")]
+def whole_days(df: DataFrame, duration: str) -> DataFrame:
+    """Rows with a duration; refuses durations that are not whole days.
+
+    The curves keep one row per distinct duration in a window, which is bounded
+    only when durations are days.
+    """
+    kind = dict(df.select(duration).dtypes)[duration]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{duration} must be whole days, not {kind}; floor or bin it first")
+    return df.filter(F.col(duration).isNotNull())
 
 
 def at_risk_table(df: DataFrame, duration: str, event: str, by: Sequence[str] = ()) -> DataFrame:
     """Events, censored and at-risk counts per group and distinct duration."""
-    counts = df.filter(F.col(duration).isNotNull()).groupBy(*by, duration).agg(*_events(duration, event))
+    counts = (
+        whole_days(df, duration)
+        .groupBy(*by, duration)
+        .agg(F.count_if(F.col(event) == 1).alias("events"), F.count("*").alias("subjects"))
+    )
     from_here = Window.partitionBy(*by).orderBy(F.desc(duration))
     return counts.select(
         *by,
@@ -165,7 +177,7 @@ def logrank_pairs(df: DataFrame, duration: str, event: str, group: str, max_grou
     if len(found) > max_groups:
         raise ValueError(f"{group} has more than {max_groups} groups")
     groups = sorted(row[0] for row in found)
-    kept = df.filter(F.col(group).isNotNull() & F.col(duration).isNotNull())
+    kept = whole_days(df, duration).filter(F.col(group).isNotNull())
     sums = []
     for i, value in enumerate(groups):
         mine = F.col(group) == value
@@ -226,7 +238,7 @@ def concordance_index(df: DataFrame, duration: str, event: str, score: str, reso
     1-side through running counts over durations. Groups there hold one row per
     day. Scores are read at ``resolution``.
     """
-    rows = df.filter(F.col(duration).isNotNull() & F.col(score).isNotNull())
+    rows = whole_days(df, duration).filter(F.col(score).isNotNull())
     step = F.round(F.col(score) / F.lit(resolution)).cast("long")
     cells = rows.groupBy(step.alias("step"), F.col(duration).alias("day"), (F.col(event) == 1).alias("died")).agg(
         F.count("*").alias("n")

@@ -139,14 +139,15 @@ def inner_and_left_joins(t):
         "event_log kyc",
         """users AS (SELECT DISTINCT party_code, sauda_date FROM trade_log
                      WHERE party_code IN (SELECT party_code FROM client_kyc WHERE B2C = 'Y'))
-        SELECT u.party_code, u.sauda_date, l.INST_TYPE FROM users u
-        LEFT JOIN trade_log l ON u.party_code = l.party_code AND u.sauda_date = l.sauda_date""",
+        SELECT u.party_code, u.sauda_date, l.INST_TYPE, count(*) AS trades FROM users u
+        LEFT JOIN trade_log l ON u.party_code = l.party_code AND u.sauda_date = l.sauda_date
+        GROUP BY u.party_code, u.sauda_date, l.INST_TYPE""",
     ),
 )
 def instruments_of_day_users(t):
     trades = t.event_log
-    users = base.party_days(trades, kyc=t.kyc)
-    return users.join(trades.select("party_code", "sauda_date", "INST_TYPE"), ["party_code", "sauda_date"], "left")
+    codes = trades.groupBy("party_code", "sauda_date", "INST_TYPE").agg(F.count("*").alias("trades"))
+    return base.party_days(trades, kyc=t.kyc).join(codes, ["party_code", "sauda_date"], "left")
 
 
 @query(

@@ -137,18 +137,21 @@ def daily_order_profile(t):
         "order_detail",
         """ord_log AS (SELECT DISTINCT * FROM order_detail),
         lists AS (
-          SELECT straccountid, dt, strguiorgordid,
+          SELECT straccountid, dt,
                  coalesce(list_sort(list(DISTINCT strsymbolname) FILTER (strsymbolname <> '')), []) AS a,
                  coalesce(list_sort(list(strrejectionby) FILTER (strrejectionby <> '')), []) AS r
           FROM ord_log GROUP BY ALL)
-        SELECT straccountid, dt, strguiorgordid, array_to_string(a, ',') AS assets,
-               array_to_string(r, ',') AS rejections, CAST(len(a) AS INTEGER) AS assets_cnt,
-               CAST(len(r) AS INTEGER) AS rejections_cnt FROM lists""",
+        SELECT straccountid AS party_id, dt AS sauda_date2, array_to_string(a, ',') AS assets,
+               array_to_string(r, ',') AS rejections, CAST(len(a) AS INTEGER) AS underlying_assets_cnt,
+               CAST(len(r) AS BIGINT) AS rejected_by_cnt FROM lists""",
     ),
 )
 def order_lists(t):
     lists = orders.order_lists(t.order_detail)
-    return lists.withColumns({c: F.array_join(c, ",") for c in ("assets", "rejections")})
+    spelled = F.flatten(
+        F.transform("rejections", lambda item: F.array_repeat(item["value"], item["times"].cast("int")))
+    )
+    return lists.withColumns({"assets": F.array_join("assets", ","), "rejections": F.array_join(spelled, ",")})
 
 
 _NAMES = ", ".join(orders.COUNTERS)

@@ -146,6 +146,16 @@ def life_table(t):
     return _round(survival.life_table(long_subjects(t), "tenure", "target", 30), 6, "hazard", "cumulative_hazard")
 
 
+def _tail_sql(statistic: str) -> str:
+    """The chi-square tail of ``survival.chi_square_tail`` as SQL text."""
+    root = f"sqrt({statistic} / 2.0)"
+    t = f"(1.0 / (1.0 + 0.5 * {root}))"
+    fit = str(survival.ERFC_FIT[-1])
+    for coefficient in reversed(survival.ERFC_FIT[:-1]):
+        fit = f"({coefficient} + {t} * {fit})"
+    return f"{t} * exp({fit} - {root} * {root})"
+
+
 @query(
     "logrank_pairs",
     with_tables(
@@ -160,22 +170,20 @@ def life_table(t):
                  (SELECT count(*) FROM labelled WHERE g = group_b AND labelled.t >= times.t) AS nb,
                  (SELECT count(*) FROM labelled WHERE g = group_a AND labelled.t = times.t AND e = 1) AS da,
                  (SELECT count(*) FROM labelled WHERE g = group_b AND labelled.t = times.t AND e = 1) AS db
-          FROM times)
-        SELECT group_a, group_b,
-               round(pow(sum(da - (da + db) * na::DOUBLE / (na + nb)), 2)
-                 / sum(CASE WHEN na + nb > 1 THEN na::DOUBLE * nb * (da + db) * (na + nb - da - db)
-                       / ((na + nb)::DOUBLE * (na + nb) * (na + nb - 1)) ELSE 0 END) + 1e-9, 6) AS statistic
-        FROM counts GROUP BY group_a, group_b""",
+          FROM times),
+        tests AS (
+          SELECT group_a, group_b,
+                 pow(sum(da - (da + db) * na::DOUBLE / (na + nb)), 2)
+                   / sum(CASE WHEN na + nb > 1 THEN na::DOUBLE * nb * (da + db) * (na + nb - da - db)
+                         / ((na + nb)::DOUBLE * (na + nb) * (na + nb - 1)) ELSE 0 END) AS statistic
+          FROM counts GROUP BY group_a, group_b)
+        SELECT group_a, group_b, round(statistic + 1e-9, 6) AS statistic,
+               round({_tail_sql("statistic")}, 9) AS p_value FROM tests""",
     ),
 )
 def logrank_pairs(t):
     tests = survival.logrank_pairs(long_subjects(t), "tenure", "target", f"{_LABEL}_new")
-    return _round(tests, 6, "statistic").drop("p_value")
-
-
-@query("logrank_p_values")
-def logrank_p_values(t):
-    return survival.logrank_pairs(long_subjects(t), "tenure", "target", f"{_LABEL}_new")
+    return tests.withColumns({"statistic": F.round(F.col("statistic") + 1e-9, 6), "p_value": F.round("p_value", 9)})
 
 
 def scored_gaps(t):

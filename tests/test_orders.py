@@ -36,10 +36,21 @@ def test_profile_counts_distinct_rows_and_skips_blanks(spark):
 
 
 def test_order_lists_of_nulls_are_empty(spark):
-    detail = lines(spark, [{"strsymbolname": None}, {"strguiorgordid": 2, "strrejectionby": "RMS"}, {"strguiorgordid": 2, "strrejectionby": ""}])
-    rows = {r.strguiorgordid: r for r in orders.order_lists(detail).collect()}
-    assert (rows[1].assets, rows[1].assets_cnt, rows[1].rejections_cnt) == ([], 0, 0)
-    assert (rows[2].assets, rows[2].rejections, rows[2].rejections_cnt) == (["AAA"], ["RMS"], 1)
+    detail = lines(
+        spark,
+        [
+            {"strsymbolname": None},
+            {"straccountid": 2, "strrejectionby": "RMS"},
+            {"straccountid": 2, "strguiorgordid": 2, "strrejectionby": "RMS"},
+            {"straccountid": 2, "strguiorgordid": 3, "strrejectionby": "", "strsymbolname": ""},
+        ],
+    )
+    rows = {r.party_id: r for r in orders.order_lists(detail).collect()}
+    assert (rows[1].assets, rows[1].underlying_assets_cnt, rows[1].rejected_by_cnt) == ([], 0, 0)
+    assert (rows[2].assets, rows[2].underlying_assets_cnt, rows[2].rejected_by_cnt) == (["AAA"], 1, 2)
+    assert [tuple(item) for item in rows[2].rejections] == [("RMS", 2)]
+    sizes = {r.party_id: (r.underlying_assets_cnt, r.rejected_by_cnt) for r in orders.daily_order_profile(detail).collect()}
+    assert sizes == {p: (r.underlying_assets_cnt, r.rejected_by_cnt) for p, r in rows.items()}
 
 
 @pytest.fixture(scope="module")

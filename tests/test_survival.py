@@ -117,3 +117,8 @@ def test_data_set(make):
     every = survival.survival_dataset(daily, kyc, make.tiers([("Pune", "Tier-I")])).collect()
     late = next(r for r in every if str(r.sauda_date) == "2021-11-08")
     assert (late.tenure, late.target) == (113, 0)  # an observed gap above the limit keeps its length
+
+
+def test_durations_must_be_whole_days(spark):
+    with pytest.raises(TypeError):
+        survival.kaplan_meier(spark.createDataFrame([(1.5, 1)], "t double, e int"), "t", "e")
