@@ -8,7 +8,7 @@ in generated code; no join and no shuffle of the fact side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlife.functions import columns as C
@@ -50,13 +50,19 @@ class BusinessDays:
     """Column expressions over one trading calendar."""
 
     def __init__(self, calendar: DataFrame):
-        days = trading_day_list(calendar).agg(
-            F.min("day").alias("first"), F.max("day").alias("last"), F.collect_list("day").alias("days")
+        order = Window.orderBy("day")
+        days = trading_day_list(calendar).select(
+            "day", F.row_number().over(order).alias("rank"), F.lead("day").over(order).alias("next_day")
         )
-        passed = F.transform(
-            F.sequence("first", "last"), lambda day: F.size(F.filter("days", lambda open_day: open_day <= day))
+        # A trading day's rank holds for every day up to the next trading day.
+        held = F.array_repeat("rank", F.coalesce(F.datediff("next_day", "day"), F.lit(1)))
+        folded = days.agg(
+            F.min("day").alias("first"),
+            F.max("day").alias("last"),
+            F.array_sort(F.collect_list(F.struct("day", held.alias("held")))).alias("runs"),
         )
-        self._value = days.select(F.struct("first", "last", passed.alias("passed"))).scalar()
+        passed = F.flatten(F.transform("runs", lambda run: run["held"]))
+        self._value = folded.select(F.struct("first", "last", passed.alias("passed"))).scalar()
 
     def attach(self, df: DataFrame, name: str = "_calendar") -> DataFrame:
         """Add the calendar value as a column, to be used by the methods below and dropped."""

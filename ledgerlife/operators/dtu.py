@@ -23,7 +23,7 @@ def _type_of(age: Column, old_after: int) -> Column:
 def daily_users(trades: DataFrame, kyc: DataFrame | None, old_after: int = 90) -> DataFrame:
     """One row per party and trade day with the party's type on that day."""
     days = base.party_days(trades, kyc=kyc)
-    first = F.min("sauda_date").over(base.by_party())
+    first = F.min("sauda_date").over(base.in_day_order())  # same order as the range frames: one sort
     return days.withColumn("customer_type", _type_of(F.datediff("sauda_date", first), old_after))
 
 

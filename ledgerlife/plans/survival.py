@@ -211,7 +211,7 @@ _SCORED = """scored AS (
     with_tables(
         "order_log daily",
         _SCORED + """,
-        cells AS (SELECT tenure AS t, target AS e, round(expected / 1e-4) AS s, count(*) AS n FROM scored GROUP BY ALL),
+        cells AS (SELECT tenure AS t, target AS e, round(expected / 1e-2) AS s, count(*) AS n FROM scored GROUP BY ALL),
         pairs AS (
           SELECT CAST(sum(CASE WHEN a.s < b.s THEN a.n * b.n END) AS BIGINT) AS concordant,
                  CAST(sum(CASE WHEN a.s > b.s THEN a.n * b.n END) AS BIGINT) AS discordant,
@@ -224,7 +224,7 @@ _SCORED = """scored AS (
     ),
 )
 def concordance_index(t):
-    index = survival.concordance_index(scored_gaps(t), "tenure", "target", "expected", resolution=1e-4)
+    index = survival.concordance_index(scored_gaps(t), "tenure", "target", "expected", resolution=1e-2)
     return index.withColumn("concordance_index", F.round("concordance_index", 6))
 
 

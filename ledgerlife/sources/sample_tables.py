@@ -31,9 +31,13 @@ class SampleTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._scans: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A lazy scan; the file footer is read once per table for its schema."""
+        if name not in self._scans:
+            self._scans[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._scans[name]
 
     @property
     def order_log(self) -> DataFrame:
