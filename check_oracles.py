@@ -1,6 +1,6 @@
 """Run registered queries beside their SQL oracles and report differences.
 
-    python check_oracles.py [--sf 0.01] [name ...]
+    python check_oracles.py [--sf 0.01] [--exact] [name ...]
 """
 
 from __future__ import annotations
@@ -26,19 +26,22 @@ def connect(folder: str):
     return con
 
 
+DIGITS = 9  # significant digits compared; --exact compares doubles bit for bit
+
+
 def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, bool):
         return value
     if isinstance(value, float):
-        return float(f"{value:.9g}")
+        return float(f"{value:.{DIGITS}g}")
     if hasattr(value, "isoformat"):
         return value.isoformat()[:10]
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     if type(value).__name__ == "Decimal":
-        return float(f"{float(value):.9g}")
+        return float(f"{float(value):.{DIGITS}g}")
     return value
 
 
@@ -79,8 +82,12 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--exact", action="store_true")
     parser.add_argument("names", nargs="*")
     options = parser.parse_args()
+    if options.exact:
+        global DIGITS
+        DIGITS = 17
     folder = f"/root/testdata/sf{options.sf}"
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")

@@ -91,3 +91,30 @@ def test_next_trade_model_fits_on_training_rows_only(spark):
     scored = models.regression_scores(model, test)
     assert scored.columns == [*train.columns, "prediction"] and scored.filter("prediction is null").isEmpty()
     assert scored.first().prediction == pytest.approx(3.0, abs=1.5)
+
+
+def test_preprocessing_fills_encodes_and_standardises(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    train = spark.createDataFrame(
+        [("a", True, 1.0, 0), ("b", True, None, 1), ("a", False, 4.0, 0), (None, None, 1.0, 1)],
+        "kind string, flag boolean, amount double, y int",
+    )
+    fitted = Pipeline(stages=models.preprocessing(train, "y")).fit(train)
+    raw = [r[0] for r in fitted.transform(train).select(vector_to_array("raw_features")).collect()]
+    # kind = a, kind = b, amount with the mean for the gap, flag one-hot with the mode for the gap
+    assert [r[:3] for r in raw] == [[1, 0, 1], [0, 1, 2], [1, 0, 4], [0, 0, 1]]
+    assert [r[3:5] for r in raw] == [[0, 1], [0, 1], [1, 0], [0, 1]]
+    scaled = [r[0] for r in fitted.transform(train).select(vector_to_array("features")).collect()]
+    amounts = [r[2] for r in scaled]
+    assert sum(amounts) == pytest.approx(0) and sum(a * a for a in amounts) / 3 == pytest.approx(1)
+
+
+def test_models_are_saved_and_loaded(rows, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    model = models.classify_decision_tree(rows, "y", SMALL)
+    model.write().overwrite().save(f"{tmp_path}/tree")
+    again = PipelineModel.load(f"{tmp_path}/tree")
+    assert models.score(again, rows, 3).exceptAll(models.score(model, rows, 3)).isEmpty()
