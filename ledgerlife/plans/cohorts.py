@@ -6,7 +6,7 @@ import calendar as month_lengths
 
 from pyspark.sql import functions as F
 
-from ledgerlife.operators import calendar, cohorts, dtu
+from ledgerlife.operators import base, calendar, cohorts, dtu
 from ledgerlife.plans.registry import query
 from ledgerlife.sources.sample_tables import with_tables
 
@@ -217,8 +217,6 @@ def trade_day_count_mix_sparse(t):
     ),
 )
 def business_days_between(t):
-    from ledgerlife.operators import base
-
     trades = t.order_log
     gaps = base.party_days(trades).withColumn("prev_date", F.lag("sauda_date").over(base.in_day_order()))
     gaps = gaps.filter(F.col("prev_date").isNotNull())

@@ -73,9 +73,6 @@ def _mart(t, start, end):
     return orders.customer_feature_mart(targets, t.order_log, profile(t), t.kyc, "2022-02-03")
 
 
-TRAIN, TEST = ("1995-01-01", "1998-12-31"), ("1999-01-01", "2001-08-01")
-
-
 def settle_sets(t):
     """First-trade rows of two date ranges, both built by the same function."""
     early, late = _mart(t, "1995-01-01", "1995-12-31"), _mart(t, "1996-01-01", "2001-08-01")
@@ -83,7 +80,7 @@ def settle_sets(t):
 
 
 def frequent_sets(t):
-    early, late = _mart(t, *("1995-01-01", "1996-12-31")), _mart(t, *("1997-01-01", "2001-08-01"))
+    early, late = _mart(t, "1995-01-01", "1996-12-31"), _mart(t, "1997-01-01", "2001-08-01")
     return orders.frequent_dataset(early, t.tiers), orders.frequent_dataset(late, t.tiers)
 
 
