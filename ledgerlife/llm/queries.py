@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlife.llm import byte_bpe, language_id, mixing, secret_scan, simhash, token_store
-from ledgerlife.llm.common import new_path, table
+from ledgerlife.llm import byte_bpe, hamming_search, language_id, line_quality, mixing, secret_scan, simhash, token_store, toxicity, wrappers
+from ledgerlife.llm.common import new_path, stored, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+DIMS = 64
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +21,18 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document, lines judged over all documents of its source."""
+    return line_quality.judge(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op3_hamming_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest sign codes of every 50th vector among all vectors."""
+    vectors = table(spark, folder, "embeddings")
+    codes = stored(hamming_search.sign_codes(vectors, "embedding", dims=DIMS).select(F.col("vec_id").alias("id"), "code"), "signs")
+    return hamming_search.top_k(codes, codes.filter("id % 50 = 0"), DIMS, 10)
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of each document."""
     plan = mixing.plan(table(spark, folder, "documents"))
@@ -35,6 +48,12 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = wrappers.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_token_store(spark: SparkSession, folder: str) -> DataFrame:
     """Write the ids of all documents as a store and read every one back through its key index."""
     path = new_path(spark, "store")
@@ -51,6 +70,15 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "language", F.round("probability", 6).alias("probability"), F.col("recognised").alias("kept"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out quarter."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every document."""
     found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
@@ -62,9 +90,16 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_simhash, op4_mixing, op5_byte_bpe, op7_token_store, op8_language_id, op10_secret_scan)}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_simhash, op2_line_quality, op3_hamming_search, op4_mixing, op5_byte_bpe, op6_wrappers, op7_token_store, op8_language_id, op9_toxicity,
+        op10_secret_scan,
+    )
+}
 
 ORACLES = {
+    "op2_line_quality": line_quality.ORACLE,
     "op4_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS rank,
