@@ -42,7 +42,7 @@ LATER = (
 
 
 #: Bytes of text in a block.
-BLOCK = 12_000_000
+BLOCK = 5_000_000
 
 
 class Vocabulary:
