@@ -214,7 +214,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", into:
 
     ``path`` is a rank file that every executor can read and ``pattern`` cuts
     texts into pieces, which are encoded separately, without special tokens.
-    A null or empty text has empty ids. ``into`` must not be a column already.
+    A null or empty text has empty ids. A column named ``into`` is replaced.
     """
 
     def make(texts: list) -> list:

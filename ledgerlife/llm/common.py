@@ -89,18 +89,28 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     }[type(kind)]
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Working names that are no columns yet: each name, with underscores before it as needed."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mapped(df: DataFrame, text_col: str, added: list[T.StructField], make: Callable[[list], list], most: int = 4_000_000) -> DataFrame:
     """Add columns computed from one text column, batch by batch.
 
     ``make`` gets a list with the texts of a part of a batch (None for null)
     and returns one list or Arrow array for each added column. Parts hold
     about ``most`` bytes, so memory doesn't grow with batches of long texts.
-    Added names must not be columns already.
+    A column that has the name of an added one already is replaced.
     """
-    clash = sorted({f.name.lower() for f in added} & {c.lower() for c in df.columns})
-    if clash:
-        raise ValueError(f"columns exist already: {clash}")
-    schema = T.StructType(df.schema.fields + added)
+    new = {f.name.lower() for f in added}
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in new]
+    schema = T.StructType([df.schema.fields[i] for i in kept] + added)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +118,7 @@ def mapped(df: DataFrame, text_col: str, added: list[T.StructField], make: Calla
         for whole in batches:
             for batch in parts(whole, at, most):
                 made = make(batch.column(at).to_pylist())
-                columns = list(batch.columns)
+                columns = [batch.column(i) for i in kept]
                 columns += [values if isinstance(values, pa.Array) else pa.array(values, kind) for kind, values in zip(kinds, made, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlife.llm.common import mapped, stored
+from ledgerlife.llm.common import free, mapped, stored
 
 #: Trigram classes, and languages that a model holds at most (the most frequent ones).
 CLASSES, LANGUAGES = 1 << 14, 64
@@ -101,14 +101,14 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", key: str
     return Model(languages, np.log(table / table.sum(axis=0)))
 
 
-def evidence(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``_evidence``: log scores by language, letters, and the number of the best language (null without letters)."""
+def evidence(df: DataFrame, model: Model, text_col: str, into: str) -> DataFrame:
+    """Add a column of log scores by language, letters, and the number of the best language (null without letters)."""
 
     def make(texts: list) -> list:
         made = [model.text_scores(t) for t in texts]
         return [[{"logs": logs, "letters": n, "guess": int(np.argmax(logs)) if logs and n >= LETTERS else None} for logs, n in made]]
 
-    return mapped(df, text_col, [T.StructField("_evidence", EVIDENCE_TYPE)], make)
+    return mapped(df, text_col, [T.StructField(into, EVIDENCE_TYPE)], make)
 
 
 EVIDENCE_TYPE = T.StructType(
@@ -120,7 +120,7 @@ def levels(host_col: str | None = None, url_col: str | None = None, declared_col
     """Keys of the evidence beside the text, null where a row has none."""
     keys = {}
     if url_col is not None:
-        host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+        host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
         keys = {"_host": host, "_site": F.substring_index(host, ".", -2), "_suffix": F.substring_index(host, ".", -1)}
     elif host_col is not None:
         keys = {"_host": F.col(host_col).cast("string"), "_site": F.lit("")}
@@ -160,34 +160,36 @@ def priors(keyed: DataFrame, model: Model) -> dict[str, DataFrame]:
     return {name: stored(rows, "priors") for name, rows in out.items()} | {"": keyed.sparkSession.createDataFrame([([float(np.log((x + 1.0) / (sum(overall) + k))) for x in overall],)], "log array<double>")}
 
 
-def fuse(scored: DataFrame, tables: dict[str, DataFrame], model: Model, least: float) -> DataFrame:
-    """Combine the evidence of rows that have ``_evidence`` and the key columns; both are dropped.
+def fuse(scored: DataFrame, proof: str, tables: dict[str, DataFrame], keys: dict[str, str], model: Model, least: float) -> DataFrame:
+    """Combine the evidence column ``proof`` with that of the key columns; all of these are dropped.
 
     Tables of keys are joined, broadcast only where Spark finds them small.
     """
-    names, own = F.lit(model.languages), [c for c in scored.columns if c != "_evidence" and c not in tables]
-    own = [c for c in own if c != "_site"]
-    out, logs = scored, F.col("_evidence.logs")
+    own = [c for c in scored.columns if c != proof and c not in keys.values()]
+    names = F.lit(model.languages)
     base = [float(x) for x in tables[""].first()["log"]]
-    for name in (n for n in ("_host", "_suffix", "_declared") if n in tables):
-        out = out.join(tables[name].withColumnRenamed("log", f"_log{name}"), name, "left")
-        missing = F.lit(base) if name == "_host" else F.lit([0.0] * len(base))
-        logs = F.zip_with(logs, F.coalesce(f"_log{name}", missing), lambda a, b: a + b)
+    letters, logs_name, *log_names = free(scored.columns, "_letters", "_logs", "_log_host", "_log_suffix", "_log_declared")
+    out, logs = scored, F.col(f"{proof}.logs")
+    for name, log in zip(("_host", "_suffix", "_declared"), log_names):
+        if name in tables:
+            out = out.join(tables[name].select(F.col(name).alias(keys[name]), F.col("log").alias(log)), keys[name], "left")
+            missing = F.lit(base) if name == "_host" else F.lit([0.0] * len(base))
+            logs = F.zip_with(logs, F.coalesce(log, missing), lambda a, b: a + b)
     if "_host" not in tables:
         logs = F.zip_with(logs, F.lit(base), lambda a, b: a + b)
-    out = out.select(*own, F.col("_evidence.letters").alias("_letters"), logs.alias("_logs"))
-    top = F.array_max("_logs")
-    whole = F.aggregate(F.transform("_logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    best = F.element_at(names, F.array_position("_logs", top).cast("int"))
-    out = out.select(*own, "_letters", best.alias("language"), (F.lit(1.0) / whole).alias("probability"))
-    return out.select(*own, "language", "probability", ((F.col("_letters") >= LETTERS) & (F.col("probability") >= least)).alias("recognised"))
+    out = out.select(*own, F.col(f"{proof}.letters").alias(letters), logs.alias(logs_name))
+    top = F.array_max(logs_name)
+    whole = F.aggregate(F.transform(logs_name, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
+    best = F.element_at(names, F.array_position(logs_name, top).cast("int"))
+    out = out.select(*own, letters, best.alias("language"), (F.lit(1.0) / whole).alias("probability"))
+    return out.select(*own, "language", "probability", ((F.col(letters) >= LETTERS) & (F.col("probability") >= least)).alias("recognised"))
 
 
 def identify(
     df: DataFrame, model: Model, text_col: str = "text", host_col: str | None = None, url_col: str | None = None,
     declared_col: str | None = None, least: float = 0.5, keep_text: bool = True,
 ) -> DataFrame:
-    """Add ``language``, ``probability`` and ``recognised`` to every row.
+    """Add ``language``, ``probability`` and ``recognised`` to every row; columns of these names are replaced.
 
     ``host_col`` names the host; with ``url_col`` host, site and suffix are cut
     from the address. A document is recognised if its text has at least
@@ -201,18 +203,17 @@ def identify(
     the rows, which spares writing them; without it the text column is left
     out and texts are scored once.
     """
-    keys = levels(host_col, url_col, declared_col)
-    taken = {"language", "probability", "recognised", "_evidence", "_letters", "_logs", "_host", "_site", "_suffix", "_declared"} & set(df.columns)
-    if taken:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
-    own = [c for c in df.columns if keep_text or c != text_col]
+    columns = levels(host_col, url_col, declared_col)
+    own = [c for c in df.columns if c.lower() not in ("language", "probability", "recognised") and (keep_text or c != text_col)]
     if not model.languages:
         return df.select(*own, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("recognised"))
-    scored = evidence(df, model, text_col).select(*own, "_evidence", *(c.alias(n) for n, c in keys.items()))
+    proof, *free_names = free(df.columns, "_evidence", *columns)
+    keys = dict(zip(columns, free_names))
+    scored = evidence(df, model, text_col, proof).select(*own, proof, *(c.alias(keys[n]) for n, c in columns.items()))
     if not keep_text:
         scored = stored(scored, "evidence")
-        keyed = scored.select(*keys, F.col("_evidence.guess").alias("guess"))
+        counted = scored.select(*(F.col(keys[n]).alias(n) for n in columns), F.col(f"{proof}.guess").alias("guess"))
     else:
         used = {c for c in (text_col, host_col, url_col, declared_col) if c is not None}
-        keyed = evidence(df.select(*used), model, text_col).select(*(c.alias(n) for n, c in keys.items()), F.col("_evidence.guess").alias("guess"))
-    return fuse(scored, priors(keyed, model), model, least)
+        counted = evidence(df.select(*used), model, text_col, proof).select(*(c.alias(n) for n, c in columns.items()), F.col(f"{proof}.guess").alias("guess"))
+    return fuse(scored, proof, priors(counted, model), keys, model, least)

@@ -108,7 +108,7 @@ WITH docs AS (
   SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
 worded AS (
   SELECT row, generate_subscripts(w, 1) AS i, unnest(w) AS word
-  FROM (SELECT row, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM docs)),
+  FROM (SELECT row, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM docs)),
 windows AS (
   SELECT row, i, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(word, 2) OVER o || chr(10) || lead(word, 3) OVER o || chr(10) || lead(word, 4) OVER o AS five
   FROM worded WINDOW o AS (PARTITION BY row ORDER BY i)),
@@ -125,7 +125,7 @@ sized AS (SELECT *, len(string_split(line, ' ')) AS n, count(*) OVER (PARTITION
 left_over AS (
   SELECT row, CAST(sum(n) AS BIGINT) AS line_words, CAST(sum(CASE WHEN docs > 20 THEN n ELSE 0 END) AS BIGINT) AS removed_words FROM sized GROUP BY row),
 plain AS (
-  SELECT row, list_filter(string_split(text, chr(10)), x -> regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') <> '') AS l FROM docs),
+  SELECT row, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') <> '') AS l FROM docs),
 counted AS (
   SELECT d.row, d.doc_id,
     CAST((SELECT count(*) FROM worded w WHERE w.row = d.row) AS BIGINT) AS n_words,

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlife.llm.common import stored, word_count, words
+from ledgerlife.llm.common import free, stored, word_count, words
 
 #: Documents of a range on average.
 RANGE = 4096
@@ -99,23 +99,19 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text_col: st
     Whole copies are unchanged; the one document of a source in which the cut
     falls ends after the last word taken. Rows of which no word is taken go.
     """
-    on = ["_key", "_nokey", "_tie", "_source", "_nosource"]
-    names = {"_size", "_taken", "_part", *on} & set(df.columns)
-    if names:
-        raise ValueError(f"columns exist already: {sorted(names)}")
+    size, words_taken, part, *on = free(df.columns, "_size", "_taken", "_part", "_key", "_nokey", "_tie", "_source", "_nosource")
 
     def identity(k: str, s: str, tie: Column) -> list[Column]:
-        return [
-            F.coalesce(F.col(k), F.lit(0)).alias("_key"), F.col(k).isNull().alias("_nokey"), tie.alias("_tie"),
-            F.coalesce(F.col(s), F.lit("")).alias("_source"), F.col(s).isNull().alias("_nosource"),
-        ]
+        columns = [F.coalesce(F.col(k), F.lit(0)), F.col(k).isNull(), tie, F.coalesce(F.col(s), F.lit("")), F.col(s).isNull()]
+        return [c.alias(n) for c, n in zip(columns, on)]
 
     # Rows that repeat a key and text are alike, so their takes are added up and dealt out as copies.
     told = plan(df, key, source, text_col).filter("taken > 0").groupBy(*identity("key", "source", F.col("tie")))
-    told = told.agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    told = told.agg(F.sum("taken").alias(words_taken), F.max("size").alias(size))
     lone = df.select("*", *identity(key, source, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))).dropDuplicates(on)
     joined = lone.join(told, on)
-    copies = F.expr("transform(sequence(1, cast(ceil(_taken / _size) as int)), i -> least(_size, _taken - (i - 1) * _size))")
-    out = joined.withColumn("_part", F.explode(copies))
-    text = F.when(F.col("_part") == F.col("_size"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_part")))
+    n = F.ceil(F.col(words_taken) / F.col(size)).cast("int")
+    copies = F.transform(F.sequence(F.lit(1), n), lambda i: F.least(F.col(size), F.col(words_taken) - (i - 1) * F.col(size)))
+    out = joined.withColumn(part, F.explode(copies))
+    text = F.when(F.col(part) == F.col(size), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col(part)))
     return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in df.columns))

@@ -103,7 +103,7 @@ ORACLES = {
     "op4_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS rank,
-    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT) AS size
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
   FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 turns AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM sums),

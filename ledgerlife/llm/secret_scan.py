@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlife.llm.common import mapped
+from ledgerlife.llm.common import free, mapped
 
 # The plain patterns, in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -138,7 +138,7 @@ def scan(df: DataFrame, text_col: str = "text", into: str = "secrets") -> DataFr
     """Add an array of (kind, start, end) of each whole text; null and empty texts have none.
 
     Texts are scanned one by one, without a shuffle; repeated rows are scanned
-    alike. ``into`` must not be a column already.
+    alike. A column named ``into`` is replaced.
     """
 
     def make(texts: list) -> list:
@@ -158,8 +158,9 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> Dat
             at = max(at, b)
         return text if not out else "".join(out) + text[at:]
 
-    made = mapped(df, text_col, [T.StructField("_redacted", T.StringType())], lambda texts: [[clean(t) for t in texts]])
-    return made.select(*(F.col("_redacted").alias(c) if c == text_col else F.col(c) for c in df.columns))
+    (into,) = free(df.columns, "_redacted")
+    made = mapped(df, text_col, [T.StructField(into, T.StringType())], lambda texts: [[clean(t) for t in texts]])
+    return made.select(*(F.col(into).alias(c) if c == text_col else F.col(c) for c in df.columns))
 
 
 def joined(secrets: str = "secrets", kinds: tuple[str, ...] = KINDS):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlife.llm.common import mapped, stored
+from ledgerlife.llm.common import free, mapped, stored
 from ledgerlife.llm.components import components
 
 SEGMENTS, BITS = 16, 4
@@ -92,9 +92,9 @@ def classes(df: DataFrame, key: str = "doc_id", fp: str = "fingerprint") -> Data
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Key, fingerprint (long) and component_id of every row; repeated rows are in one class."""
-    slim = df.select(F.col(key), F.col(text_col).alias("_text"))
-    slim = stored(fingerprints(slim, "_text").drop("_text"), "fingerprints")
-    return slim.join(classes(slim, key), "fingerprint").select(key, "fingerprint", "component_id")
+    slim = df.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
+    slim = stored(fingerprints(slim).drop("text"), "fingerprints")
+    return slim.join(classes(slim, "key"), "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,14 +102,12 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> D
 
     Rows without a key come after all others. Of rows that repeat key and text one stays.
     """
-    names = [c for c in ("_key", "_null", "_hash", "_text") if c in df.columns]
-    if names:
-        raise ValueError(f"columns exist already: {names}")
-    mark = [F.coalesce(F.col(key), F.lit(0)).alias("_key"), F.col(key).isNull().alias("_null"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash")]
-    slim = df.select(F.col(key).alias("key"), *mark, F.col(text_col).alias("_text"))
-    slim = stored(fingerprints(slim, "_text").drop("_text"), "fingerprints")
-    prints = slim.groupBy("fingerprint").agg(F.min(F.struct("_null", "_key", "_hash")).alias("best"))
+    names = free(df.columns, "_null", "_key", "_hash")
+    mark = [F.col(key).isNull(), F.coalesce(F.col(key), F.lit(0)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    mark = [c.alias(n) for c, n in zip(mark, names)]
+    slim = stored(fingerprints(df.select(*mark, F.col(text_col).alias("text"))).drop("text"), "fingerprints")
+    prints = slim.groupBy("fingerprint").agg(F.min(F.struct(*names)).alias("best"))
     roots = components(links(prints.select(F.col("fingerprint").alias("fp")))).select(F.col("node").alias("fingerprint"), "root")
     grouped = prints.join(roots, "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("best").alias("best"))
     kept = grouped.select("best.*").distinct()
-    return df.select("*", *mark).join(kept, ["_null", "_key", "_hash"], "left_semi").dropDuplicates(["_null", "_key", "_hash"]).drop("_null", "_key", "_hash")
+    return df.select("*", *mark).join(kept, names, "left_semi").dropDuplicates(names).drop(*names)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlife.llm.common import mapped, stored
+from ledgerlife.llm.common import free, mapped, stored
 
 #: A small fixed lexicon of insults in four languages.
 INSULTS = frozenset(
@@ -204,18 +204,18 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text_col:
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Replace the text by ``score``, 0 to 1, higher where toxicity is likelier; every row keeps its other columns.
 
-    Null and empty texts are scored by their zero features.
+    Null and empty texts are scored by their zero features. A column named ``score`` is replaced.
     """
-    if {"features", "score", "raw"} & set(df.columns):
-        raise ValueError("columns features, score and raw must be free")
-    own = [c for c in df.columns if c != text_col]
+    own = [c for c in df.columns if c != text_col and c.lower() != "score"]
     if model.trees is None:
         return df.select(*own, F.lit(model.constant).alias("score"))
-    found = with_features(df, model.lexicon, text_col).drop(text_col).withColumn("features", array_to_vector("features"))
-    trees = model.trees.copy().setPredictionCol("_class").setProbabilityCol("_chances").setRawPredictionCol("_raw")
-    found = trees.transform(found).select(*own, vector_to_array("_raw")[1].alias("raw"))
+    features, kind, chances, margin, raw, level = free(df.columns, "_features", "_class", "_chances", "_margin", "_raw", "_level")
+    found = with_features(df, model.lexicon, text_col, features).select(*own, array_to_vector(features).alias(features))
+    trees = model.trees.copy().setFeaturesCol(features).setPredictionCol(kind).setProbabilityCol(chances).setRawPredictionCol(margin)
+    found = trees.transform(found).select(*own, vector_to_array(margin)[1].alias(raw))
+    fine = 1 / (1 + F.exp(-2 * F.col(raw)))
     if model.levels is None:
-        return found.select(*own, (1 / (1 + F.exp(-2 * F.col("raw")))).alias("score"))
+        return found.select(*own, fine.alias("score"))
     # Calibrated levels are steps; a thousandth of the uncalibrated chance keeps the order within a step.
-    fine = 1 / (1 + F.exp(-2 * F.col("raw")))
-    return model.levels.transform(found).select(*own, (0.999 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))) + 0.001 * fine).alias("score"))
+    found = model.levels.copy().setFeaturesCol(raw).setPredictionCol(level).transform(found)
+    return found.select(*own, (0.999 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(level))) + 0.001 * fine).alias("score"))

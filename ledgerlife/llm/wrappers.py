@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlife.llm.common import mapped, stored
+from ledgerlife.llm.common import free, mapped, stored
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = ("script", "style", "template", "noscript", "textarea", "title", "svg", "iframe", "object", "math")
@@ -425,25 +425,23 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", into
     Rules are joined by host, broadcast only where Spark finds them small. Pages
     that repeat are treated alike; malformed markup is read as far as it goes.
     """
-    taken = {"_host", "_rules", into} & set(pages.columns)
-    if taken:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
-
     def told(rows: list) -> list:
         made = [rules(unpacked(json.loads(w))) for w in rows]
         return [[json.dumps(r, ensure_ascii=False) if r else None for r in made]]
 
     known = mapped(infer(pages, url_col, html_col), "wrapper", [T.StructField("_rules", T.StringType())], told).drop("wrapper")
-    known = stored(known.filter("_rules is not null").withColumnRenamed("host", "_host"), "rules")
+    host_name, rules_name = free(pages.columns, "_host", "_rules")
+    known = stored(known.filter("_rules is not null").select(F.col("host").alias(host_name), F.col("_rules").alias(rules_name)), "rules")
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), HOST, 1), F.lit("")))
-    joined = pages.withColumn("_host", host).join(known, "_host", "left").drop("_host")
-    return _extracted(joined, html_col, into)
+    joined = pages.withColumn(host_name, host).join(known, host_name, "left").drop(host_name)
+    return _extracted(joined, html_col, rules_name, into)
 
 
-def _extracted(df: DataFrame, html_col: str, into: str) -> DataFrame:
-    """Run main_text over (page, rules) and drop the rules."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != "_rules"] + [T.StructField(into, T.StringType())])
-    html_at, rules_at = df.columns.index(html_col), df.columns.index("_rules")
+def _extracted(df: DataFrame, html_col: str, rules_col: str, into: str) -> DataFrame:
+    """Run main_text over (page, rules) and drop the rules; a column named ``into`` is replaced."""
+    kept = [i for i, c in enumerate(df.columns) if c != rules_col and c.lower() != into.lower()]
+    schema = T.StructType([df.schema.fields[i] for i in kept] + [T.StructField(into, T.StringType())])
+    html_at, rules_at = df.columns.index(html_col), df.columns.index(rules_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -458,7 +456,6 @@ def _extracted(df: DataFrame, html_col: str, into: str) -> DataFrame:
                         seen.clear()
                     seen[told] = json.loads(told)
                 texts.append(main_text(page.as_py(), seen.get(told)))
-            columns = [c for i, c in enumerate(batch.columns) if i != rules_at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(texts, pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)
