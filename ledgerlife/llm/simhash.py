@@ -94,7 +94,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text")
     """Key, fingerprint (long) and component_id of every row; repeated rows are in one class."""
     slim = df.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     slim = stored(fingerprints(slim).drop("text"), "fingerprints")
-    return slim.join(classes(slim, "key"), "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
+    # Stored, so that the join shuffles both sides itself and Spark can split a fingerprint that many rows share.
+    return slim.join(stored(classes(slim, "key"), "classes"), "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
