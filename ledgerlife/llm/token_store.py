@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlife.llm.common import arrow_type, parts
+from ledgerlife.llm.common import arrow_type, parts, stored
 from ledgerlife.llm.vocab_memo import Memo
 
 #: Bytes of payload at which a segment ends.
@@ -185,8 +185,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = rows.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    # One row for each shard, that is for each range partition of the writer.
-    base = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    # One row for each shard, that is for each range partition of the writer; stored, so that Spark knows its size before the join.
+    base = stored(totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base")), "shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
