@@ -23,9 +23,10 @@ def trading_day_list(calendar: DataFrame) -> DataFrame:
     return calendar.select(F.col("TradingDay").cast("date").alias("day")).filter(F.col("day").isNotNull()).distinct()
 
 
-def closed_days(calendar: DataFrame, start, end) -> DataFrame:
-    """Days of the range on which there is no trading."""
-    return date_range(calendar.sparkSession, start, end).join(trading_day_list(calendar), "day", "left_anti")
+def closed_days(calendar: DataFrame, start=None, end=None, days: DataFrame | None = None) -> DataFrame:
+    """Days of the range, or of a frame with column ``day``, on which there is no trading."""
+    days = date_range(calendar.sparkSession, start, end) if days is None else days.select("day").distinct()
+    return days.join(trading_day_list(calendar), "day", "left_anti")
 
 
 def check_trading_days(days: DataFrame, calendar: DataFrame) -> DataFrame:

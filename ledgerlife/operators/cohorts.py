@@ -41,6 +41,8 @@ def dormancy_matrix(
 ) -> DataFrame:
     """Dormancy of every (cohort, as-of date) cell that lies far enough apart.
 
+    Cohorts may overlap: a party counts in each one that holds its first trade.
+
     One scan and two shuffles whatever the grid size: per party the last trade
     up to each as-of date, then per cohort the dormant count for each date.
     """
@@ -52,16 +54,11 @@ def dormancy_matrix(
         F.min(day).alias("first_trade"),
         *[F.max(F.when(day <= d, day)).alias(f"last_{i}") for i, d in enumerate(as_of)],
     )
-    start = end = None
-    for low, high in cohorts:
-        hit = F.col("first_trade").between(C.as_date(low), C.as_date(high))
-        start = F.when(hit, C.as_date(low)) if start is None else start.when(hit, C.as_date(low))
-        end = F.when(hit, C.as_date(high)) if end is None else end.when(hit, C.as_date(high))
+    spans = F.array(*[F.struct(C.as_date(a).alias("cohort_start"), C.as_date(b).alias("cohort_end")) for a, b in cohorts])
+    held = F.filter(spans, lambda c: F.col("first_trade").between(c["cohort_start"], c["cohort_end"]))
     grouped = (
         base.b2c_only(parties, kyc)
-        .withColumn("cohort_start", start)
-        .withColumn("cohort_end", end)
-        .filter(F.col("cohort_start").isNotNull())
+        .select("*", F.inline(held))
         .groupBy("cohort_start", "cohort_end")
         .agg(
             F.count("*").alias("parties"),

@@ -24,17 +24,17 @@ def tree_importance(model, df: DataFrame) -> DataFrame:
 
 
 def permutation_importance(
-    model, df: DataFrame, label: str, features: Sequence[str], seed: int = 0, bucket_rows: int = 100_000
+    model, df: DataFrame, label: str, features: Sequence[str], seed: int = 0, buckets: int = 64
 ) -> DataFrame:
     """Loss of accuracy when one feature is shuffled between rows.
 
-    Rows are spread over random buckets of about ``bucket_rows`` and each takes
-    the feature of its successor in random order (the last takes the first's):
-    a random permutation without a global sort. All features are tried in one
+    Rows are dealt at random over ``buckets`` buckets, whatever their number,
+    and each takes the feature of its successor in the random order of its
+    bucket (the last takes the first's; a row alone keeps its own). That is a
+    random permutation without a global sort. All features are tried in one
     pass over copies of the row.
     """
-    total = df.agg(F.ceil(F.count("*") / bucket_rows).alias("buckets")).scalar()
-    keyed = df.withColumn("_order", F.rand(seed)).withColumn("_bucket", F.floor(F.rand(seed + 1) * total))
+    keyed = df.withColumn("_order", F.rand(seed)).withColumn("_bucket", F.floor(F.rand(seed + 1) * buckets))
     order = Window.partitionBy("_bucket").orderBy("_order")
     values = F.struct(*features)
     shifted = keyed.withColumn(

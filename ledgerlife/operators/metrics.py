@@ -131,9 +131,16 @@ def columns_of_type(df: DataFrame, *kinds: str) -> list[str]:
     return [name for name, kind in df.dtypes if kind in kinds]
 
 
-def random_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` random rows (each partition keeps only its own best ``n``)."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def random_sample(df: DataFrame, n: int, seed: int = 0, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """``n`` random rows (each partition keeps only its own best ``n``).
+
+    With ``by`` the draw depends on the seed and those columns alone, not on
+    the order of the rows: rows go by the MD5 of both as text, then by ``ties``.
+    """
+    if not by:
+        return df.orderBy(F.rand(seed)).limit(n)
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by]))
+    return df.orderBy(mark, *ties).limit(n)
 
 
 def density(df: DataFrame, column: str, grid: Sequence[float], bandwidth: float | None = None) -> DataFrame:

@@ -28,14 +28,18 @@ SETTLE = {
     "random_forest": {"numTrees": 49, "maxDepth": 12, "featureSubsetStrategy": "0.66", "minWeightFractionPerNode": 0.0125},
     "decision_tree": {"maxDepth": 10, "minWeightFractionPerNode": 0.0828},
     "logistic": {"C": 22.350922404139133, "family": "multinomial"},
-    "boosted_trees": {"maxDepth": 8, "stepSize": 1.0, "subsamplingRate": 0.76},
+    "boosted_trees": {"maxDepth": 8, "stepSize": 1.0, "subsamplingRate": 0.7608431340785347, "maxBins": 414},
+    "boosted_trees_2": {"maxDepth": 5, "stepSize": 1.0, "subsamplingRate": 0.32424301245515147, "minInstancesPerNode": 7},
     "seed": 180656403,
 }
 FREQUENT = {
     "random_forest": {"numTrees": 103, "maxDepth": 12, "featureSubsetStrategy": "0.68", "minWeightFractionPerNode": 0.0068},
     "decision_tree": {"maxDepth": 4, "minWeightFractionPerNode": 0.0777},
     "logistic": {"C": 65.56841523483085, "family": "binomial"},
-    "boosted_trees": {"maxIter": 9, "maxDepth": 7, "stepSize": 0.68, "subsamplingRate": 0.73},
+    "boosted_trees": {
+        "maxIter": 9, "maxDepth": 7, "stepSize": 0.6787555528928094, "subsamplingRate": 0.7299193995713901, "maxBins": 339,
+        "minInstancesPerNode": 97,
+    },
     "seed": 522987681,
 }
 
@@ -108,7 +112,7 @@ def logistic(label: str, settings: Mapping, rows: int):
 def boosted_trees(label: str, settings: Mapping, seed: int, classes: int):
     """Gradient-boosted trees; more than two classes are fitted one against the rest."""
     trainer = GBTClassifier(labelCol=label, seed=seed, **settings)
-    return trainer if classes <= 2 else OneVsRest(labelCol=label, classifier=trainer)
+    return trainer if classes <= 2 else OneVsRest(labelCol=label, classifier=trainer, parallelism=classes)
 
 
 def _fit(train: DataFrame, label: str, trainer) -> object:
@@ -134,8 +138,9 @@ def classify_logistic(train: DataFrame, label: str, settings: Mapping = SETTLE):
     return _fit(train, label, lambda rows: logistic(label, settings["logistic"], rows.count()))
 
 
-def classify_boosted_trees(train: DataFrame, label: str, classes: int, settings: Mapping = SETTLE):
-    return _fit(train, label, lambda rows: boosted_trees(label, settings["boosted_trees"], settings["seed"], classes))
+def classify_boosted_trees(train: DataFrame, label: str, classes: int, settings: Mapping = SETTLE, configuration: str = "boosted_trees"):
+    """Boosted trees by one of the configurations of ``settings`` (``boosted_trees``, and ``boosted_trees_2`` where given)."""
+    return _fit(train, label, lambda rows: boosted_trees(label, settings[configuration], settings["seed"], classes))
 
 
 def tree_text(model) -> str:
@@ -174,15 +179,15 @@ def evaluate(model, test: DataFrame, label: str, classes: int, prefix: str = "te
     row["log_loss"] = scored.agg(F.avg(-F.log(F.greatest(truth, F.lit(1e-15))))).first()[0]
     if classes == 2:
         ranked = scored.withColumn("_rank", F.col("probability_class_1"))
-        row["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="_rank", labelCol=label).evaluate(ranked)
+        row["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="_rank", labelCol=label, numBins=0).evaluate(ranked)
     scored.unpersist()
-    named = {f"{prefix}{name}": float(value) for name, value in row.items() if value is not None}
+    named = {f"{prefix}{name}": None if value is None else float(value) for name, value in row.items()}
     return test.sparkSession.createDataFrame([tuple(named.values())], ", ".join(f"{n} double" for n in named))
 
 
 def model_search(
     train: DataFrame, label: str, classes: int, settings: Mapping = SETTLE, folds: int = 3, parallelism: int = 2,
-    families: Sequence[str] = ("random_forest", "decision_tree", "logistic"), depths: Sequence[int] = (4, 8),
+    families: Sequence[str] = ("random_forest", "decision_tree", "logistic", "boosted_trees"), depths: Sequence[int] = (4, 8),
 ):
     """Cross-validated search over model families and tree depths; gives the cross-validation model."""
     rows = reused(labelled(train, label))
@@ -233,7 +238,7 @@ NEXT_TRADE_RECENCY = ["gap_1", "gap_2", "gap_3", "mean_last_3", "stddev_last_3"]
 def next_trade_model(train: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42):
     """Random-forest regression of the inactive days; encoders are fitted on the training days only.
 
-    The recency columns are used where the data set has them.
+    Trees choose among all features at each node. ``depth`` may go up to MLlib's limit of 30. The recency columns are used where the data set has them.
     """
     numbers = [c for c in NEXT_TRADE_NUMBERS + NEXT_TRADE_RECENCY if c in train.columns]
     text = [c for c in ("occupation", "Tier") if c in train.columns]
@@ -245,7 +250,7 @@ def next_trade_model(train: DataFrame, trees: int = 100, depth: int = 10, seed:
         ),
         OneHotEncoder(inputCols=[f"{c}__i" for c in text], outputCols=[f"{c}__v" for c in text], handleInvalid="keep"),
         VectorAssembler(inputCols=[f"{c}__f" for c in numbers] + [f"{c}__v" for c in text], outputCol="features"),
-        RandomForestRegressor(labelCol="inactive_days", numTrees=trees, maxDepth=depth, seed=seed),
+        RandomForestRegressor(labelCol="inactive_days", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all"),
     ]
     rows = reused(train)
     fitted = Pipeline(stages=stages).fit(rows)

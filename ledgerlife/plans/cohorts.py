@@ -79,6 +79,21 @@ def dormancy_matrix(t):
     return cohorts.dormancy_matrix(t.order_log, t.kyc, COHORT_MONTHS, MONTH_ENDS)
 
 
+QUARTERS = [("1995-01-01", "1995-03-31"), ("1995-04-01", "1995-06-30"), ("1995-07-01", "1995-09-30"), ("1995-10-01", "1995-12-31")]
+
+
+@query(
+    "dormancy_matrix_overlapping",
+    with_tables(
+        "order_log kyc",
+        _CELLS.replace(_COHORT_VALUES, _COHORT_VALUES + "".join(f", (DATE '{a}', DATE '{b}')" for a, b in QUARTERS))
+        + " SELECT *, round(100.0 * dormant / parties, 2) AS dormancy_pct FROM cells",
+    ),
+)
+def dormancy_matrix_overlapping(t):
+    return cohorts.dormancy_matrix(t.order_log, t.kyc, COHORT_MONTHS + QUARTERS, MONTH_ENDS)
+
+
 @query(
     "dormancy_grid",
     with_tables(
@@ -148,9 +163,6 @@ def dtu_return_rate(t):
     return dtu.dtu_return_rate(t.event_log, t.kyc)
 
 
-PROFILE_DAYS = ["2024-01-08", "2024-01-09", "2024-01-10", "2024-01-11", "2024-01-12", "2024-01-15"]
-
-
 @query(
     "dtu_profile",
     with_tables(
@@ -164,12 +176,11 @@ PROFILE_DAYS = ["2024-01-08", "2024-01-09", "2024-01-10", "2024-01-11", "2024-01
                round(100.0 * count(*) FILTER (b7) / count(*), 2) AS t7_pct,
                round(100.0 * count(*) FILTER (b30) / count(*), 2) AS t30_pct
         FROM typed JOIN back USING (party_code, sauda_date)
-        WHERE sauda_date IN (""" + ", ".join(f"DATE '{d}'" for d in PROFILE_DAYS) + """)
         GROUP BY sauda_date""",
     ),
 )
 def dtu_profile(t):
-    return dtu.dtu_profile(t.event_log, t.kyc, days=PROFILE_DAYS, old_after=5)
+    return dtu.dtu_profile(t.event_log, t.kyc, old_after=5)
 
 
 _COUNT_MIX = """,
@@ -240,9 +251,11 @@ def trading_day_check(t):
     "closed_days",
     with_tables(
         "order_log trading_days",
-        """SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-07-31',
-           INTERVAL 1 DAY)) AS d) WHERE CAST(d AS DATE) NOT IN (SELECT TradingDay FROM trading_days)""",
+        """SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(min(sauda_date), max(sauda_date),
+           INTERVAL 1 DAY)) AS d FROM trade_log) WHERE CAST(d AS DATE) NOT IN (SELECT TradingDay FROM trading_days)""",
     ),
 )
 def closed_days(t):
-    return calendar.closed_days(t.trading_days(t.order_log), "1995-01-01", "2001-07-31")
+    span = t.order_log.agg(F.min("sauda_date").alias("low"), F.max("sauda_date").alias("high"))
+    days = span.select(F.explode(F.sequence("low", "high")).alias("day"))
+    return calendar.closed_days(t.trading_days(t.order_log), days=days)

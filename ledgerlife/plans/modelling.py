@@ -25,7 +25,7 @@ def _split(df, column, day):
 
 def _regression(rows, column="sauda_date"):
     train, test = _split(rows, column, SPLIT_DAY)
-    model = models.next_trade_model(train, trees=100, depth=8)
+    model = models.next_trade_model(train)
     return metrics.regression_report(models.regression_scores(model, test), "prediction", "inactive_days", by=[column])
 
 
@@ -41,7 +41,7 @@ def next_trade_model_below_4(t):
         trades, t.kyc, t.trading_days(trades), t.tiers, min_days=None, max_days=3, with_recency=False
     )
     train, test = _split(rows, "sauda_date", "2024-01-08")
-    model = models.next_trade_model(train, trees=100, depth=8)
+    model = models.next_trade_model(train)
     return metrics.regression_report(models.regression_scores(model, test), "prediction", "inactive_days")
 
 
@@ -58,7 +58,7 @@ def next_trade_model_week_below_4(t):
     weeks = features.week_cohort(trades, t.kyc, t.trading_days(trades), min_days=1, max_days=3)
     rows = features.with_demographics(weeks.drop(*features.RECENCY), t.kyc, t.tiers, day="week_start")
     train, test = _split(rows, "week_start", "2024-01-08")
-    model = models.next_trade_model(train, trees=100, depth=8)
+    model = models.next_trade_model(train)
     return metrics.regression_report(models.regression_scores(model, test), "prediction", "inactive_days")
 
 
@@ -70,7 +70,7 @@ HORIZON = 365
 
 def _mart(t, start, end):
     targets = states.transition_targets(daily(t), start, end, HORIZON)
-    return orders.customer_feature_mart(targets, t.order_log, profile(t), t.kyc, "2022-02-03")
+    return orders.customer_feature_mart(targets, t.order_log, profile(t, start), t.kyc, "2022-02-03")
 
 
 def settle_sets(t):
@@ -119,15 +119,19 @@ def settle_logistic(t):
     )
 
 
-def _few_trees(settings, trees=5, depth=4):
-    boosted = dict(settings["boosted_trees"], maxIter=trees, maxDepth=depth)
-    return dict(settings, boosted_trees=boosted)
-
-
 @query("settle_boosted_trees")
 def settle_boosted_trees(t):
     train, test = settle_sets(t)
-    model = models.classify_boosted_trees(train, "settle_target", 3, _few_trees(models.SETTLE))
+    model = models.classify_boosted_trees(train, "settle_target", 3, models.SETTLE)
+    return _scored(model, test, "settle_target", 3).select(
+        "settle_target", "prediction", "probability_class_0", "probability_class_1", "probability_class_2"
+    )
+
+
+@query("settle_boosted_trees_2")
+def settle_boosted_trees_2(t):
+    train, test = settle_sets(t)
+    model = models.classify_boosted_trees(train, "settle_target", 3, models.SETTLE, "boosted_trees_2")
     return _scored(model, test, "settle_target", 3).select(
         "settle_target", "prediction", "probability_class_0", "probability_class_1", "probability_class_2"
     )
@@ -170,8 +174,7 @@ def model_evaluation(t):
 @query("model_search")
 def model_search(t):
     train, _ = frequent_sets(t)
-    settings = dict(models.FREQUENT, random_forest=dict(models.FREQUENT["random_forest"], numTrees=10))
-    found = models.model_search(train, "frequent_target", 2, settings, folds=2, parallelism=4)
+    found = models.model_search(train, "frequent_target", 2, models.FREQUENT, parallelism=4)
     return models.search_results(t.spark, found)
 
 
@@ -199,13 +202,13 @@ def shapley_importance(t):
     train, test = frequent_sets(t)
     model = models.classify_decision_tree(train, "frequent_target", models.FREQUENT)
     rows = models.labelled(test, "frequent_target")
-    values = explain.shapley_values(model, train, rows, _inputs(rows, "frequent_target"), rounds=5)
+    values = explain.shapley_values(model, train, rows, _inputs(rows, "frequent_target"))
     return explain.shapley_importance(values)
 
 
 # -- survival models ----------------------------------------------------------
 
-COVARIATES = ["Tier", "new_incomedetails", "gender_f", "riskcategory_new"]
+COVARIATES = ["Tier", "occupation", "new_incomedetails", "gender_f", "riskcategory_new"]
 STRATUM = f"{_LABEL}_new"
 
 

@@ -226,9 +226,17 @@ def lead_and_lags(t):
     )
 
 
-@query("random_sample")
+@query(
+    "random_sample",
+    with_tables(
+        "order_log",
+        """SELECT party_code, sauda_date, INST_TYPE, OC, T_O, Brokerage FROM trade_log
+           ORDER BY md5('7' || '|' || party_code || '|' || strftime(sauda_date, '%Y-%m-%d') || '|' || INST_TYPE || '|' || OC), T_O
+           LIMIT 100""",
+    ),
+)
 def random_sample(t):
-    return metrics.random_sample(t.order_log, 100, seed=7)
+    return metrics.random_sample(t.order_log, 100, seed=7, by=["party_code", "sauda_date", "INST_TYPE", "OC"], ties=["T_O"])
 
 
 @query(
@@ -317,11 +325,10 @@ def blank_cells_to_null(t):
         "order_log kyc",
         """SELECT party_code, CAST(d AS DATE) AS day FROM (
              SELECT party_code, unnest(generate_series(f, l, INTERVAL 1 DAY)) AS d FROM (
-               SELECT party_code, min(sauda_date) AS f, least(max(sauda_date), min(sauda_date) + 30) AS l
+               SELECT party_code, min(sauda_date) AS f, max(sauda_date) AS l
                FROM trade_log GROUP BY party_code))""",
     ),
 )
 def daily_date_range(t):
     spans = t.order_log.groupBy("party_code").agg(F.min("sauda_date").alias("f"), F.max("sauda_date").alias("l"))
-    last = F.least("l", F.date_add("f", 30))
-    return spans.select("party_code", F.explode(F.sequence("f", last)).alias("day"))
+    return spans.select("party_code", F.explode(F.sequence("f", "l")).alias("day"))

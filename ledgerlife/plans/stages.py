@@ -122,8 +122,8 @@ _PROFILE = f"""ord_log AS (SELECT DISTINCT * FROM order_detail WHERE dt >= DATE
       FROM ord_log GROUP BY straccountid, dt)"""
 
 
-def profile(t):
-    return orders.daily_order_profile(t.order_detail, "1995-06-01")
+def profile(t, since="1995-06-01"):
+    return orders.daily_order_profile(t.order_detail, since)
 
 
 @query("daily_order_profile", with_tables("order_detail", _PROFILE + " SELECT * FROM profile"))
@@ -164,7 +164,7 @@ def _mart_sql(chained: bool) -> str:
     return f""",
     turnover AS (
       SELECT party_code AS party_code2, sauda_date AS sauda_date1, sum(Brokerage) AS Brokerage, sum(T_O) AS T_O
-      FROM trade_log {{only}} GROUP BY party_code, sauda_date),
+      FROM trade_log GROUP BY party_code, sauda_date),
     mart AS (
       SELECT d.party_code, d.sauda_date, d.cutoff_sauda_date, d.cumulative_trade_days, d.target_trade_days,
              d.settle_target, d.frequent_target, {flags}, k.gender, k.riskcategory, k.incomedetails, k.occupation,
@@ -177,8 +177,10 @@ def _mart_sql(chained: bool) -> str:
       LEFT JOIN client_kyc k ON {person} = k.party_code)"""
 
 
-_MART = _INTENDED + ",\n    " + _PROFILE + _mart_sql(False).format(only="")
-_MART_CHAINED = _INTENDED + ",\n    " + _PROFILE + _mart_sql(True).format(only="WHERE INST_TYPE <> '5-LOW'")
+_MART = _INTENDED + ",\n    " + _PROFILE + _mart_sql(False)
+# The profile starts later than the targets here, so that the chain has misses.
+_CHAIN_START = "1996-09-01"
+_MART_CHAINED = _INTENDED + ",\n    " + _PROFILE.replace("1995-06-01", _CHAIN_START) + _mart_sql(True)
 
 
 def mart(t):
@@ -196,8 +198,7 @@ def customer_feature_mart(t):
     with_tables("order_log kyc daily order_detail", _MART_CHAINED + " SELECT * FROM mart"),
 )
 def customer_feature_mart_chained(t):
-    trades = t.order_log.filter(F.col("INST_TYPE") != "5-LOW")
-    built = orders.customer_feature_mart(targets(t), trades, profile(t), t.kyc, "2022-02-03", chained=True)
+    built = orders.customer_feature_mart(targets(t), t.order_log, profile(t, _CHAIN_START), t.kyc, "2022-02-03", chained=True)
     return _round(built, 4, "Brokerage", "T_O")
 
 

@@ -65,8 +65,8 @@ class SampleTables:
 
     @property
     def purchase_log(self) -> DataFrame:
-        """The month's purchases only: a sparser log with gaps of some days."""
-        return self.event_log.filter(F.col("INST_TYPE") == "purchase")
+        """The whole event log; a name of its own for the next-trade features."""
+        return self.event_log
 
     @property
     def kyc(self) -> DataFrame:
@@ -153,7 +153,7 @@ SQL = {
     "purchase_log": """trade_log AS (
       SELECT user_id AS party_code, CAST(ts AS DATE) AS sauda_date, event_type AS INST_TYPE,
              1 AS OC, value AS T_O, value * 0.0005 AS Brokerage
-      FROM events WHERE event_type = 'purchase')""",
+      FROM events)""",
     "kyc": """client_kyc AS (
       SELECT c_custkey AS party_code,
              CASE WHEN c_acctbal >= 0 THEN 'Y' ELSE 'N' END AS B2C,
