@@ -19,38 +19,70 @@ from pyspark.sql import functions as F
 from ledgerlife.operators.survival import chi_square_tail, whole_days
 from ledgerlife.session import reused
 
-EXACT_TIES = 20_000
+def _series(risk, tied, count):
+    """Tie sums by powers of u = tied / risk, for u of at most a quarter and more than 64 steps.
+
+    With 1 / f = sum (a u)^m / risk every sum is a series over the power sums of
+    a = 0, 1/d, ..., which Euler and Maclaurin's formula gives to the last digit here.
+    """
+    u, d = tied / risk, count
+    orders = np.arange(32)
+
+    def power(m):
+        total = d / (m + 1) - 0.5
+        for bernoulli, j in ((1 / 12, 1), (-1 / 720, 3), (1 / 30240, 5), (-1 / 1209600, 7), (1 / 47900160, 9)):
+            falling = math.prod(m - i for i in range(j)) if m > j else 0.0
+            total = total + bernoulli * falling / d**j
+        return total if m else d
+
+    q = np.array([power(m) for m in range(36)], dtype=float)
+    ups = u**orders
+    f1 = (ups * q[orders]).sum() / risk
+    a1 = (ups * q[orders + 1]).sum() / risk
+    f2 = ((orders + 1) * ups * q[orders]).sum() / risk**2
+    a2 = ((orders + 1) * ups * q[orders + 1]).sum() / risk**2
+    aa2 = ((orders + 1) * ups * q[orders + 2]).sum() / risk**2
+    log_f = d * math.log(risk) - sum(u**m / m * q[m] for m in range(1, 34))
+    return np.array([log_f, f1, a1, f2, a2, aa2])
+
+
+def _gamma(risk, tied, count):
+    """Tie sums by differences of log gamma and its derivatives, for tied above a quarter of the risk.
+
+    f = (x - a) d / tied over whole a, with x = d risk / tied, so the sums run
+    over x, x - 1, ..., y. Terms below 16 are added one by one; for the others
+    the asymptotic series are subtracted term by term, in forms that don't cancel.
+    """
+    d, c = float(count), count / tied
+    x = d * risk / tied
+    y = max(x - d + 1.0, 1.0)
+    s0 = s1 = s2 = 0.0
+    while y < 16 and d > 0:
+        s0, s1, s2 = s0 + math.log(y), s1 + 1 / y, s2 + 1 / y**2
+        y, d = y + 1, d - 1
+    if d > 0:
+        z = y + d  # sums over y, ..., z - 1
+        ratio = math.log1p(d / y)
+        s0 += d * math.log(y) + (z - 0.5) * ratio - d + d / (12 * y * z) * -1 + sum(k * (z**-n - y**-n) for n, k in ((3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680)))
+        s1 += ratio + d / (2 * y * z) + sum(k * (z**-n - y**-n) for n, k in ((2, -1 / 12), (4, 1 / 120), (6, -1 / 252), (8, 1 / 240)))
+        s2 += d / (y * z) + d * (y + z) / (2 * y**2 * z**2) + sum(k * (y**-n - z**-n) for n, k in ((3, 1 / 6), (5, -1 / 30), (7, 1 / 42), (9, -1 / 30)))
+    f1, f2 = c * s1, c**2 * s2
+    log_f = s0 - count * math.log(c)
+    return np.array(
+        [log_f, f1, (risk * f1 - count) / tied, f2, (risk * f2 - f1) / tied, (risk**2 * f2 - 2 * risk * f1 + count) / tied**2]
+    )
 
 
 def _tie_sums(risk: float, tied: float, count: int) -> np.ndarray:
     """Sums over the ``count`` Efron steps a = 0, 1/d, ... of log f, 1/f, a/f, 1/f^2, a/f^2, a^2/f^2 for f = risk - a * tied.
 
-    Long runs use the Euler-Maclaurin formula for all but the last steps.
+    Exact to rounding for every count: added up for few steps, else in closed form.
     """
-
-    def terms(a):
+    if count <= 64:
+        a = np.arange(count) / count
         f = risk - a * tied
-        return np.array([np.log(f), 1 / f, a / f, 1 / f**2, a / f**2, a**2 / f**2])
-
-    if count <= EXACT_TIES:
-        return terms(np.arange(count) / count).sum(axis=1)
-    head = count - EXACT_TIES
-    tail = terms(np.arange(head, count) / count).sum(axis=1)
-    end = head / count
-    nodes, weights = np.polynomial.legendre.leggauss(64)
-    # Pieces shrink towards the end, where f may come close to zero.
-    cuts = [0.0]
-    while 1 - cuts[-1] > 2 * (1 - end):
-        cuts.append(1 - (1 - cuts[-1]) / 2)
-    cuts.append(end)
-    integral = sum(
-        (terms((hi - lo) / 2 * nodes + (hi + lo) / 2) * weights).sum(axis=1) * (hi - lo) / 2
-        for lo, hi in zip(cuts, cuts[1:])
-    )
-    step = 1e-4 * (1 - end)
-    slope_end = (terms(end + step) - terms(end - step)) / (2 * step)
-    slope_start = (terms(step) - terms(0.0)) / step
-    return tail + count * integral + (terms(0.0) - terms(end)) / 2 + (slope_end - slope_start) / (12 * count)
+        return np.array([np.log(f), 1 / f, a / f, 1 / f**2, a / f**2, a**2 / f**2]).sum(axis=1)
+    return _series(risk, tied, count) if tied <= 0.25 * risk else _gamma(risk, tied, count)
 
 
 @dataclass
@@ -64,6 +96,12 @@ class CoxModel:
     iterations: int
     patterns: DataFrame = field(repr=False)
     event_table: dict = field(repr=False)
+    converged: bool = True
+    dropped_rows: int = 0
+
+    def release(self) -> None:
+        """Give up the folded subjects that were cached for the fit; the model can't predict baselines afterwards."""
+        self.patterns.unpersist()
 
 
 def _centred(covariates: Sequence[str], means) -> list[Column]:
@@ -146,12 +184,20 @@ def cox_fit(
     max_iterations: int = 30,
     tolerance: float = 1e-9,
 ) -> CoxModel:
-    """Newton-Raphson on the partial likelihood with Efron's handling of ties."""
+    """Newton-Raphson on the partial likelihood with Efron's handling of ties.
+
+    Rows with a null in a used column take no part; the model and its summary
+    tell their number, and whether the steps converged.
+    """
     covariates, strata = list(covariates), list(strata)
     needed = [duration, event, *covariates, *strata]
+    whole_days(df, duration)
+    gaps = F.lit(False)
+    for name in needed:
+        gaps = gaps | F.col(name).isNull()
+    dropped = df.agg(F.count_if(gaps)).first()[0]
     patterns = reused(
-        whole_days(df, duration)
-        .select(*needed)
+        df.select(*needed)
         .na.drop()
         .groupBy(*strata, F.col(duration).alias("_duration"), F.col(event).alias("_event"), *covariates)
         .agg(F.count("*").alias("_n"))
@@ -163,7 +209,7 @@ def cox_fit(
     coefficients = np.zeros(len(covariates))
     tables = list(_sums_by_time(patterns, strata, z, coefficients))
     value, gradient, information = _score(tables, coefficients)
-    iteration = 0
+    iteration, converged = 0, False
     for iteration in range(1, max_iterations + 1):
         step = np.linalg.solve(information, gradient)
         for _ in range(12):
@@ -172,14 +218,17 @@ def cox_fit(
             if trial[0] >= value - 1e-10 * abs(value):
                 break
             step = step / 2
+        else:
+            break  # no length of this step improves the likelihood
         coefficients = coefficients + step
         change = abs(trial[0] - value)
         value, gradient, information = trial
         if change <= tolerance * max(1.0, abs(value)):
+            converged = True
             break
     return CoxModel(
         covariates, strata, means, coefficients, np.linalg.inv(information), value, iteration, patterns,
-        {"tables": tables},
+        {"tables": tables}, converged, dropped,
     )
 
 
@@ -196,6 +245,8 @@ def cox_summary(model: CoxModel, z: float = 1.959963984540054) -> DataFrame:
             "p": chi_square_tail(ratio * ratio),
             "coef_lower": F.col("coef") - z * F.col("se_coef"),
             "coef_upper": F.col("coef") + z * F.col("se_coef"),
+            "converged": F.lit(model.converged),
+            "dropped_rows": F.lit(model.dropped_rows).cast("long"),
         }
     )
 

@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 
 from ledgerlife.operators.survival import whole_days
 
-_erfc = np.vectorize(math.erfc)
+
+
+def _log_erfc(z: float) -> float:
+    """Logarithm of the complementary error function, by its continued fraction where the value itself would vanish."""
+    if z < 10:
+        return math.log(math.erfc(z))
+    fraction = 0.0
+    for k in range(40, 0, -1):
+        fraction = k / 2 / (z + fraction)
+    return -z * z - math.log(math.sqrt(math.pi) * (z + fraction))
+
+
+_log_erfc = np.vectorize(_log_erfc, otypes=[float])
 
 
 def exponential_fit(df: DataFrame, duration: str, event: str) -> DataFrame:
@@ -38,7 +50,7 @@ def _exponential(t, scale):
 
 def _log_normal(t, scale, sigma):
     z = (np.log(t) - np.log(scale)) / sigma
-    log_sf = np.log(np.maximum(0.5 * _erfc(z / math.sqrt(2)), 1e-300))
+    log_sf = math.log(0.5) + _log_erfc(z / math.sqrt(2))
     return -np.log(t * sigma * math.sqrt(2 * math.pi)) - z * z / 2, log_sf
 
 
@@ -71,7 +83,7 @@ def _derivatives(f, x, h=1e-4):
 
 
 def _maximise(f, x, rounds=100):
-    """Damped Newton ascent; falls back to the gradient where the surface is not concave."""
+    """Damped Newton ascent; falls back to the gradient where the surface is not concave. Tells whether it came to rest."""
     best = f(x)
     for _ in range(rounds):
         gradient, hessian = _derivatives(f, x)
@@ -85,10 +97,10 @@ def _maximise(f, x, rounds=100):
         while np.abs(step).max() > 1e-10 and not f(x + step) > best:
             step = step / 2
         if np.abs(step).max() <= 1e-10:
-            break
+            return x, best, True
         x = x + step
         best = f(x)
-    return x, best
+    return x, best, False
 
 
 def parametric_survival(
@@ -97,11 +109,13 @@ def parametric_survival(
     """Maximum-likelihood fits compared by AIC, one row per parameter.
 
     Only the histogram of durations (a row per distinct day) leaves Spark.
-    Durations must be positive; zero-day rows are left out.
+    Durations must be positive; ``dropped_rows`` tells how many rows were not
+    (or had none), ``converged`` whether the search came to rest.
     """
+    whole_days(df, duration)
+    dropped = df.agg(F.count_if(F.coalesce(F.col(duration) <= 0, F.lit(True)))).first()[0]
     counts = (
-        whole_days(df, duration)
-        .filter(F.col(duration) > 0)
+        df.filter(F.col(duration) > 0)
         .groupBy(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"))
         .agg(F.count("*").alias("n"))
         .toPandas()
@@ -118,21 +132,29 @@ def parametric_survival(
 
         start = np.zeros(len(names))
         start[0] = math.log(start_scale)
-        logs, best = _maximise(likelihood, start)
+        logs, best, rests = _maximise(likelihood, start)
         _, hessian = _derivatives(likelihood, logs)
         errors = np.sqrt(np.maximum(np.diag(np.linalg.inv(-hessian)), 0.0))
         for parameter, value, error in zip(names, np.exp(logs), errors):
-            fits.append((name, parameter, float(value), float(value * error), best, 2.0 * len(names) - 2.0 * best))
-    schema = "distribution string, parameter string, estimate double, se double, log_likelihood double, aic double"
+            fits.append((name, parameter, float(value), float(value * error), best, 2.0 * len(names) - 2.0 * best, rests, dropped))
+    schema = "distribution string, parameter string, estimate double, se double, log_likelihood double, aic double, converged boolean, dropped_rows bigint"
     lowest = min(fit[5] for fit in fits)
     frame = df.sparkSession.createDataFrame(fits, schema)
     return frame.withColumn("lowest_aic", F.col("aic") == F.lit(lowest))
 
 
 def aft_regression(df: DataFrame, duration: str, event: str, covariates: list[str], **settings):
-    """Weibull accelerated-failure-time model with covariates, on MLlib."""
-    rows = df.filter(F.col(duration) > 0).withColumn("_label", F.col(duration).cast("double"))
-    rows = VectorAssembler(inputCols=covariates, outputCol="_features", handleInvalid="skip").transform(
+    """Weibull accelerated-failure-time model with covariates, on MLlib.
+
+    Refuses rows that it can't use: durations of zero or less, and nulls.
+    """
+    bad = ~(F.coalesce(F.col(duration), F.lit(0)) > 0) | F.col(event).isNull()
+    for name in covariates:
+        bad = bad | F.col(name).isNull()
+    if not df.filter(bad).isEmpty():
+        raise ValueError(f"{duration} must be positive, and {event} and the covariates not null")
+    rows = df.withColumn("_label", F.col(duration).cast("double"))
+    rows = VectorAssembler(inputCols=covariates, outputCol="_features", handleInvalid="error").transform(
         rows.withColumn("_observed", F.col(event).cast("double"))
     )
     trainer = AFTSurvivalRegression(

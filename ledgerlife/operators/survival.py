@@ -15,6 +15,7 @@ from ledgerlife.functions import codes
 from ledgerlife.functions import columns as C
 from ledgerlife.operators import base
 from ledgerlife.operators.features import kyc_rows, with_tier
+from ledgerlife.session import reused
 
 
 def survival_dataset(
@@ -55,13 +56,17 @@ def survival_dataset(
     )
 
 
-def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True, max_values: int = 100) -> DataFrame:
+def dummies(
+    df: DataFrame, columns: Sequence[str], drop_first: bool = True, values: dict[str, Sequence[str]] | None = None
+) -> DataFrame:
     """Replace each column by one 0/1 column per value, in value order, less the first.
 
-    A null value gives 0 everywhere. A column with more than ``max_values``
-    values is refused.
+    A null value gives 0 everywhere. ``values`` names the values of columns
+    that are known; others are looked up. The result has a column for each, so
+    this is for categories; ``long_dummies`` takes columns of any size.
     """
-    seen = values_of(df, columns, max_values)
+    missing = [c for c in columns if c not in (values or {})]
+    seen = {**(values_of(df, missing) if missing else {}), **{c: list(v) for c, v in (values or {}).items()}}
     for name in columns:
         text = F.col(name).cast("string")
         for value in seen[name][1:] if drop_first else seen[name]:
@@ -69,21 +74,20 @@ def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True, max_
     return df.drop(*columns)
 
 
-def values_of(df: DataFrame, columns: Sequence[str], max_values: int) -> dict[str, list[str]]:
-    """Distinct non-null values of each column as text, in value order; one job for all columns.
+def long_dummies(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The ones of the same table in long form: (key, column, value), a row for each value that is not null."""
+    text = df.select(*key, *[F.col(c).cast("string").alias(c) for c in columns])
+    return text.unpivot(list(key), list(columns), "column", "value").filter(F.col("value").isNotNull())
 
-    Raises when a column has more than ``max_values``.
-    """
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    pairs = long.filter(F.col("value").isNotNull()).distinct().limit(max_values * len(columns) + 1).collect()
+
+def values_of(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Distinct non-null values of category columns as text, in value order; one job for all columns."""
     numeric = {name for name, kind in df.dtypes if kind in ("int", "bigint", "smallint", "double", "float")}
     found: dict[str, list[str]] = {name: [] for name in columns}
-    for row in pairs:
+    for row in long_dummies(df, [], columns).distinct().collect():
         found[row["column"]].append(row["value"])
     for name, values in found.items():
         values.sort(key=float if name in numeric else str)
-        if len(values) > max_values or len(pairs) > max_values * len(columns):
-            raise ValueError(f"{name} has too many values to spread over columns")
     return found
 
 
@@ -167,47 +171,44 @@ def life_table(df: DataFrame, duration: str, event: str, width: int, by: Sequenc
     return nelson_aalen(binned, "_interval", event, by).withColumnRenamed("duration", "interval_start")
 
 
-def logrank_pairs(df: DataFrame, duration: str, event: str, group: str, max_groups: int = 50) -> DataFrame:
-    """Two-group log-rank test of every pair of groups.
+def logrank_pairs(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
+    """Two-group log-rank test of every pair of groups, for any number of groups.
 
-    Group counts sit side by side on one row per duration, so all pairs come
-    from one pass over that table and no group is joined to another.
+    Subjects are folded to (day, group) first and every group's at-risk count
+    is carried to each day with an event. Pairs of groups are formed per event
+    day on those small rows, from pairs with an event only: elsewhere neither
+    the expected events nor the variance move.
     """
-    found = df.select(group).filter(F.col(group).isNotNull()).distinct().limit(max_groups + 1).collect()
-    if len(found) > max_groups:
-        raise ValueError(f"{group} has more than {max_groups} groups")
-    groups = sorted(row[0] for row in found)
     kept = whole_days(df, duration).filter(F.col(group).isNotNull())
-    sums = []
-    for i, value in enumerate(groups):
-        mine = F.col(group) == value
-        sums += [F.count_if(mine).alias(f"n_{i}"), F.count_if(mine & (F.col(event) == 1)).alias(f"d_{i}")]
-    from_here = Window.orderBy(F.desc(duration))
-    table = kept.groupBy(duration).agg(*sums).withColumns(
-        {f"r_{i}": F.sum(f"n_{i}").over(from_here) for i in range(len(groups))}
+    died = F.count_if(F.col(event) == 1).alias("d")
+    cells = reused(kept.groupBy(F.col(group).alias("g"), F.col(duration).alias("day")).agg(F.count("*").alias("n"), died))
+    groups = cells.select("g").distinct()
+    days = cells.filter("d > 0").select("day").distinct()
+    # Each group's row on each event day: its own cells, and empty ones for the days it lacks.
+    grid = days.withColumn("groups", groups.agg(F.sort_array(F.collect_set("g"))).scalar()).select("day", F.explode("groups").alias("g"))
+    full = grid.unionByName(cells, allowMissingColumns=True).groupBy("g", "day").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("d")
+    )
+    from_here = Window.partitionBy("g").orderBy(F.desc("day"))
+    risk = full.withColumn("r", F.sum("n").over(from_here)).filter((F.col("r") > 0)).join(days, "day", "left_semi")
+    row = F.sort_array(F.collect_list(F.struct("g", "d", "r")))  # a row for each group, as the result has for each pair
+    day = risk.groupBy("day").agg(row.alias("rows"))
+    # A group that nobody is left in at a day adds nothing to a pair there.
+    left = day.select("day", "rows", F.posexplode("rows").alias("i", "a"))
+    pairs = left.select(F.col("a"), F.explode(F.filter("rows", lambda b: b["g"] > F.col("a.g"))).alias("b"))
+    events, both = F.col("a.d") + F.col("b.d"), F.col("a.r") + F.col("b.r")
+    expected = events * F.col("a.r") / both
+    variance = F.try_divide(
+        F.col("a.r").cast("double") * F.col("b.r") * events * (both - events), both.cast("double") * both * (both - 1)
+    )
+    sums = pairs.groupBy(F.col("a.g").alias("group_a"), F.col("b.g").alias("group_b")).agg(
+        F.sum(F.col("a.d") - expected).alias("diff"), F.sum(F.coalesce(variance, F.lit(0.0))).alias("var")
+    )
+    every = groups.select(F.col("g").alias("group_a")).withColumn("groups", groups.agg(F.sort_array(F.collect_set("g"))).scalar())
+    every = every.select("group_a", F.explode(F.filter("groups", lambda b: b > F.col("group_a"))).alias("group_b"))
+    tested = every.join(sums, ["group_a", "group_b"], "left").select(
+        "group_a", "group_b", F.try_divide(F.pow("diff", F.lit(2.0)), F.col("var")).alias("statistic")
     )
-    totals, pairs = [], []
-    for i in range(len(groups)):
-        for j in range(i + 1, len(groups)):
-            died = F.col(f"d_{i}") + F.col(f"d_{j}")
-            risk = F.col(f"r_{i}") + F.col(f"r_{j}")
-            expected = F.try_divide(died * F.col(f"r_{i}"), risk)
-            variance = F.try_divide(
-                F.col(f"r_{i}").cast("double") * F.col(f"r_{j}") * died * (risk - died),
-                risk.cast("double") * risk * (risk - 1),
-            )
-            totals += [
-                F.sum(F.col(f"d_{i}") - F.coalesce(expected, F.lit(0.0))).alias(f"diff_{i}_{j}"),
-                F.sum(F.coalesce(variance, F.lit(0.0))).alias(f"var_{i}_{j}"),
-            ]
-            pairs.append(
-                F.struct(
-                    F.lit(groups[i]).alias("group_a"),
-                    F.lit(groups[j]).alias("group_b"),
-                    F.try_divide(F.pow(f"diff_{i}_{j}", F.lit(2.0)), F.col(f"var_{i}_{j}")).alias("statistic"),
-                )
-            )
-    tested = table.agg(*totals).select(F.inline(F.array(*pairs)))
     return tested.withColumn("p_value", chi_square_tail(F.col("statistic")))
 
 
@@ -228,24 +229,37 @@ def chi_square_tail(statistic: Column) -> Column:
     return t * F.exp(fit - root * root)
 
 
-def concordance_index(df: DataFrame, duration: str, event: str, score: str, resolution: float = 1e-6) -> DataFrame:
+def dense_ranks(values: DataFrame, column: str) -> DataFrame:
+    """Each distinct value of a column with its rank from 0, by ranges: a sort within each and an offset before it."""
+    ranged = values.select(column).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id())
+    ranged = reused(ranged.sortWithinPartitions(column))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.withColumn("_place", within).join(before, "_range").select(column, (F.col("_before") + F.col("_place") - 1).alias("step"))
+
+
+def concordance_index(df: DataFrame, duration: str, event: str, score: str) -> DataFrame:
     """Share of comparable pairs whose scores order as their durations do; score ties count half.
 
     A pair is comparable when the earlier duration is an event, or at equal
     durations one is an event and the other is not. Pairs are counted, not
-    formed: two different scores split at exactly one binary digit, so at each
-    digit the rows sharing all higher digits are compared as a 0-side and a
-    1-side through running counts over durations. Groups there hold one row per
-    day. Scores are read at ``resolution``.
+    formed: scores are replaced by their dense ranks, and two different ranks
+    split at exactly one binary digit, so at each digit the rows sharing all
+    higher digits are compared as a 0-side and a 1-side through running counts
+    over durations. Groups there hold one row per day.
     """
     rows = whole_days(df, duration).filter(F.col(score).isNotNull())
-    step = F.round(F.col(score) / F.lit(resolution)).cast("long")
-    cells = rows.groupBy(step.alias("step"), F.col(duration).alias("day"), (F.col(event) == 1).alias("died")).agg(
-        F.count("*").alias("n")
+    cells = reused(
+        rows.groupBy(F.col(score).alias("score"), F.col(duration).alias("day"), (F.col(event) == 1).alias("died")).agg(
+            F.count("*").alias("n")
+        )
     )
-    span = rows.agg(F.min(step).alias("low"), F.max(step).alias("high")).select(
-        F.struct("low", F.length(F.bin(F.col("high") - F.col("low"))).alias("digits")).alias("span")
+    ranks = dense_ranks(cells, "score")
+    span = ranks.agg(F.length(F.bin(F.coalesce(F.max("step"), F.lit(0)))).alias("digits")).select(
+        F.struct(F.lit(0).alias("low"), "digits").alias("span")
     )
+    cells = cells.join(ranks, "score").drop("score")
     place = F.col("step") - F.col("span.low")
     spread = (
         cells.withColumn("span", span.scalar())

@@ -106,13 +106,26 @@ def test_proportional_data_pass_and_crossing_hazards_fail(spark, fitted):
     assert cox.ph_assumption_test(crossing).first().violated
 
 
-@pytest.mark.parametrize("tied", [0.2, 0.9, 0.9999, 1.0])
-def test_long_ties_agree_with_plain_sums(tied):
-    count = 300_000
-    a = np.arange(count) / count
-    f = 5.0 - a * 5.0 * tied
-    plain = np.array([np.log(f), 1 / f, a / f, 1 / f**2, a / f**2, a**2 / f**2]).sum(axis=1)
-    assert cox._tie_sums(5.0, 5.0 * tied, count) == pytest.approx(plain, rel=1e-8)
+@pytest.mark.parametrize("count", [1, 64, 65, 1000, 300_000])
+@pytest.mark.parametrize("tied", [1e-7, 0.2, 0.2501, 0.9, 0.9999, 1.0])
+@pytest.mark.parametrize("risk", [5.0, 1e8])
+def test_ties_agree_with_plain_sums(risk, tied, count):
+    a = np.arange(count, dtype=np.longdouble) / count
+    f = risk - a * np.longdouble(risk * tied)
+    plain = np.array([np.log(f), 1 / f, a / f, 1 / f**2, a / f**2, a**2 / f**2]).sum(axis=1).astype(float)
+    assert cox._tie_sums(risk, risk * tied, count) == pytest.approx(plain, rel=1e-11, abs=0)
+
+
+def test_rows_with_nulls_are_told(spark):
+    rows = [(1 + i % 9, i % 2, float(i % 5)) for i in range(60)] + [(3, 1, None), (None, 1, 1.0)]
+    model = cox.cox_fit(spark.createDataFrame(rows, "t int, e int, x double"), "t", "e", ["x"])
+    told = cox.cox_summary(model).first()
+    assert told.dropped_rows == 2 and told.converged
+    model.release()
+
+
+def test_log_tail_of_long_durations():
+    assert parametric._log_erfc([5.0, 9.999, 10.001, 40.0]) == pytest.approx([-27.2008895455, -102.85979700, -102.89998904, -1604.2615567], rel=1e-6)
 
 
 def test_parametric_fits(spark):

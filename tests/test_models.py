@@ -63,7 +63,7 @@ def test_search_keeps_the_best(rows, spark):
 def test_importance_finds_the_driving_columns(rows):
     model = models.classify_decision_tree(rows, "y", SMALL)
     features = ["kind", "flag", "amount", "noise"]
-    lost = {r.feature: r.importance for r in explain.permutation_importance(model, rows, "y", features, bucket_rows=50).collect()}
+    lost = {r.feature: r.importance for r in explain.permutation_importance(model, rows, "y", features, buckets=20).collect()}
     assert lost["amount"] > 0.1 and lost["flag"] > 0.1 and abs(lost["kind"]) < 0.1
     weights = explain.tree_importance(model, rows).collect()
     assert sum(r.importance for r in weights) == pytest.approx(1.0)

@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlife.operators import states, survival
 
@@ -54,13 +55,13 @@ def test_curve_never_rises_and_matches_products(spark):
 
 def test_concordance_counts_pairs(spark):
     rng = random.Random(2)
-    rows = [(rng.randrange(1, 12), int(rng.random() < 0.7), rng.randrange(-4, 9) / 4) for _ in range(120)]
+    rows = [(rng.randrange(1, 12), int(rng.random() < 0.7), rng.choice([rng.randrange(-4, 9) / 4, rng.random() * 1e-9])) for _ in range(120)]
     frame = spark.createDataFrame(rows, "t int, e int, s double")
     up = down = level = 0
     for (ta, ea, sa), (tb, eb, sb) in itertools.permutations(rows, 2):
         if ea and (tb > ta or (tb == ta and not eb)):
             up, down, level = up + (sb > sa), down + (sb < sa), level + (sb == sa)
-    row = survival.concordance_index(frame, "t", "e", "s", resolution=0.25).first()
+    row = survival.concordance_index(frame, "t", "e", "s").first()
     assert (row.concordant, row.discordant, row.tied) == (up, down, level)
     assert row.concordance_index == pytest.approx((up + level / 2) / (up + down + level))
     same = survival.concordance_index(frame.selectExpr("t", "e", "1.0 AS s"), "t", "e", "s").first()
@@ -100,8 +101,28 @@ def test_dummies(spark):
     rows = survival.dummies(frame, ["c", "n"])
     assert rows.columns == ["c_b", "n_10"]
     assert sorted(tuple(r) for r in rows.collect()) == [(0, 0), (0, 1), (1, 1)]
-    with pytest.raises(ValueError):
-        survival.dummies(frame, ["c"], max_values=1)
+    told = survival.dummies(frame, ["c"], drop_first=False, values={"c": ["a", "z"]})
+    assert sorted(tuple(r) for r in told.select("c_a", "c_z").collect()) == [(0, 0), (0, 0), (1, 0)]
+    long = survival.long_dummies(frame.withColumn("key", F.monotonically_increasing_id()), ["key"], ["c", "n"])
+    assert sorted((r["column"], r["value"]) for r in long.collect()) == [("c", "a"), ("c", "b"), ("n", "10"), ("n", "10"), ("n", "2")]
+
+
+def test_logrank_of_sixty_groups(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(1, 15), int(rng.random() < 0.7), rng.randrange(60)) for _ in range(1500)]
+    found = {(r.group_a, r.group_b): r for r in survival.logrank_pairs(spark.createDataFrame(rows, "t int, e int, g int"), "t", "e", "g").collect()}
+    assert len(found) == 60 * 59 // 2
+    for a, b in [(0, 1), (3, 59), (20, 41)]:
+        diff = var = 0.0
+        for day in sorted({t for t, e, g in rows if e and g in (a, b)}):
+            na, nb = (sum(t >= day for t, _, g in rows if g == x) for x in (a, b))
+            da, db = (sum(t == day and e for t, e, g in rows if g == x) for x in (a, b))
+            n, d = na + nb, da + db
+            diff += da - d * na / n
+            var += na * nb * d * (n - d) / (n * n * (n - 1)) if n > 1 else 0.0
+        assert found[a, b].statistic == pytest.approx(diff * diff / var)
+    for r in found.values():
+        assert r.p_value == pytest.approx(math.erfc(math.sqrt(r.statistic / 2)), rel=1e-6)
 
 
 def test_data_set(make):
