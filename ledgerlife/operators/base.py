@@ -57,9 +57,16 @@ def dates_between(trades: DataFrame, first=None, last=None, column: str = "sauda
 
 
 def around(trades: DataFrame, days, back: int, ahead: int) -> DataFrame:
-    """Prune the scan to the dates that listed days can see (no-op for None or a frame)."""
-    if days is None or isinstance(days, DataFrame):
+    """Prune the scan to the dates that the asked-for days can see (all for None).
+
+    The range of a frame's days is a pair of scalar subqueries.
+    """
+    if days is None:
         return trades
+    if isinstance(days, DataFrame):
+        span = days.select(F.col(days.columns[0]).cast("date").alias("_day"))
+        low, high = span.agg(F.min("_day")).scalar(), span.agg(F.max("_day")).scalar()
+        return trades.filter(F.col("sauda_date").between(F.date_sub(low, back), F.date_add(high, ahead)))
     ordered = sorted(str(d) for d in days)
     return dates_between(
         trades, F.date_sub(C.as_date(ordered[0]), back), F.date_add(C.as_date(ordered[-1]), ahead)
@@ -77,14 +84,13 @@ def requested(df: DataFrame, days, column: str = "sauda_date") -> DataFrame:
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
-    """The first (or last) row of each key by an ordering column.
+    """The first (or last) row of each key by an ordering column; rows without it come last, ties are left to Spark.
 
-    A min/max-by aggregate, so each task forwards one row per key instead of
-    shuffling and sorting whole groups.
+    A rank of one, which Spark cuts to a row per key in each task before the shuffle.
     """
-    rest = F.struct(*[c for c in df.columns if c not in keys])
-    pick = F.max_by(rest, order) if last else F.min_by(rest, order)
-    return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*")
+    column = F.col(order).desc_nulls_last() if last else F.col(order).asc_nulls_last()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(column))
+    return df.select("*", place.alias("_place")).filter("_place = 1").drop("_place").select(*keys, *[c for c in df.columns if c not in keys])
 
 
 def append_all(first: DataFrame, *others: DataFrame) -> DataFrame:

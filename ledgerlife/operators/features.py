@@ -2,7 +2,8 @@
 
 A day's user has traded on that day, so every (party, day) pair is a row of the
 party-day frame. History, recency and the next trade are range frames of one
-per-party window over it: one shuffle serves all features of all days.
+per-party window over it. Two shuffles, by (party, day) and by party, serve all
+features of all days.
 """
 
 from __future__ import annotations
