@@ -175,6 +175,55 @@ def _score(tables, coefficients):
     return value, gradient, information
 
 
+def _folded(df: DataFrame, duration: str, event: str, covariates: list[str], strata: list[str]):
+    """Subjects folded to weighted patterns, their mean covariates, and the number of rows left out for nulls."""
+    needed = [duration, event, *covariates, *strata]
+    whole_days(df, duration)
+    gaps = F.lit(False)
+    for name in needed:
+        gaps = gaps | F.col(name).isNull()
+    dropped = df.agg(F.count_if(gaps)).first()[0]
+    patterns = reused(
+        df.select(*needed)
+        .na.drop()
+        .groupBy(*strata, F.col(duration).alias("_duration"), F.col(event).alias("_event"), *covariates)
+        .agg(F.count("*").alias("_n"))
+    )
+    total = F.sum("_n")
+    first = patterns.agg(*[(F.sum(F.col(c) * F.col("_n")) / total).alias(f"m{i}") for i, c in enumerate(covariates)]).first()
+    return patterns, np.array([float(v) for v in first]), dropped
+
+
+def cox_at(
+    df: DataFrame, duration: str, event: str, covariates: Sequence[str], coefficients: Sequence[float], strata: Sequence[str] = ()
+) -> tuple[CoxModel, np.ndarray, np.ndarray]:
+    """The model at given coefficients, not fitted, with the gradient and information of the likelihood there."""
+    covariates, strata = list(covariates), list(strata)
+    patterns, means, dropped = _folded(df, duration, event, covariates, strata)
+    at = np.array(coefficients, dtype=float)
+    tables = list(_sums_by_time(patterns, strata, _centred(covariates, means), at))
+    value, gradient, information = _score(tables, at)
+    model = CoxModel(covariates, strata, means, at, np.linalg.inv(information), value, 0, patterns, {"tables": tables}, False, dropped)
+    return model, gradient, information
+
+
+def partial_likelihood(
+    df: DataFrame, duration: str, event: str, covariates: Sequence[str], coefficients: Sequence[float], strata: Sequence[str] = ()
+) -> DataFrame:
+    """(quantity, value): log likelihood, gradient and information (upper half) at given coefficients."""
+    model, gradient, information = cox_at(df, duration, event, covariates, coefficients, strata)
+    rows = [("log_likelihood", model.log_likelihood)]
+    rows += [(f"gradient_{c}", float(g)) for c, g in zip(model.covariates, gradient)]
+    rows += [
+        (f"information_{a}_{b}", float(information[i, j]))
+        for i, a in enumerate(model.covariates)
+        for j, b in enumerate(model.covariates)
+        if i <= j
+    ]
+    model.release()
+    return df.sparkSession.createDataFrame(rows, "quantity string, value double")
+
+
 def cox_fit(
     df: DataFrame,
     duration: str,
@@ -190,21 +239,7 @@ def cox_fit(
     tell their number, and whether the steps converged.
     """
     covariates, strata = list(covariates), list(strata)
-    needed = [duration, event, *covariates, *strata]
-    whole_days(df, duration)
-    gaps = F.lit(False)
-    for name in needed:
-        gaps = gaps | F.col(name).isNull()
-    dropped = df.agg(F.count_if(gaps)).first()[0]
-    patterns = reused(
-        df.select(*needed)
-        .na.drop()
-        .groupBy(*strata, F.col(duration).alias("_duration"), F.col(event).alias("_event"), *covariates)
-        .agg(F.count("*").alias("_n"))
-    )
-    total = F.sum("_n")
-    first = patterns.agg(*[(F.sum(F.col(c) * F.col("_n")) / total).alias(f"m{i}") for i, c in enumerate(covariates)]).first()
-    means = np.array([float(v) for v in first])
+    patterns, means, dropped = _folded(df, duration, event, covariates, strata)
     z = _centred(covariates, means)
     coefficients = np.zeros(len(covariates))
     tables = list(_sums_by_time(patterns, strata, z, coefficients))

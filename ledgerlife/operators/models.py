@@ -169,20 +169,30 @@ def score(model, df: DataFrame, classes: int) -> DataFrame:
     )
 
 
-def evaluate(model, test: DataFrame, label: str, classes: int, prefix: str = "test_") -> DataFrame:
-    """One row of overall metrics on a labelled data set."""
-    scored = reused(score(model, labelled(test, label), classes))
+def evaluation(scored: DataFrame, label: str, classes: int, prefix: str = "test_") -> DataFrame:
+    """One row of overall metrics on rows with a label, ``prediction`` and ``probability_class_<i>``.
+
+    The area under the curve (two classes only, else null) is exact: every
+    distinct score is a point of it.
+    """
+    scored = reused(scored)
     row = metrics.classification_summary(scored, label, "prediction").first().asDict()
     truth = F.col("probability_class_0")
     for i in range(1, classes):
         truth = F.when(F.col(label) == i, F.col(f"probability_class_{i}")).otherwise(truth)
     row["log_loss"] = scored.agg(F.avg(-F.log(F.greatest(truth, F.lit(1e-15))))).first()[0]
+    row["roc_auc"] = None
     if classes == 2:
-        ranked = scored.withColumn("_rank", F.col("probability_class_1"))
+        ranked = scored.withColumns({"_rank": F.col("probability_class_1"), label: F.col(label).cast("double")})
         row["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="_rank", labelCol=label, numBins=0).evaluate(ranked)
     scored.unpersist()
     named = {f"{prefix}{name}": None if value is None else float(value) for name, value in row.items()}
-    return test.sparkSession.createDataFrame([tuple(named.values())], ", ".join(f"{n} double" for n in named))
+    return scored.sparkSession.createDataFrame([tuple(named.values())], ", ".join(f"{n} double" for n in named))
+
+
+def evaluate(model, test: DataFrame, label: str, classes: int, prefix: str = "test_") -> DataFrame:
+    """One row of overall metrics of a model on a labelled data set."""
+    return evaluation(score(model, labelled(test, label), classes), label, classes, prefix)
 
 
 def model_search(

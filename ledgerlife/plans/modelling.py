@@ -10,7 +10,7 @@ from ledgerlife.operators import cox, explain, features, metrics, models, orders
 from ledgerlife.plans.metrics import dataset
 from ledgerlife.plans.registry import query
 from ledgerlife.plans.stages import daily, profile, states
-from ledgerlife.plans.survival import _LABEL, _LONG, long_subjects
+from ledgerlife.plans.survival import _LABEL, _LONG, _PERSON, long_subjects
 from ledgerlife.session import reused
 from ledgerlife.sources.sample_tables import with_tables
 
@@ -171,6 +171,42 @@ def model_evaluation(t):
     return models.evaluate(model, test, "frequent_target", 2)
 
 
+@query(
+    "evaluation",
+    with_tables(
+        "order_log",
+        """scored AS (
+          SELECT CASE WHEN OC >= 3 THEN 1 ELSE 0 END AS y, (party_code * 7 + OC * 13) % 97 / 97.0::DOUBLE AS p FROM trade_log),
+        told AS (SELECT y, p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS h FROM scored),
+        per AS (
+          SELECT c, count(*) FILTER (y = c)::DOUBLE AS support, count(*) FILTER (h = c)::DOUBLE AS predicted,
+                 count(*) FILTER (y = c AND h = c)::DOUBLE AS hits
+          FROM told, (VALUES (0), (1)) AS classes(c) GROUP BY c),
+        report AS (
+          SELECT *, hits / predicted AS precision_, hits / support AS recall_, 2 * hits / (predicted + support) AS f1_ FROM per),
+        levels AS (SELECT p, count(*) FILTER (y = 1)::DOUBLE AS up, count(*) FILTER (y = 0)::DOUBLE AS down FROM told GROUP BY p),
+        ranked AS (SELECT *, sum(down) OVER (ORDER BY p) - down AS below FROM levels),
+        auc AS (SELECT sum(up * (below + down / 2)) / (sum(up) * sum(down)) AS area FROM ranked),
+        loss AS (SELECT avg(-ln(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-15))) AS log_loss FROM told)
+        SELECT round(sum(hits) / sum(support), 9) AS test_accuracy, round(avg(precision_), 9) AS test_macro_precision,
+               round(avg(recall_), 9) AS test_macro_recall, round(avg(f1_), 9) AS test_macro_f1,
+               round(sum(precision_ * support) / sum(support), 9) AS test_weighted_precision,
+               round(sum(recall_ * support) / sum(support), 9) AS test_weighted_recall,
+               round(sum(f1_ * support) / sum(support), 9) AS test_weighted_f1, round(sum(support), 9) AS test_support,
+               round((SELECT log_loss FROM loss), 9) AS test_log_loss, round((SELECT area FROM auc), 9) AS test_roc_auc
+        FROM report""",
+    ),
+)
+def evaluation(t):
+    chance = ((F.col("party_code") * 7 + F.col("OC") * 13) % 97) / F.lit(97.0)
+    rows = t.order_log.select((F.col("OC") >= 3).cast("int").alias("y"), chance.alias("probability_class_1"))
+    rows = rows.withColumns(
+        {"probability_class_0": 1 - F.col("probability_class_1"), "prediction": (F.col("probability_class_1") >= 0.5).cast("int")}
+    )
+    found = models.evaluation(rows, "y", 2)
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
 @query("model_search")
 def model_search(t):
     train, _ = frequent_sets(t)
@@ -232,6 +268,96 @@ def cox_summary(t):
     return cox.cox_summary(fitted_cox(t)[0])
 
 
+# The partial likelihood at coefficients of 0.2 and -0.1, written out step by step.
+_COX = _LONG + ",\n    people AS (" + _PERSON + f"""),
+    centre AS (SELECT avg(gender_f::DOUBLE) AS m1, avg(riskcategory_new::DOUBLE) AS m2 FROM people),
+    subjects AS (
+      SELECT tenure AS t, target AS e, {_LABEL}_new AS g, gender_f - m1 AS z1, riskcategory_new - m2 AS z2,
+             exp(0.2 * (gender_f - m1) - 0.1 * (riskcategory_new - m2)) AS w
+      FROM people, centre),
+    daily_sums AS (
+      SELECT g, t, count(*) FILTER (e = 1) AS d, sum(w) AS w0, sum(w * z1) AS w1, sum(w * z2) AS w2, sum(w * z1 * z1) AS w11,
+             sum(w * z1 * z2) AS w12, sum(w * z2 * z2) AS w22, coalesce(sum(w) FILTER (e = 1), 0) AS t0,
+             coalesce(sum(w * z1) FILTER (e = 1), 0) AS t1, coalesce(sum(w * z2) FILTER (e = 1), 0) AS t2,
+             coalesce(sum(w * z1 * z1) FILTER (e = 1), 0) AS t11, coalesce(sum(w * z1 * z2) FILTER (e = 1), 0) AS t12,
+             coalesce(sum(w * z2 * z2) FILTER (e = 1), 0) AS t22
+      FROM subjects GROUP BY g, t),
+    at_risk AS (
+      SELECT g, t, d, t0, t1, t2, t11, t12, t22, sum(w0) OVER later AS s0, sum(w1) OVER later AS s1, sum(w2) OVER later AS s2,
+             sum(w11) OVER later AS s11, sum(w12) OVER later AS s12, sum(w22) OVER later AS s22
+      FROM daily_sums WINDOW later AS (PARTITION BY g ORDER BY t DESC)),
+    baseline AS (
+      SELECT g, t, d / s0 AS hazard, sum(d / s0) OVER (PARTITION BY g ORDER BY t) AS cumulative FROM at_risk)"""
+
+
+@query(
+    "cox_partial_likelihood",
+    with_tables(
+        "order_log kyc tiers daily",
+        _COX + """,
+        steps AS (
+          SELECT *, k / d::DOUBLE AS a FROM (SELECT *, unnest(generate_series(0, d - 1)) AS k FROM at_risk WHERE d > 0)),
+        terms AS (
+          SELECT s0 - a * t0 AS f, s1 - a * t1 AS f1, s2 - a * t2 AS f2, s11 - a * t11 AS f11, s12 - a * t12 AS f12,
+                 s22 - a * t22 AS f22 FROM steps),
+        sums AS (
+          SELECT sum(ln(f)) AS l, sum(f1 / f) AS g1, sum(f2 / f) AS g2, sum(f11 / f - f1 * f1 / (f * f)) AS i11,
+                 sum(f12 / f - f1 * f2 / (f * f)) AS i12, sum(f22 / f - f2 * f2 / (f * f)) AS i22 FROM terms),
+        seen AS (SELECT sum(z1) AS x1, sum(z2) AS x2 FROM subjects WHERE e = 1)
+        SELECT unnest(['log_likelihood', 'gradient_gender_f', 'gradient_riskcategory_new', 'information_gender_f_gender_f',
+                       'information_gender_f_riskcategory_new', 'information_riskcategory_new_riskcategory_new']) AS quantity,
+               unnest([round(0.2 * x1 - 0.1 * x2 - l, 4), round(x1 - g1, 4), round(x2 - g2, 4), round(i11, 4), round(i12, 4),
+                       round(i22, 4)]) AS value
+        FROM sums, seen""",
+    ),
+)
+def cox_partial_likelihood(t):
+    rows = cox.partial_likelihood(long_subjects(t), "tenure", "target", ["gender_f", "riskcategory_new"], [0.2, -0.1], [STRATUM])
+    return rows.withColumn("value", F.round("value", 4))
+
+
+def _given_cox(t):
+    rows = long_subjects(t)
+    return cox.cox_at(rows, "tenure", "target", ["gender_f", "riskcategory_new"], [0.2, -0.1], [STRATUM])[0], rows
+
+
+@query(
+    "cox_baseline_given",
+    with_tables(
+        "order_log kyc tiers daily",
+        _COX + f"""
+        SELECT g AS {STRATUM}, t AS duration, round(hazard, 9) AS baseline_hazard,
+               round(cumulative, 9) AS baseline_cumulative_hazard, round(exp(-cumulative), 9) AS baseline_survival FROM baseline""",
+    ),
+)
+def cox_baseline_given(t):
+    found = cox.cox_baseline(_given_cox(t)[0])
+    return found.withColumns({c: F.round(c, 9) for c in found.columns if c.startswith("baseline")})
+
+
+@query(
+    "cox_predict_given",
+    with_tables(
+        "order_log kyc tiers daily",
+        _COX + f""",
+        times(h) AS (VALUES (9), (30), (90)),
+        level AS (
+          SELECT g, h, coalesce(max(cumulative) FILTER (t <= h), 0) AS h0 FROM baseline, times GROUP BY g, h)
+        SELECT party_code, sauda_date, h AS "time",
+               round(exp(0.2 * (gender_f - m1) - 0.1 * (riskcategory_new - m2)), 9) AS partial_hazard,
+               round(h0 * exp(0.2 * (gender_f - m1) - 0.1 * (riskcategory_new - m2)), 9) AS cumulative_hazard,
+               round(exp(-h0 * exp(0.2 * (gender_f - m1) - 0.1 * (riskcategory_new - m2))), 9) AS survival
+        FROM people JOIN level ON g = {STRATUM}, centre""",
+    ),
+)
+def cox_predict_given(t):
+    model, rows = _given_cox(t)
+    found = cox.cox_predict(model, rows, [9, 30, 90])
+    return found.select(
+        "party_code", "sauda_date", "time", *[F.round(c, 9).alias(c) for c in ("partial_hazard", "cumulative_hazard", "survival")]
+    )
+
+
 @query("cox_baseline")
 def cox_baseline(t):
     return cox.cox_baseline(fitted_cox(t)[0])

@@ -319,6 +319,21 @@ def blank_cells_to_null(t):
     return readers.blanks_to_null(cells)
 
 
+@query(
+    "emptiness_check",
+    with_tables(
+        "order_log",
+        """SELECT INST_TYPE, count(*) FILTER (OC > 4) = 0 AS no_large_orders FROM trade_log GROUP BY INST_TYPE
+           UNION ALL SELECT 'whole log', count(*) = 0 FROM trade_log""",
+    ),
+)
+def emptiness_check(t):
+    """Per instrument whether no trade has five orders or more, and whether the log has a row at all."""
+    kinds = t.order_log.groupBy("INST_TYPE").agg((F.count_if(F.col("OC") > 4) == 0).alias("no_large_orders"))
+    whole = t.spark.createDataFrame([("whole log", not readers.has_rows(t.order_log))], "INST_TYPE string, no_large_orders boolean")
+    return kinds.unionByName(whole)
+
+
 @query(
     "daily_date_range",
     with_tables(
