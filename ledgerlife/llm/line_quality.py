@@ -75,7 +75,7 @@ def measured(df: DataFrame, key: str = "doc_id", text_col: str = "text", host: s
 
 def judge(
     df: DataFrame, key: str = "doc_id", text_col: str = "text", host: str = "source",
-    max_docs: int = 20, min_words: int = 10, min_left: float = 0.5,
+    max_docs: int = 20, min_words: int = 10, min_left: float = 0.2,
 ) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words, removed_words, kept) of every row.
 
@@ -136,5 +136,5 @@ counted AS (
   FROM docs d JOIN plain p USING (row) LEFT JOIN covered c USING (row) LEFT JOIN left_over o USING (row)),
 failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words, removed_words,
-  NOT base_failed AND (removed_words = 0 OR (line_words - removed_words >= 10 AND line_words - removed_words >= 0.5 * line_words)) AS kept
+  NOT base_failed AND (removed_words = 0 OR (line_words - removed_words >= 10 AND line_words - removed_words >= 0.2 * line_words)) AS kept
 FROM failed"""

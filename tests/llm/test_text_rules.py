@@ -47,7 +47,7 @@ def plain_quality(rows, limit):
         worded = [x for x in text.split("\n") if words(x)]
         failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
         total, gone = sum(len(x.split(" ")) for x in lines), sum(len(x.split(" ")) for x in lines if seen[source, x] > limit)
-        kept = not failed and (gone == 0 or total - gone >= 10 and total - gone >= 0.5 * total)
+        kept = not failed and (gone == 0 or total - gone >= 10 and total - gone >= 0.2 * total)
         out.append((key, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(worded) - len(set(worded)), len(hit), failed, total, gone, kept))
     return out
 
