@@ -1,6 +1,6 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
-Codes are cut into segments of about log2(rows) bits, and each distinct code is
+Codes are cut into segments of 16 bits or less, and each distinct code is
 indexed under every (segment, value). A query asks for all values within a
 radius of its own in every segment; the radius grows by one a round. With m
 segments and radius s every code within m * (s + 1) - 1 bits has been met
@@ -51,22 +51,23 @@ def _segments(code: Column, cuts: list[tuple[int, int]]) -> list[Column]:
     return [F.shiftright(F.get(code, F.lit(start // WORD)), start % WORD).bitwiseAND(F.lit((1 << n) - 1)) for start, n in cuts]
 
 
-def cuts_for(bits: int, rows: int) -> list[tuple[int, int]]:
-    """Segments of nearly equal length within each word, of about log2(rows) bits and 20 at most."""
-    want = max(1, min(20, round(math.log2(max(2, rows)))))
+def cuts_for(bits: int, most: int = 16) -> list[tuple[int, int]]:
+    """Segments of nearly equal length within each word, of ``most`` bits at most."""
     out = []
     for a in range(0, bits, WORD):
         n = min(WORD, bits - a)
-        pieces = max(1, math.ceil(n / want))
+        pieces = max(1, math.ceil(n / most))
         edges = [a + n * i // pieces for i in range(pieces + 1)]
         out += [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
     return out
 
 
-def top_k(rows: DataFrame, queries: DataFrame, bits: int, k: int = 10) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, bits: int, k: int = 10, segment_bits: int = 16) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): the k nearest rows of each query, itself included if it is a row.
 
     Both inputs have (id, code); codes have ``bits`` bits in words of WORD.
+    Segments of ``segment_bits``, best near log2 of the number of distinct
+    codes, change the work and not the result.
     Rows and queries without id or code take no part. Repeated rows are
     neighbours of their own, in the order of their ids. Where fewer than k
     rows exist, all are returned.
@@ -76,9 +77,8 @@ def top_k(rows: DataFrame, queries: DataFrame, bits: int, k: int = 10) -> DataFr
     kept = rows.withColumn("n", nth).filter(F.col("n") <= k)
     index = stored(kept.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")  # k ids at most each
     asked = stored(queries.select("code").distinct(), "asked")
-    stats = index.agg(F.count("*").alias("codes"), F.sum(F.size("ids")).alias("ids")).first()
-    count, enough = stats["codes"], min(k, stats["ids"] or 0)
-    cuts = cuts_for(bits, count)
+    enough = min(k, index.agg(F.sum(F.size("ids"))).first()[0] or 0)
+    cuts = cuts_for(bits, segment_bits)
     m = len(cuts)
 
     def entries(table: DataFrame, code: str) -> DataFrame:
