@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlife.operators.survival import chi_square_tail, whole_days
-from ledgerlife.session import reused
+from ledgerlife.session import release, reused
 
 def _series(risk, tied, count):
     """Tie sums by powers of u = tied / risk, for u of at most a quarter and more than 64 steps.
@@ -101,7 +101,7 @@ class CoxModel:
 
     def release(self) -> None:
         """Give up the folded subjects that were cached for the fit; the model can't predict baselines afterwards."""
-        self.patterns.unpersist()
+        release(self.patterns)
 
 
 def _centred(covariates: Sequence[str], means) -> list[Column]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlife.operators import metrics
-from ledgerlife.session import reused
+from ledgerlife.session import release, reused
 
 # Tuned settings of the two classification tasks.
 SETTLE = {
@@ -122,7 +122,7 @@ def _fit(train: DataFrame, label: str, trainer) -> object:
     """
     rows = reused(labelled(train, label))
     fitted = Pipeline(stages=preprocessing(rows, label) + [trainer(rows)]).fit(rows)
-    rows.unpersist()
+    release(rows)
     return fitted
 
 
@@ -185,7 +185,7 @@ def evaluation(scored: DataFrame, label: str, classes: int, prefix: str = "test_
     if classes == 2:
         ranked = scored.withColumns({"_rank": F.col("probability_class_1"), label: F.col(label).cast("double")})
         row["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="_rank", labelCol=label, numBins=0).evaluate(ranked)
-    scored.unpersist()
+    release(scored)
     named = {f"{prefix}{name}": None if value is None else float(value) for name, value in row.items()}
     return scored.sparkSession.createDataFrame([tuple(named.values())], ", ".join(f"{n} double" for n in named))
 
@@ -224,7 +224,7 @@ def model_search(
         seed=seed % 2**31,
     )
     found = search.fit(rows)
-    rows.unpersist()
+    release(rows)
     return found
 
 
@@ -264,7 +264,7 @@ def next_trade_model(train: DataFrame, trees: int = 100, depth: int = 10, seed:
     ]
     rows = reused(train)
     fitted = Pipeline(stages=stages).fit(rows)
-    rows.unpersist()
+    release(rows)
     return fitted
 
 

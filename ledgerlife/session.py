@@ -46,4 +46,21 @@ def reused(df: DataFrame) -> DataFrame:
         return df.persist()
     path = f"{folder.rstrip('/')}/ledgerlife-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = (table, path)
+    return table
+
+
+#: Tables written by reused() that are still there, by the frame that reads them.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Give up a frame from reused(): its table is deleted, or its cache dropped."""
+    _, path = _paths.pop(id(df), (None, None))
+    if path is None:
+        df.unpersist()
+        return
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
