@@ -87,17 +87,20 @@ def top_k(rows: DataFrame, queries: DataFrame, bits: int, k: int = 10, segment_b
 
     inverted = entries(index.select(F.col("code").alias("found"), F.size("ids").alias("n_ids")), "found").drop("length")
     open_ = asked.select("code", F.lit(bits).alias("bound"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done, best = [], None
     for s in range(max(n for _, n in cuts) + 1):
         if open_.isEmpty():
             break
         lengths = sorted({n for _, n in cuts})
         masks = F.coalesce(*(F.when(F.col("length") == n, F.expr(f"filter(sequence(0L, {(1 << n) - 1}L), x -> bit_count(x) = {s})")) for n in lengths)) if s else F.array(F.lit(0).cast("long"))
-        probes = entries(open_, "code").select("code", "bound", "segment", "value", F.explode(masks).alias("mask"))
+        spread = open_.repartition(parts, "code")
+        probes = entries(spread, "code").select("code", "bound", "segment", "value", F.explode(masks).alias("mask"))
         probes = probes.select("code", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         far = distance(F.col("code"), F.col("found"))
         on = (probes["segment"] == inverted["segment"]) & (probes["value"] == inverted["value"]) & (far <= F.col("bound"))
-        met = probes.join(inverted, on).select("code", "found", "n_ids", far.alias("distance"))
+        # Spark can't foresee how many probes a query has, so it is told not to broadcast them.
+        met = probes.hint("merge").join(inverted, on).select("code", "found", "n_ids", far.alias("distance"))
         if best is not None:
             met = met.unionByName(best.join(open_.select("code"), "code", "left_semi").select("code", "found", "n_ids", "distance"))
         met = met.dropDuplicates(["code", "found"])
