@@ -42,7 +42,7 @@ LATER = (
 
 
 #: Bytes of text in a block.
-BLOCK = 5_000_000
+BLOCK = 4_000_000
 
 
 class Vocabulary:
@@ -209,18 +209,28 @@ def encode_block(texts: Iterable[str | None], path: str, pattern: str) -> list[b
     return [ids.astype("<u4").tobytes() for ids in memo(path, pattern).block(cut)]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
+def decode_ids(ids: bytes | None, token: list[bytes]) -> bytes:
+    """The bytes that little-endian unsigned 32-bit ids stand for."""
+    return b"".join(map(token.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+
+
+def encode(
+    df: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """Add the ids of each whole text as a binary column of little-endian unsigned 32-bit integers.
 
     ``path`` is a rank file that every executor can read and ``pattern`` cuts
     texts into pieces, which are encoded separately, without special tokens.
-    A null or empty text has empty ids. A column named ``into`` is replaced.
+    With ``decoded`` the ids are decoded again in the same pass into a column of
+    that name, as by decode(). A null or empty text has empty ids. Columns of
+    the names that are added are replaced.
     """
 
     def make(texts: list) -> list:
-        return [encode_block(texts, path, pattern)]
+        ids = encode_block(texts, path, pattern)
+        return [ids] if decoded is None else [ids, [decode_ids(i, vocabulary(path, pattern).token) for i in ids]]
 
-    return mapped(df, text_col, [T.StructField(into, T.BinaryType())], make, most=BLOCK)
+    return mapped(df, text_col, [T.StructField(n, T.BinaryType()) for n in (into, decoded) if n is not None], make, most=BLOCK)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -228,6 +238,6 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", into: s
 
     def make(rows: list) -> list:
         token = vocabulary(path, pattern).token
-        return [[b"".join(map(token.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist())) for ids in rows]]
+        return [[decode_ids(ids, token) for ids in rows]]
 
     return mapped(df, ids_col, [T.StructField(into, T.BinaryType())], make)

@@ -41,8 +41,8 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
-    encoded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN).drop("text")
-    decoded = byte_bpe.decode(encoded, BYTE_BPE, public_tokenizers.PATTERN)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    decoded = byte_bpe.encode(docs, BYTE_BPE, public_tokenizers.PATTERN, decoded="decoded")
     return decoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

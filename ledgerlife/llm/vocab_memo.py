@@ -29,7 +29,7 @@ class Memo:
     size is bounded by that and the segments of one block.
     """
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode

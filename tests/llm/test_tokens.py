@@ -70,6 +70,8 @@ def test_round_trip_on_spark(spark):
     for r in found:
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
         assert hashlib.sha256(r["ids"]).hexdigest() == hashlib.sha256(byte_bpe.encode_block([r["text"]], RANKS, P.PATTERN)[0]).hexdigest()
+    again = byte_bpe.encode(df, RANKS, P.PATTERN, decoded="lang").collect()
+    assert all(bytes(r["lang"]) == (r["text"] or "").encode() for r in again)
     assert byte_bpe.encode(spark.createDataFrame([], SCHEMA), RANKS, P.PATTERN).count() == 0
 
 
