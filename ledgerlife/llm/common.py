@@ -121,10 +121,26 @@ def mapped(df: DataFrame, text_col: str, added: list[T.StructField], make: Calla
                 columns = [batch.column(i) for i in kept]
                 columns += [values if isinstance(values, pa.Array) else pa.array(values, kind) for kind, values in zip(kinds, made, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                del made, columns, batch
+            del whole
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks, beside the executor's heap."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def parts(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of the text column each, one row at least."""
     import numpy as np
