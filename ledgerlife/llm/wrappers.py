@@ -222,33 +222,43 @@ def aligned(xs: list[Node], ys: list[Node], same_page: bool = False) -> list[Nod
 
 
 def _common(p: list[str], q: list[str]) -> list[tuple[int, int]]:
-    """Matched positions of two signature lists: a longest common subsequence, or the next match for very wide ones."""
-    n, m = len(p), len(q)
-    if n * m > 40_000:
-        at: dict[str, list[int]] = {}
-        for j, s in enumerate(q):
-            at.setdefault(s, []).append(j)
-        pairs, j = [], -1
-        for i, s in enumerate(p):
-            nxt = next((k for k in at.get(s, ()) if k > j), None)
-            if nxt is not None:
-                pairs.append((i, nxt))
-                j = nxt
-        return pairs
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if p[i] == q[j] else max(best[i + 1][j], best[i][j + 1])
-    pairs, i, j = [], 0, 0
-    while i < n and j < m:
-        if p[i] == q[j]:
+    """Matched positions of a longest common subsequence of two signature lists, by halving (Hirschberg) in linear memory."""
+    pairs, todo = [], [(0, len(p), 0, len(q))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and p[i] == q[j]:
             pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return pairs
+        while i < n and j < m and p[n - 1] == q[m - 1]:
+            n, m = n - 1, m - 1
+            pairs.append((n, m))
+        if i == n or j == m:
+            continue
+        if n - i == 1:
+            if (k := next((k for k in range(j, m) if q[k] == p[i]), None)) is not None:
+                pairs.append((i, k))
+            continue
+        half = (i + n) // 2
+        ahead, behind = _lengths(p[i:half], q[j:m]), _lengths(p[half:n][::-1], q[j:m][::-1])
+        cut = max(range(m - j + 1), key=lambda k: ahead[k] + behind[m - j - k])
+        todo += [(i, half, j, j + cut), (half, n, j + cut, m)]
+    return sorted(pairs)
+
+
+def _lengths(p: list[str], q: list[str]) -> list[int]:
+    """Length of the longest common subsequence of p and each prefix of q, a bit for each position of q."""
+    at: dict[str, int] = {}
+    for j, s in enumerate(q):
+        at[s] = at.get(s, 0) | 1 << j
+    every = (1 << len(q)) - 1
+    row = every
+    for s in p:
+        hit = row & at.get(s, 0)
+        row = (row + hit | row - hit) & every
+    out = [0]
+    for bit in reversed(f"{row:0{len(q)}b}"):
+        out.append(out[-1] + (bit == "0"))
+    return out
 
 
 def packed(node: Node) -> list:

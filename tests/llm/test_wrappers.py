@@ -1,5 +1,7 @@
 """Wrappers and main text of small pages."""
 
+import random
+
 import pytest
 
 from ledgerlife.llm import wrappers as W
@@ -70,3 +72,18 @@ def test_extraction_on_spark(spark):
     assert text[104].count("\n") == 19_999 and text[105] == "deep"
     assert W.infer(df).count() == 5
     assert W.extract(df.limit(0)).count() == 0
+
+
+def test_alignment_is_exact_at_every_width():
+    rnd = random.Random(5)
+    for n, m in [(0, 3), (1, 1), (5, 9), (30, 40), (220, 230)]:
+        p, q = [rnd.choice("abcd") for _ in range(n)], [rnd.choice("abcde") for _ in range(m)]
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                best[i + 1][j + 1] = best[i][j] + 1 if p[i] == q[j] else max(best[i][j + 1], best[i + 1][j])
+        pairs = W._common(p, q)
+        assert len(pairs) == best[n][m] and all(p[i] == q[j] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+    wide = [f"s{i}" for i in range(2_000)]
+    assert len(W._common(["last", *wide], [*wide, "last"])) == 2_000
