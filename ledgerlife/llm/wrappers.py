@@ -19,11 +19,14 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Generator, Iterator
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from ledgerlife.llm.common import free, mapped, stored
 
@@ -45,6 +48,9 @@ CHROME_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article articlebody post entry story content main maincontent text".split())
 
+#: Tags whose elements are dropped where they are links throughout.
+LIST_TAGS = frozenset("ul ol table div section p".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>?|[^<]+|<", re.DOTALL
 )
@@ -87,6 +93,12 @@ def parse(page: str | None) -> Node:
     """The tree of a page. Ends that are left out are supplied; stray ends are ignored."""
     root = Node("", "")
     stack, at, low = [root], 0, None
+    opened: Counter[str] = Counter()  # tags on the stack, so that no search goes through it in vain
+
+    def leave(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     page = page or ""
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -97,9 +109,9 @@ def parse(page: str | None) -> Node:
             continue
         tag, ending, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ending:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    leave(i)
                     break
             continue
         if tag in SILENT:
@@ -114,8 +126,10 @@ def parse(page: str | None) -> Node:
         closing = ("p",) if tag in CLOSES_P else ()
         closing += {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
         for i in range(len(stack) - 1, 0, -1):
+            if not any(opened[t] for t in closing):
+                break
             if stack[i].tag in closing:
-                del stack[i:]
+                leave(i)
             if i < len(stack) and stack[i].tag in BLOCK and stack[i].tag not in closing:
                 break
         sig, hidden = signature(tag, attributes)
@@ -124,6 +138,7 @@ def parse(page: str | None) -> Node:
         stack[-1].kids.append(node)
         if tag not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -148,7 +163,27 @@ def main_level(node: Node) -> int:
 
 # Inference ---------------------------------------------------------------------------------------
 
-def folded(node: Node, link: bool = False) -> Node:
+def stepwise(make: Callable[..., Generator]) -> Callable:
+    """Call a generator function that yields the calls it waits for, on a stack of its own: depth is bounded by memory alone."""
+
+    @wraps(make)
+    def call(*args, **kw):
+        stack, value = [make(*args, **kw)], None
+        while stack:
+            try:
+                stack.append(stack[-1].send(value))
+                value = None
+            except StopIteration as end:
+                stack.pop()
+                value = end.value
+        return value
+
+    call.step = make
+    return call
+
+
+@stepwise
+def folded(node: Node, link: bool = False) -> Generator:
     """The wrapper of a single page: white space left out, repeated neighbours folded."""
     out = Node(node.sig, node.tag)
     if node.tag == "#":
@@ -157,13 +192,17 @@ def folded(node: Node, link: bool = False) -> Node:
         out.linked = out.chars if link else 0
         return out
     link = link or node.tag == "a"
-    kids = [folded(k, link) for k in node.kids if k.tag != "#" or not k.text.isspace()]
+    kids = []
+    for k in node.kids:
+        if k.tag != "#" or not k.text.isspace():
+            kids.append((yield folded.step(k, link)))
     out.chars, out.linked = sum(k.chars for k in kids), sum(k.linked for k in kids)
-    out.kids = squeezed(kids)
+    out.kids = yield squeezed.step(kids)
     return out
 
 
-def squeezed(kids: list[Node]) -> list[Node]:
+@stepwise
+def squeezed(kids: list[Node]) -> Generator:
     """Turns of one to three signatures that follow themselves become one repeated node or group."""
     for n in (1, 2, 3):
         i, out = 0, []
@@ -179,7 +218,8 @@ def squeezed(kids: list[Node]) -> list[Node]:
                 continue
             group = [kids[i + j] for j in range(n)]
             for t in range(1, times):
-                group = [merged(a, b, same_page=True) for a, b in zip(group, kids[i + t * n : i + (t + 1) * n])]
+                for j in range(n):
+                    group[j] = yield merged.step(group[j], kids[i + t * n + j], same_page=True)
             if n == 1:
                 whole = group[0]
             else:
@@ -193,32 +233,31 @@ def squeezed(kids: list[Node]) -> list[Node]:
     return kids
 
 
-def merged(a: Node, b: Node, same_page: bool = False) -> Node:
+@stepwise
+def merged(a: Node, b: Node, same_page: bool = False) -> Generator:
     """Align two nodes of one signature; b's content is taken over into a."""
     a.many, a.maybe = a.many or b.many, a.maybe or b.maybe
     a.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     a.chars, a.linked = a.chars + b.chars, a.linked + b.linked
     if a.text != b.text:
         a.text = None  # a slot
-    a.kids = aligned(a.kids, b.kids, same_page)
+    a.kids = yield aligned.step(a.kids, b.kids, same_page)
     return a
 
 
-def aligned(xs: list[Node], ys: list[Node], same_page: bool = False) -> list[Node]:
+@stepwise
+def aligned(xs: list[Node], ys: list[Node], same_page: bool = False) -> Generator:
     """Longest common order of two sibling lists; what only one side has becomes optional."""
     p, q = [x.sig for x in xs], [y.sig for y in ys]
-    if p == q:
-        return [merged(x, y, same_page) for x, y in zip(xs, ys)]
-    pairs = _common(p, q)
     out, i, j = [], 0, 0
-    for u, v in [*pairs, (len(xs), len(ys))]:
+    for u, v in [*_common(p, q), (len(xs), len(ys))]:
         for k in [*xs[i:u], *ys[j:v]]:
             k.maybe = True
             out.append(k)
         if u < len(xs) and v < len(ys):
-            out.append(merged(xs[u], ys[v], same_page))
+            out.append((yield merged.step(xs[u], ys[v], same_page)))
         i, j = u + 1, v + 1
-    return squeezed(out)
+    return out if p == q else (yield squeezed.step(out))
 
 
 def _common(p: list[str], q: list[str]) -> list[tuple[int, int]]:
@@ -262,50 +301,80 @@ def _lengths(p: list[str], q: list[str]) -> list[int]:
 
 
 def packed(node: Node) -> list:
-    return [node.sig, node.tag, node.text, int(node.many), int(node.maybe), node.pages, node.chars, node.linked, [packed(k) for k in node.kids]]
+    """The nodes of a tree in order, each with its depth."""
+    rows, todo = [], [(0, node)]
+    while todo:
+        depth, k = todo.pop()
+        rows.append([depth, k.sig, k.tag, k.text, int(k.many), int(k.maybe), k.pages, k.chars, k.linked])
+        todo += [(depth + 1, c) for c in reversed(k.kids)]
+    return rows
 
 
-def unpacked(row: list) -> Node:
-    node = Node(row[0], row[1], row[2])
-    node.many, node.maybe, node.pages, node.chars, node.linked = bool(row[3]), bool(row[4]), *row[5:8]
-    node.kids = [unpacked(k) for k in row[8]]
-    return node
+def unpacked(rows: list) -> Node:
+    line: list[Node] = []  # the nodes above the next row
+    for depth, sig, tag, text, many, maybe, *counts in rows:
+        node = Node(sig, tag, text)
+        node.many, node.maybe = bool(many), bool(maybe)
+        node.pages, node.chars, node.linked = counts
+        del line[depth:]
+        if line:
+            line[-1].kids.append(node)
+        line.append(node)
+    return line[0]
 
 
 def expression(node: Node) -> str:
     """The wrapper as a regular expression over tags: ``#`` is a slot, quotes hold template text."""
-    inner = " ".join(expression(k) for k in node.kids)
-    if node.tag == "#":
-        inner = "#" if node.text is None else json.dumps(node.text, ensure_ascii=False)
-    elif node.tag == "()":
-        inner = f"({inner})"
-    elif node.tag:
-        inner = f"<{node.sig}>" + (f" {inner} </{node.tag}>" if node.kids else "")
-    quantifier = {(True, True): "*", (True, False): "+", (False, True): "?"}.get((node.many, node.maybe), "")
-    return (f"({inner})" if quantifier and node.tag != "()" else inner) + quantifier
+    out: list[str] = []
+    todo: list[Node | str] = [node]
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            out.append(k)
+            continue
+        quantifier = {(True, True): "*", (True, False): "+", (False, True): "?"}.get((k.many, k.maybe), "")
+        start, end = "", ""
+        if k.tag == "#":
+            start = "#" if k.text is None else json.dumps(k.text, ensure_ascii=False)
+        elif k.tag == "()":
+            start, end = "(", ")"
+        elif k.tag:
+            start, end = (f"<{k.sig}> ", f" </{k.tag}>") if k.kids else (f"<{k.sig}>", "")
+        if quantifier and k.tag != "()":
+            start, end = f"({start}", f"{end})"
+        out.append(start)
+        todo.append(end + quantifier)
+        for i, c in enumerate(reversed(k.kids)):
+            todo += [" ", c] if i else [c]
+    return "".join(out)
 
 
 def rules(wrapper: Node) -> dict:
     """What a wrapper adds to a page's own evidence: paths of link lists, and template texts by path."""
     lists, template = [], {}
+    todo: list[tuple[Node, tuple]] = [(wrapper, ())]
 
-    def walk(node: Node, path: str) -> None:
-        for k in node.kids:
-            if k.tag == "()":
-                walk(k, path)
-                continue
-            own = f"{path}/{k.sig}"
+    def spelled(path: tuple) -> str:
+        parts = []
+        while path:
+            path, sig = path
+            parts.append(sig)
+        return "".join(f"/{sig}" for sig in reversed(parts))
+
+    while todo:
+        k, path = todo.pop()
+        if k is not wrapper and k.tag != "()":
+            path = (path, k.sig)
             if is_chrome(k) or main_level(k) >= 2:
                 continue
-            if k.tag in ("ul", "ol", "table", "div", "section", "p") and k.pages >= PAGES and k.chars and k.linked >= 0.8 * k.chars:
-                lists.append(own)
-            elif k.tag == "#":
+            if k.tag in LIST_TAGS and k.pages >= PAGES and k.chars and k.linked >= 0.8 * k.chars:
+                lists.append(spelled(path))
+                continue
+            if k.tag == "#":
                 if k.text and k.pages >= PAGES and k.pages >= SHARE * wrapper.pages:
-                    template.setdefault(own, []).append(k.text)
-            else:
-                walk(k, own)
-
-    walk(wrapper, "")
+                    template.setdefault(spelled(path), []).append(k.text)
+                continue
+        todo += [(c, path) for c in reversed(k.kids)]
     return {"lists": lists, "template": template} if lists or template else {}
 
 
@@ -353,52 +422,64 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 # Extraction --------------------------------------------------------------------------------------
 
+def path_id(text: str, above: int = 0) -> int:
+    """Number of a path below another one; paths are not spelled out, as deep pages would take the square of their depth."""
+    for part in text.split("/"):
+        above = xxh64_intdigest(part, above)
+    return above
+
+
 def main_text(page: str | None, told: dict | None = None) -> str:
     """Main text of a page, a line for each block."""
     root = parse(page)
     found: dict[int, list[Node]] = {1: [], 2: [], 3: []}
-
-    def look(node: Node) -> None:
-        for k in node.kids:
-            if k.tag == "#" or is_chrome(k):
-                continue
-            level = main_level(k)
-            if level:
-                found[level].append(k)
-            if level < 3:
-                look(k)
-
-    look(root)
+    todo = [root]
+    while todo:
+        k = todo.pop()
+        if k.tag == "#" or is_chrome(k):
+            continue
+        level = main_level(k)
+        if level:
+            found[level].append(k)
+        if level < 3:
+            todo += reversed(k.kids)
     for level in (3, 2, 1):
-        tops = [n for n in found[level] if any(True for _ in _texts(n))]
+        tops = [n for n in found[level] if has_text(n)]
         if tops:
-            inside: set[int] = set()
-            for n in tops:  # of nested ones the outer
-                inside.update(id(k) for k in _below(n))
+            inside: set[int] = set()  # of nested ones the outer
+            for n in tops:
+                if id(n) not in inside:
+                    inside.update(id(k) for k in _below(n))
             tops = [n for n in tops if id(n) not in inside]
-            return "\n".join(b for n in tops for b in _blocks(n, "", level >= 2, told if level < 2 else None))
-    return "\n".join(_blocks(root, "", False, told))
+            return "\n".join(b for n in tops for b in _blocks(n, level >= 2, told if level < 2 else None))
+    return "\n".join(_blocks(root, False, told))
 
 
 def _below(node: Node) -> Iterator[Node]:
-    for k in node.kids:
+    todo = node.kids[::-1]
+    while todo:
+        k = todo.pop()
         yield k
-        yield from _below(k)
+        todo += reversed(k.kids)
 
 
-def _texts(node: Node) -> Iterator[str]:
-    for k in node.kids:
+def has_text(node: Node) -> bool:
+    todo = node.kids[::-1]
+    while todo:
+        k = todo.pop()
         if k.tag == "#":
             if not k.text.isspace():
-                yield k.text
+                return True
         elif not is_chrome(k):
-            yield from _texts(k)
+            todo += reversed(k.kids)
+    return False
 
 
-def _blocks(top: Node, path: str, article: bool, told: dict | None) -> list[str]:
+def _blocks(top: Node, article: bool, told: dict | None) -> list[str]:
     out: list[str] = []
     line: list[str] = []
-    lists, template = (set(told.get("lists", ())), told.get("template", {})) if told else (set(), {})
+    lists = {path_id(p[1:]) for p in told.get("lists", ())} if told else set()
+    template = {path_id(p[1:]): v for p, v in told.get("template", {}).items()} if told else {}
 
     def end() -> None:
         text = " ".join("".join(line).split())
@@ -406,25 +487,23 @@ def _blocks(top: Node, path: str, article: bool, told: dict | None) -> list[str]
             out.append(text)
         line.clear()
 
-    def walk(node: Node, path: str) -> None:
-        for k in node.kids:
-            if k.tag == "#":
-                if not (template and " ".join(k.text.split()) in template.get(f"{path}/#", ())):
-                    line.append(k.text)
-                continue
-            block = k.tag in BLOCK
-            own = f"{path}/{k.sig}"
+    todo: list[tuple[Node | None, int]] = [(k, 0) for k in reversed(top.kids)]
+    while todo:
+        k, path = todo.pop()
+        if k is None:  # a block ends
+            end()
+        elif k.tag == "#":
+            if not (template and " ".join(k.text.split()) in template.get(path_id("#", path), ())):
+                line.append(k.text)
+        else:
+            own = path_id(k.sig, path) if told else 0
+            if k.tag in BLOCK:
+                end()
             if is_chrome(k) or k.tag == "header" and not article or own in lists:
-                if block:
-                    end()
                 continue
-            if block:
-                end()
-            walk(k, own)
-            if block:
-                end()
-
-    walk(top, path)
+            if k.tag in BLOCK:
+                todo.append((None, 0))
+            todo += [(c, own) for c in reversed(k.kids)]
     end()
     return out
 

@@ -87,3 +87,13 @@ def test_alignment_is_exact_at_every_width():
         assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
     wide = [f"s{i}" for i in range(2_000)]
     assert len(W._common(["last", *wide], [*wide, "last"])) == 2_000
+
+
+@pytest.mark.parametrize("tag", ["div", "font"])
+def test_depth_is_not_limited(tag):
+    html = page(f"<{tag}>" * 100_000 + "deep<p>text")
+    assert W.main_text(html).split() == ["deep", "text"] or W.main_text(html) == "deeptext"
+    node = W.merged(W.folded(W.parse(html)), W.folded(W.parse(html)))
+    again = W.unpacked(W.packed(node))
+    assert again.pages == 2 and len(W.packed(again)) == len(W.packed(node)) > 100_000
+    assert W.expression(again).count("<") > 100_000 and W.rules(again) == {}
