@@ -11,7 +11,8 @@ wrapper, so a host with a third of all pages is no larger a task than others.
 A wrapper tells two things that one page can't: texts that stay the same
 wherever they stand (template words), and lists that are links throughout
 (menus). Both are dropped outside the article; regions whose signature names
-them (navigation, footers, adverts, forms, comments and so on) are dropped everywhere.
+them (navigation, footers, adverts, forms, comments and so on) are dropped everywhere,
+but a form or a layout element (``content-sidebar-wrap``) that holds a main part is gone into.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("html head body br option".split())
 #: Tags, and words of classes, ids and roles, whose regions are never main text.
 CHROME_TAGS = frozenset("head nav footer aside form button select input menu dialog label fieldset".split())
+#: Tags among them that may hold a whole page.
+FORM_TAGS = frozenset(("form", "fieldset"))
 CHROME_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising adsense banner "
     "promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription "
@@ -152,6 +155,42 @@ def is_chrome(node: Node) -> bool:
     return "." in node.sig and node.tag not in ("html", "body", "article", "main") and bool(words_of(node.sig) & CHROME_WORDS)
 
 
+def is_layout(node: Node) -> bool:
+    """Whether chrome may be the frame of a main part: a form, or names like content-sidebar-wrap with no name that is chrome as a whole."""
+    if node.hidden or node.tag in CHROME_TAGS - FORM_TAGS:
+        return False
+    return not any((w := _WORDS.findall(part)) and all(x in CHROME_WORDS or x.isdigit() for x in w) for part in node.sig.split(".")[1:])
+
+
+def is_named(node: Node) -> bool:
+    """Whether chrome is so by its words or as a form, not by a tag of its own or by being hidden."""
+    return not node.hidden and node.tag not in CHROME_TAGS - FORM_TAGS
+
+
+def opened(root: Node, may: Callable[[Node], bool] = is_layout) -> set[int]:
+    """Ids of the chrome elements that hold a main part with text, among those that ``may``; nothing in other chrome counts."""
+    nodes, todo = [], [(root, -1)]
+    while todo:
+        k, above = todo.pop()
+        if k.tag != "#" and is_chrome(k) and not may(k):
+            continue
+        nodes.append((k, above))
+        todo += [(c, len(nodes) - 1) for c in k.kids]
+    texts, parts, out = bytearray(len(nodes)), bytearray(len(nodes)), set()
+    for i in range(len(nodes) - 1, 0, -1):
+        k, above = nodes[i]
+        if k.tag == "#":
+            texts[above] |= not k.text.isspace()
+            continue
+        chrome = is_chrome(k)
+        if chrome and parts[i]:
+            out.add(id(k))
+        if not chrome or parts[i]:  # text of a form or sidebar doesn't make a part
+            texts[above] |= texts[i]
+        parts[above] |= parts[i] or texts[i] and not chrome and main_level(k) > 0
+    return out
+
+
 def main_level(node: Node) -> int:
     """3 for an article, 2 for the main part, 1 for a name like content, else 0."""
     if node.tag == "article" or "." in node.sig and "articlebody" in node.sig.replace("-", ""):
@@ -432,27 +471,37 @@ def path_id(text: str, above: int = 0) -> int:
 def main_text(page: str | None, told: dict | None = None) -> str:
     """Main text of a page, a line for each block."""
     root = parse(page)
+    level, lines = _main_lines(root, opened(root), told)
+    if not level and (named := opened(root, is_named)):  # a main part in regions that are chrome by their whole name
+        other = _main_lines(root, named, told)[1]
+        lines = max(lines, other, key=lambda x: sum(map(len, x)))
+    if not lines and (forms := {id(k) for k in _below(root) if k.tag in FORM_TAGS and not k.hidden}):
+        lines = _main_lines(root, forms, told)[1]
+    return "\n".join(lines)
+
+
+def _main_lines(root: Node, open_: set[int], told: dict | None) -> tuple[int, list[str]]:
     found: dict[int, list[Node]] = {1: [], 2: [], 3: []}
     todo = [root]
     while todo:
         k = todo.pop()
-        if k.tag == "#" or is_chrome(k):
+        if k.tag == "#" or is_chrome(k) and id(k) not in open_:
             continue
-        level = main_level(k)
+        level = 0 if id(k) in open_ else main_level(k)
         if level:
             found[level].append(k)
         if level < 3:
             todo += reversed(k.kids)
     for level in (3, 2, 1):
-        tops = [n for n in found[level] if has_text(n)]
+        tops = [n for n in found[level] if has_text(n, open_)]
         if tops:
             inside: set[int] = set()  # of nested ones the outer
             for n in tops:
                 if id(n) not in inside:
                     inside.update(id(k) for k in _below(n))
             tops = [n for n in tops if id(n) not in inside]
-            return "\n".join(b for n in tops for b in _blocks(n, level >= 2, told if level < 2 else None))
-    return "\n".join(_blocks(root, False, told))
+            return level, [b for n in tops for b in _blocks(n, level >= 2, told if level < 2 else None, open_)]
+    return 0, _blocks(root, False, told, open_)
 
 
 def _below(node: Node) -> Iterator[Node]:
@@ -463,19 +512,19 @@ def _below(node: Node) -> Iterator[Node]:
         todo += reversed(k.kids)
 
 
-def has_text(node: Node) -> bool:
+def has_text(node: Node, open_: set[int]) -> bool:
     todo = node.kids[::-1]
     while todo:
         k = todo.pop()
         if k.tag == "#":
             if not k.text.isspace():
                 return True
-        elif not is_chrome(k):
+        elif not is_chrome(k) or id(k) in open_:
             todo += reversed(k.kids)
     return False
 
 
-def _blocks(top: Node, article: bool, told: dict | None) -> list[str]:
+def _blocks(top: Node, article: bool, told: dict | None, open_: set[int]) -> list[str]:
     out: list[str] = []
     line: list[str] = []
     lists = {path_id(p[1:]) for p in told.get("lists", ())} if told else set()
@@ -499,7 +548,7 @@ def _blocks(top: Node, article: bool, told: dict | None) -> list[str]:
             own = path_id(k.sig, path) if told else 0
             if k.tag in BLOCK:
                 end()
-            if is_chrome(k) or k.tag == "header" and not article or own in lists:
+            if is_chrome(k) and id(k) not in open_ or k.tag == "header" and not article or own in lists:
                 continue
             if k.tag in BLOCK:
                 todo.append((None, 0))

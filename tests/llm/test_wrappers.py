@@ -74,6 +74,29 @@ def test_extraction_on_spark(spark):
     assert W.extract(df.limit(0)).count() == 0
 
 
+ARTICLE = "<article><h1>Head</h1><p>Body</p></article>"
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        (f"<form action=x><input><label>Mail</label>{ARTICLE}</form>", "Head\nBody"),
+        (f"<div class='content-sidebar-wrap'>{ARTICLE}<div class=sidebar>side</div></div>", "Head\nBody"),
+        ("<div class='with-sidebar'><div class='content'><p>Body</p></div><div id='sidebar'><p>side</p></div></div>", "Body"),
+        ("<div class='post-with-comments'><div class='entry-content'><p>Body</p></div><div class='comments'><div class='content'>nice</div></div></div>", "Body"),
+        ("<article><div class='post-with-comments'><div class='entry-content'><p>Body</p></div><form><p>Mail</p></form></div></article>", "Body"),
+        (f"<div class='widget'>{ARTICLE}</div>", "Head\nBody"),
+        (f"<p>Site</p><div id='overlay'>{ARTICLE}</div>", "Head\nBody"),
+        (f"<main><p>Main</p></main><div class='related'>{ARTICLE}</div>", "Main"),
+        ("<form><p>One</p><p>Two</p><button>Send</button></form>", "One\nTwo"),
+        ("<p>Text</p><form><p>Mail</p></form>", "Text"),
+        (f"<div hidden>{ARTICLE}</div><nav>{ARTICLE}</nav>", ""),
+    ],
+)
+def test_chrome_that_holds_the_main_part_is_gone_into(body, text):
+    assert W.main_text(page(body)) == text
+
+
 def test_alignment_is_exact_at_every_width():
     rnd = random.Random(5)
     for n, m in [(0, 3), (1, 1), (5, 9), (30, 40), (220, 230)]:
