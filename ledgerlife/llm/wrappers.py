@@ -1,18 +1,21 @@
-"""Main text of web pages by wrappers: union-free regular expressions over the tags of a host's pages.
-
-Pages of a host are aligned one after another. Equal signatures (a tag with
-its class, id and role words) match; signatures that one side lacks become
-optional; neighbours that repeat, alone or in turns of up to three, become
-repeated groups; a text that differs becomes a slot. Every task folds its own
-pages, then wrappers are aligned with wrappers: first in salted groups of a
-host, then per host, each time as a stream in host order that holds one
-wrapper, so a host with a third of all pages is no larger a task than others.
-
-A wrapper tells two things that one page can't: texts that stay the same
-wherever they stand (template words), and lists that are links throughout
-(menus). Both are dropped outside the article; regions whose signature names
-them (navigation, footers, adverts, forms, comments and so on) are dropped everywhere,
-but a form or a layout element (``content-sidebar-wrap``) that holds a main part is gone into.
+"""Main text of web pages, by what the pages of a host share.
+
+Two things can't be told from one page: texts that stay the same wherever they
+stand (template words), and lists that are links throughout (menus). Both are
+counted by path, a path being the signatures (a tag with its class, id and role
+words) from the root down: pages by (host, path, line of text), and characters
+and linked characters by (host, path). Counts are grouped aggregates of small
+rows with numbers in place of paths and texts, joined back to each page by the
+paths that it has, so no task and no row holds a host. Both are dropped outside
+the article; regions whose signature names them (navigation, footers, adverts,
+forms, comments and so on) are dropped everywhere, but a form or a layout
+element (``content-sidebar-wrap``) that holds a main part is gone into.
+
+``infer`` shows the structure that pages of a host share as a wrapper, a
+union-free regular expression over tags. Equal signatures match; signatures
+that one side lacks become optional; neighbours that repeat, alone or in turns
+of up to three, become repeated groups; a text is a slot. Its wrapper has the
+size of the host's structure; ``extract`` doesn't use it.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from ledgerlife.llm.common import free, mapped, stored
+from ledgerlife.llm.common import free, stored
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = ("script", "style", "template", "noscript", "textarea", "title", "svg", "iframe", "object", "math")
@@ -222,19 +225,20 @@ def stepwise(make: Callable[..., Generator]) -> Callable:
 
 
 @stepwise
-def folded(node: Node, link: bool = False) -> Generator:
-    """The wrapper of a single page: white space left out, repeated neighbours folded."""
+def folded(node: Node, link: bool = False, texts: bool = True) -> Generator:
+    """The wrapper of a single page: white space left out, repeated neighbours folded; without ``texts`` all texts are slots."""
     out = Node(node.sig, node.tag)
     if node.tag == "#":
         out.text = " ".join(node.text.split())
         out.chars = len(out.text)
         out.linked = out.chars if link else 0
+        out.text = out.text if texts else None
         return out
     link = link or node.tag == "a"
     kids = []
     for k in node.kids:
         if k.tag != "#" or not k.text.isspace():
-            kids.append((yield folded.step(k, link)))
+            kids.append((yield folded.step(k, link, texts)))
     out.chars, out.linked = sum(k.chars for k in kids), sum(k.linked for k in kids)
     out.kids = yield squeezed.step(kids)
     return out
@@ -421,7 +425,7 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper) of every host, the wrapper as JSON. Pages without a host share the host ''."""
+    """(host, wrapper) of every host, its structure as JSON. Pages without a host share the host ''."""
 
     def fold(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -429,7 +433,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         for batch in batches:
             held: dict[str, Node] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = folded(parse(page.as_py()))
+                own = folded(parse(page.as_py()), texts=False)
                 held[host] = merged(held[host], own) if host in held else own
             rows = [json.dumps(packed(n), ensure_ascii=False) for n in held.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(rows, pa.string())], names=["host", "wrapper"])
@@ -468,40 +472,53 @@ def path_id(text: str, above: int = 0) -> int:
     return above
 
 
-def main_text(page: str | None, told: dict | None = None) -> str:
-    """Main text of a page, a line for each block."""
+def main_text(page: str | None, told: dict | set[int] | None = None) -> str:
+    """Main text of a page, a line for each block. ``told``: rules of a wrapper, or the numbers of the page's facts that are rules."""
     root = parse(page)
+    if isinstance(told, dict):
+        lists = {_fact(LIST, path_id(p[1:])) for p in told.get("lists", ())}
+        told = lists | {_fact(TEXT, path_id(p[1:]), t) for p, texts in told.get("template", {}).items() for t in texts}
     level, lines = _main_lines(root, opened(root), told)
     if not level and (named := opened(root, is_named)):  # a main part in regions that are chrome by their whole name
         other = _main_lines(root, named, told)[1]
         lines = max(lines, other, key=lambda x: sum(map(len, x)))
-    if not lines and (forms := {id(k) for k in _below(root) if k.tag in FORM_TAGS and not k.hidden}):
+    if not lines and (forms := _forms(root)):
         lines = _main_lines(root, forms, told)[1]
     return "\n".join(lines)
 
 
-def _main_lines(root: Node, open_: set[int], told: dict | None) -> tuple[int, list[str]]:
-    found: dict[int, list[Node]] = {1: [], 2: [], 3: []}
-    todo = [root]
+def _forms(root: Node) -> set[int]:
+    return {id(k) for k in _below(root) if k.tag in FORM_TAGS and not k.hidden}
+
+
+def _tops(root: Node, open_: set[int]) -> tuple[int, list[tuple[Node, int]]]:
+    """The level of the main part, and its outermost elements with their paths."""
+    found: dict[int, list[tuple[Node, int]]] = {1: [], 2: [], 3: []}
+    todo = [(k, 0) for k in reversed(root.kids)]
     while todo:
-        k = todo.pop()
+        k, path = todo.pop()
         if k.tag == "#" or is_chrome(k) and id(k) not in open_:
             continue
+        path = path_id(k.sig, path)
         level = 0 if id(k) in open_ else main_level(k)
         if level:
-            found[level].append(k)
+            found[level].append((k, path))
         if level < 3:
-            todo += reversed(k.kids)
+            todo += [(c, path) for c in reversed(k.kids)]
     for level in (3, 2, 1):
-        tops = [n for n in found[level] if has_text(n, open_)]
+        tops = [n for n in found[level] if has_text(n[0], open_)]
         if tops:
             inside: set[int] = set()  # of nested ones the outer
-            for n in tops:
+            for n, _ in tops:
                 if id(n) not in inside:
                     inside.update(id(k) for k in _below(n))
-            tops = [n for n in tops if id(n) not in inside]
-            return level, [b for n in tops for b in _blocks(n, level >= 2, told if level < 2 else None, open_)]
-    return 0, _blocks(root, False, told, open_)
+            return level, [n for n in tops if id(n[0]) not in inside]
+    return 0, [(root, 0)]
+
+
+def _main_lines(root: Node, open_: set[int], told: set[int] | None) -> tuple[int, list[str]]:
+    level, tops = _tops(root, open_)
+    return level, [x for n, path in tops for x in _Walk(open_, level >= 2, told if level < 2 else None).lines(n, path)]
 
 
 def _below(node: Node) -> Iterator[Node]:
@@ -524,59 +541,172 @@ def has_text(node: Node, open_: set[int]) -> bool:
     return False
 
 
-def _blocks(top: Node, article: bool, told: dict | None, open_: set[int]) -> list[str]:
-    out: list[str] = []
-    line: list[str] = []
-    lists = {path_id(p[1:]) for p in told.get("lists", ())} if told else set()
-    template = {path_id(p[1:]): v for p, v in told.get("template", {}).items()} if told else {}
-
-    def end() -> None:
-        text = " ".join("".join(line).split())
-        if text:
-            out.append(text)
-        line.clear()
-
-    todo: list[tuple[Node | None, int]] = [(k, 0) for k in reversed(top.kids)]
-    while todo:
-        k, path = todo.pop()
-        if k is None:  # a block ends
-            end()
-        elif k.tag == "#":
-            if not (template and " ".join(k.text.split()) in template.get(path_id("#", path), ())):
-                line.append(k.text)
-        else:
-            own = path_id(k.sig, path) if told else 0
+#: Kinds of facts: a list by its path, a line by the path of its block, a text among others of its line by its place, a text by its path.
+LIST, LINE, SLOT, TEXT = range(4)
+
+
+def _fact(kind: int, path: int, text: str = "") -> int:
+    return xxh64_intdigest(text, path ^ kind)
+
+
+class _Walk:
+    """A walk over main parts that gives the lines that no rule drops; with ``facts``, it counts what may become a rule."""
+
+    def __init__(self, open_: set[int], article: bool, told: set[int] | None, facts: dict[int, list[int]] | None = None) -> None:
+        self.open, self.article, self.told, self.facts = open_, article, told or (), facts
+        self.line: list[tuple[str, int, int, int]] = []  # text, the paths of its parent and block, its place
+        self.out: list[str] = []
+
+    def end(self) -> None:
+        line, self.line = self.line, []
+        whole = " ".join("".join(x[0] for x in line).split())
+        if not whole:
+            return
+        if self.facts is None and not self.told:
+            self.out.append(whole)
+            return
+        texts = [x for x in line if not x[0].isspace()]
+        key = _fact(LINE, texts[0][2], whole)
+        slots = {x: _fact(SLOT, path_id(f"#{x[3]}", x[1])) for x in texts} if len(texts) > 1 else {}
+        if self.facts is not None:
+            self.facts[key] = [LINE, 0, 0, 0, 0]
+            for x, slot in slots.items():
+                n = xxh64_intdigest(" ".join(x[0].split())) >> 1
+                old = self.facts.setdefault(slot, [SLOT, 0, 0, n, n])
+                old[3:] = min(old[3], n), max(old[4], n)
+        if key not in self.told:
+            kept = [x[0] for x in line if slots.get(x) not in self.told and _fact(TEXT, path_id("#", x[1]), " ".join(x[0].split())) not in self.told]
+            if text := " ".join("".join(kept).split()):
+                self.out.append(text)
+
+    def lines(self, top: Node, path: int, sizes: dict[int, tuple[int, int]] | None = None) -> list[str]:
+        keyed = bool(self.told) or self.facts is not None
+        todo: list[tuple[Node | None, int, int, int]] = [(k, path, path, i) for i, k in _placed(top)]
+        while todo:
+            k, path, block, place = todo.pop()
+            if k is None:  # a block ends
+                self.end()
+                continue
+            if k.tag == "#":
+                self.line.append((k.text, path, block, place))
+                continue
+            own = path_id(k.sig, path) if keyed else 0
             if k.tag in BLOCK:
-                end()
-            if is_chrome(k) and id(k) not in open_ or k.tag == "header" and not article or own in lists:
+                self.end()
+            if is_chrome(k) and id(k) not in self.open or k.tag == "header" and not self.article or self.facts is not None and main_level(k) >= 2:
                 continue
+            if keyed and k.tag in LIST_TAGS:
+                key = _fact(LIST, own)
+                if self.facts is None:
+                    if key in self.told:
+                        continue
+                elif (n := sizes[id(k)])[0]:
+                    old = self.facts.setdefault(key, [LIST, 0, 0, 0, 0])
+                    old[1:3] = old[1] + n[0], old[2] + n[1]
             if k.tag in BLOCK:
-                todo.append((None, 0))
-            todo += [(c, own) for c in reversed(k.kids)]
-    end()
-    return out
+                block = own
+                todo.append((None, 0, 0, 0))
+            todo += [(c, own, block, i) for i, c in _placed(k)]
+        self.end()
+        return self.out
+
+
+def _placed(node: Node) -> list[tuple[int, Node]]:
+    """Children from last to first, each with the number of those before it that are no white space."""
+    out, i = [], 0
+    for k in node.kids:
+        out.append((i, k))
+        i += k.tag != "#" or not k.text.isspace()
+    return out[::-1]
+
+
+def _sizes(root: Node) -> dict[int, tuple[int, int]]:
+    """Characters and linked characters of every element, by id."""
+    nodes, todo = [], [(root, -1, False)]
+    while todo:
+        k, above, link = todo.pop()
+        link = link or k.tag == "a"
+        n = len(" ".join(k.text.split())) if k.tag == "#" else 0
+        nodes.append([k, above, n, n if link else 0])
+        todo += [(c, len(nodes) - 1, link) for c in k.kids]
+    for k, above, n, linked in (nodes[i] for i in range(len(nodes) - 1, 0, -1)):
+        nodes[above][2] += n
+        nodes[above][3] += linked
+    return {id(k): (n, linked) for k, _, n, linked in nodes if k.tag in LIST_TAGS}
+
+
+def page_facts(page: str | None) -> tuple[bool, dict[int, list[int]]]:
+    """Whether rules apply to a page, and its facts by number: kind, characters, linked characters, least and largest text number."""
+    root = parse(page)
+    open_ = opened(root)
+    used = _tops(root, open_)[0] < 2
+    facts: dict[int, list[int]] = {}
+    sizes = _sizes(root)
+    if not _Walk(open_ | opened(root, is_named), False, None, facts).lines(root, 0, sizes) and used and (forms := _forms(root)):
+        _Walk(forms, False, None, facts).lines(root, 0, sizes)
+    return used, facts
+
+
+FACTS = "host string, page long, used boolean, kind long, fact long, chars long, linked long, lo long, hi long"
+
+
+def counted(pages: DataFrame, most: int = 50_000) -> DataFrame:
+    """A row for each fact of each page (host, page, html)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        names = [f.split(" ")[0] for f in FACTS.split(", ")]
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            columns[4] = np.array(columns[4], dtype=np.uint64).view(np.int64)
+            kinds = [pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 6]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+        for batch in batches:
+            for host, number, page in zip(batch.column(0), batch.column(1), batch.column(2)):
+                used, facts = page_facts(page.as_py())
+                host, number = host.as_py(), number.as_py()
+                rows += [(host, number, used, kind, fact, *rest) for fact, (kind, *rest) in facts.items()]
+                if len(rows) >= most:
+                    yield out()
+        if rows:
+            yield out()
+
+    return pages.mapInArrow(run, FACTS)
+
+
+def learned(facts: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(host, fact) of the facts that are rules of their host, which has ``of`` pages."""
+    rows = facts.groupBy("host", "kind", "fact").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = rows.filter((F.col("n") >= PAGES) & ((F.col("kind") != LIST) | (F.col("linked") >= 0.8 * F.col("chars"))) & (F.col("lo") == F.col("hi")))
+    return rows.join(hosts, "host").filter((F.col("kind") == LIST) | (F.col("n") >= SHARE * F.col("of"))).select("host", "fact")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", into: str = "text") -> DataFrame:
     """Add the main text of each whole page; empty where it has none, or the page is null or empty.
 
-    Rules are joined by host, broadcast only where Spark finds them small. Pages
-    that repeat are treated alike; malformed markup is read as far as it goes.
+    Rules reach a page by (host, hash of the page), only those of its own
+    facts, broadcast only where Spark finds them small. Pages that repeat are
+    treated alike; malformed markup is read as far as it goes.
     """
-    def told(rows: list) -> list:
-        made = [rules(unpacked(json.loads(w))) for w in rows]
-        return [[json.dumps(r, ensure_ascii=False) if r else None for r in made]]
-
-    known = mapped(infer(pages, url_col, html_col), "wrapper", [T.StructField("_rules", T.StringType())], told).drop("wrapper")
-    host_name, rules_name = free(pages.columns, "_host", "_rules")
-    known = stored(known.filter("_rules is not null").select(F.col("host").alias(host_name), F.col("_rules").alias(rules_name)), "rules")
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), HOST, 1), F.lit("")))
-    joined = pages.withColumn(host_name, host).join(known, host_name, "left").drop(host_name)
-    return _extracted(joined, html_col, rules_name, into)
+    number = F.xxhash64(F.col(html_col))
+    facts = stored(counted(pages.select(host.alias("host"), number.alias("page"), F.col(html_col).alias("html"))), "facts")
+    rules_of = stored(learned(facts, pages.groupBy(host.alias("host")).agg(F.count("*").alias("of"))), "rules")
+    names = free(pages.columns, "_host", "_page", "_rules")
+    known = facts.filter("used").select("host", "page", "fact").join(rules_of, ["host", "fact"]).groupBy("host", "page").agg(F.collect_set("fact").alias("facts"))
+    known = known.toDF(*names)
+    joined = pages.withColumn(names[0], host).withColumn(names[1], number).join(known, names[:2], "left").drop(*names[:2])
+    return _extracted(joined, html_col, names[2], into)
 
 
 def _extracted(df: DataFrame, html_col: str, rules_col: str, into: str) -> DataFrame:
-    """Run main_text over (page, rules) and drop the rules; a column named ``into`` is replaced."""
+    """Run main_text over (page, numbers of rules) and drop the rules; a column named ``into`` is replaced."""
     kept = [i for i, c in enumerate(df.columns) if c != rules_col and c.lower() != into.lower()]
     schema = T.StructType([df.schema.fields[i] for i in kept] + [T.StructField(into, T.StringType())])
     html_at, rules_at = df.columns.index(html_col), df.columns.index(rules_col)
@@ -584,16 +714,8 @@ def _extracted(df: DataFrame, html_col: str, rules_col: str, into: str) -> DataF
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        seen: dict[str, dict] = {}
         for batch in batches:
-            texts = []
-            for page, told in zip(batch.column(html_at), batch.column(rules_at)):
-                told = told.as_py()
-                if told is not None and told not in seen:
-                    if len(seen) > 1000:
-                        seen.clear()
-                    seen[told] = json.loads(told)
-                texts.append(main_text(page.as_py(), seen.get(told)))
+            texts = [main_text(page.as_py(), {x & (1 << 64) - 1 for x in told.as_py() or ()}) for page, told in zip(batch.column(html_at), batch.column(rules_at))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(texts, pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)

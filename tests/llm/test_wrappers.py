@@ -120,3 +120,25 @@ def test_depth_is_not_limited(tag):
     again = W.unpacked(W.packed(node))
     assert again.pages == 2 and len(W.packed(again)) == len(W.packed(node)) > 100_000
     assert W.expression(again).count("<") > 100_000 and W.rules(again) == {}
+
+
+def test_no_row_holds_a_host(spark):
+    """Ids and classes that differ by page: rules and rows stay as small as a page, and template lines are found under common paths."""
+
+    def slugged(i):
+        return page(f"<p>Welcome to the shop</p><div id=slug-q{chr(97 + i % 26)}{chr(97 + i // 26)}z><h2>Item {i}</h2><p>Text {i} and <b>more {i}</b> and so on {i}.</p></div><p class=by>by <a>us {i}</a> alone</p><p>All rights reserved</p>")
+
+    n = 200
+    df = spark.createDataFrame([(i, "http://slugs.example.org/", slugged(i)) for i in range(n)], "page_id bigint, url string, html string").repartition(4)
+    found = {r["page_id"]: r["text"] for r in W.extract(df).collect()}
+    assert found == {i: f"Item {i}\nText {i} and more {i} and so on {i}.\nus {i}" for i in range(n)}
+    facts = W.counted(df.select(df.url.alias("host"), W.F.xxhash64("html").alias("page"), "html"))
+    rules = W.learned(facts, df.groupBy(df.url.alias("host")).agg(W.F.count("*").alias("of")))
+    assert rules.count() == 4  # two lines, two places of the by-line
+    assert "Text" not in W.infer(df).first()["wrapper"]
+
+
+def test_common_words_within_paragraphs_stay(spark):
+    rows = [(i, "http://a.example.org/", page(f"<p>Word {i} <b>x{i}</b> and <i>y{i}</i></p><p>the <b>{i}</b> or <i>z{i}</i> end {i}</p>")) for i in range(12)]
+    found = W.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).filter("page_id = 7").first()
+    assert found["text"] == "Word 7 x7 and y7\nthe 7 or z7 end 7"
