@@ -7,7 +7,7 @@ names (``name``, ``$name``, ``${name}``). References carry the literals last
 assigned to that name in the text, so ``k = "..."; password = k`` marks the
 literal of the first line. A literal is scored by the most sensitive name that
 it reaches and by its own shape (length, kinds of characters, entropy,
-placeholders); those at or above THRESHOLD are spans of kind ``lexed`` unless
+placeholders); those at or above THRESHOLD, and random ones under weak names, are spans of kind ``lexed`` unless
 a plain span holds them already.
 """
 
@@ -32,6 +32,11 @@ KINDS = ("assign", "access", "hex", "lexed")
 #: Parts of names that tell how sensitive a value is.
 STRONG = {"password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "credential", "credentials", "privatekey", "accesskey", "bearer"}
 WEAK = {"key", "auth", "pass", "private", "signature", "session", "cookie", "pin", "salt", "login"}
+#: Parts beside which ``pass`` is a password.
+USERS = set(
+    "user username usr account admin root login db database sql mysql mariadb postgres postgresql pg pgsql oracle mssql jdbc mongo mongodb redis rabbitmq amqp kafka elastic "
+    "smtp imap pop mail email ftp sftp ssh ldap http https proxy vpn wifi api aws s3 git docker registry basic service server host client app keystore truststore key store".split()
+)
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|change.?me|your.*|example.*|placeholder|todo|none|null|true|false|test|dummy|redacted|<.*>|\$\{.*\}|%\(.*\)s)$")
 THRESHOLD = 0.75
 
@@ -74,7 +79,7 @@ def sensitivity(name: str) -> float:
     """1 for names of secrets, 0.5 for names that secrets often have, else 0."""
     own = [p.lower() for p in _CASES.findall(name)]
     both = {*own, *(a + b for a, b in zip(own, own[1:]))}
-    return 1.0 if both & STRONG else 0.5 if both & WEAK else 0.0
+    return 1.0 if both & STRONG or "pass" in own and both & USERS else 0.5 if both & WEAK else 0.0
 
 
 def literal_score(value: str) -> float:
@@ -87,6 +92,21 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * (0.55 + 0.15 * kinds) if kinds > 1 or n >= 20 else 0.3
 
 
+def is_random(value: str) -> bool:
+    """Whether a literal of two or more kinds of characters is random rather than worded: its characters hardly repeat and their kinds alternate."""
+    n = len(value)
+    if n < 12 or not literal_score(value):
+        return False
+    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in value]
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    return len(set(kinds)) > 1 and entropy >= min(3.5, 0.9 * math.log2(n)) and 4 * sum(a != b for a, b in zip(kinds, kinds[1:])) >= n
+
+
+def is_secret(weight: float, value: str) -> bool:
+    """Under a strong name by the score of the literal, under a weak one by a full score or a random literal."""
+    return len(value) >= 8 and (0.5 * weight + 0.5 * literal_score(value) >= THRESHOLD or weight > 0 and is_random(value))
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, 3, end) of literals that reach a sensitive name."""
     known: dict[str, list[tuple[int, int]]] = {}
@@ -111,7 +131,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
         weight = sensitivity(name)
         for span in literals if weight else []:
             reached[span] = max(weight, reached.get(span, 0.0))
-    return sorted((a, 3, b) for (a, b), weight in reached.items() if 0.5 * weight + 0.5 * literal_score(text[a:b]) >= THRESHOLD and b - a >= 8)
+    return sorted((a, 3, b) for (a, b), weight in reached.items() if is_secret(weight, text[a:b]))
 
 
 def spans(text: str | None) -> list[tuple[int, int, int]]:

@@ -178,3 +178,18 @@ def test_scan_and_redact_on_spark(spark):
     assert clean[1] == 'é [SECRET]" end' and clean[2] is None and clean[3] == "" and clean[4] == "clean text"
     assert secret not in clean[5] and clean[5].startswith("k = '[SECRET]'\npassword = k word")
     assert secret_scan.redact(df).columns == df.columns and secret_scan.scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(secret_scan.WEAK))
+def test_weak_names_find_random_literals_of_each_kind(name):
+    for value in ("x9k2m4q7v1z8n3b6", "X9K2M4Q7V1Z8N3B6", "xKqMvZnBrTwYpLdG", "x9K2m4Q7v1Z8n3B6", "x9-k2/m4_q7+v1.z8", "x9K2-m4Q7/v1Z8+n3B6"):
+        text = f'{name} = "{value}"'
+        assert any(text[a:b] == value for a, _, b in secret_scan.spans(text)), text
+    for value in ("background-color", "backgroundColorPicker", "primary_content_wrapper", "changeme", "session", "2024-01-01 10:00"):
+        assert secret_scan.spans(f'{name} = "{value}"') == []
+
+
+def test_pass_beside_a_user_or_service_is_strong():
+    for text in ("SMTP_PASS=kq8v2n5x1m4z7p3w", "dbPass: kq8v2n5x1m", "auth = 'x9k2m4q7v1z8n3b6'"):
+        assert len(secret_scan.spans(text)) == 1, text
+    assert secret_scan.sensitivity("boarding_pass") == 0.5 and secret_scan.sensitivity("USER_PASS") == 1.0
