@@ -3,11 +3,11 @@
 Lines are normalised (lower case, digits as 0, white space in a line as one
 space, trimmed) and hashed. A line counts once for each document that has it;
 a line found in more than ``max_docs`` documents of a host is above the limit
-and removed. A document is depleted if what its lines have left, each counted
+and removed (``cleaned``). A document is depleted if what its lines have left, each counted
 once, is fewer than ``min_words`` words or less than ``min_left`` of them.
 
-All on DataFrame functions. Texts are read once and never shuffled: what moves
-is a hash and a word count for each distinct line of a document. Counts are
+All on DataFrame functions. To judge, texts are read once and never shuffled:
+what moves is a hash and a word count for each distinct line of a document. Counts are
 added up before the shuffle, so a line that a third of all documents share is
 a row for each task.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlife.llm.common import GAP, stored, words
+from ledgerlife.llm.common import GAP, free, stored, words
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
@@ -25,8 +25,13 @@ SYMBOLS = "[#*$%&|<>]"
 
 def normalised_lines(text: Column) -> Column:
     """Distinct normalised lines of a text that have a word."""
+    return F.array_distinct(F.filter(_normalised(text), lambda x: x != ""))
+
+
+def _normalised(text: Column) -> Column:
+    """The normalised form of each line of a text."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.array_distinct(F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
 
 
 def repeated_words(df: DataFrame, words_col: str, into: str) -> DataFrame:
@@ -73,6 +78,32 @@ def measured(df: DataFrame, key: str = "doc_id", text_col: str = "text", host: s
     )
 
 
+def above_limit(rows: DataFrame, max_docs: int) -> DataFrame:
+    """(key2, host2, tie2, gone) of the texts among ``measured`` rows that have lines above the limit: the (hash, words) of these lines."""
+    lines = rows.select("key", "host", "tie", F.explode("lines").alias("line")).select("key", "host", "tie", "line.h", "line.n")
+    common = lines.groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
+    common = common.select(F.col("host").alias("host2"), F.col("h").alias("h2"))
+    hits = lines.join(common, lines["host"].eqNullSafe(F.col("host2")) & (lines["h"] == F.col("h2")))
+    # A set, as rows that repeat key and text bring each line once each.
+    return hits.groupBy(F.col("key").alias("key2"), F.col("host").alias("host2"), F.col("tie").alias("tie2")).agg(F.collect_set(F.struct("h", "n")).alias("gone"))
+
+
+def cleaned(df: DataFrame, key: str = "doc_id", text_col: str = "text", host: str = "source", max_docs: int = 20) -> DataFrame:
+    """Every row with its text without the lines above the limit, which are those that judge() counts as removed.
+
+    Other lines stay as they are. Hashes of lines are joined to the texts by
+    (key, host, hash of the text), broadcast only where Spark finds them small.
+    """
+    gone = above_limit(stored(measured(df, key, text_col, host), "lines"), max_docs)
+    names = free(df.columns, "_key2", "_host2", "_tie2", "_gone")
+    gone = gone.select("key2", "host2", "tie2", F.transform("gone", lambda x: x["h"]).alias("gone")).toDF(*names)
+    same = F.col(key).eqNullSafe(F.col(names[0])) & F.col(host).eqNullSafe(F.col(names[1])) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(names[2]))
+    pairs = F.arrays_zip(F.split(text_col, "\n").alias("line"), _normalised(F.col(text_col)).alias("plain"))
+    left = F.filter(pairs, lambda x: (x["plain"] == "") | ~F.array_contains(F.col(names[3]), F.xxhash64(x["plain"])))
+    text = F.when(F.col(names[3]).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
+    return df.join(gone, same, "left").select(*(text.alias(c) if c == text_col else F.col(c) for c in df.columns))
+
+
 def judge(
     df: DataFrame, key: str = "doc_id", text_col: str = "text", host: str = "source",
     max_docs: int = 20, min_words: int = 10, min_left: float = 0.2,
@@ -84,14 +115,9 @@ def judge(
     fewer than 10 words, or more than a fifth of them in repeated windows.
     """
     rows = stored(measured(df, key, text_col, host), "lines")
-    lines = rows.select("key", "host", "tie", F.explode("lines").alias("line")).select("key", "host", "tie", "line.h", "line.n")
-    common = lines.groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
-    common = common.select(F.col("host").alias("host2"), F.col("h").alias("h2"))
-    hits = lines.join(common, lines["host"].eqNullSafe(F.col("host2")) & (lines["h"] == F.col("h2")))
-    # Rows that repeat key and text bring each line once each: divide by their number.
-    copies = F.count("*") / F.count_distinct("h")
-    removed = hits.groupBy(F.col("key").alias("key2"), F.col("host").alias("host2"), F.col("tie").alias("tie2")).agg((F.sum("n") / copies).cast("long").alias("removed"))
+    removed = above_limit(rows, max_docs)
     same = rows["key"].eqNullSafe(F.col("key2")) & rows["host"].eqNullSafe(F.col("host2")) & (rows["tie"] == F.col("tie2"))
+    removed = removed.withColumn("removed", F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]).cast("long")).drop("gone")
     line_words = F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]).cast("long")
     slim = rows.withColumn("line_words", line_words).drop("lines")
     out = slim.join(removed, same, "left").withColumn("removed_words", F.coalesce("removed", F.lit(0).cast("long")))

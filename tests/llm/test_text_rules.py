@@ -193,3 +193,15 @@ def test_pass_beside_a_user_or_service_is_strong():
     for text in ("SMTP_PASS=kq8v2n5x1m4z7p3w", "dbPass: kq8v2n5x1m", "auth = 'x9k2m4q7v1z8n3b6'"):
         assert len(secret_scan.spans(text)) == 1, text
     assert secret_scan.sensitivity("boarding_pass") == 0.5 and secret_scan.sensitivity("USER_PASS") == 1.0
+
+
+@pytest.mark.parametrize("limit", [5, 20])
+def test_cleaned_texts_lack_the_lines_that_are_counted(spark, limit):
+    rows = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    norm = lambda line: re.sub(r"[\x20\x09\x0B-\x0D]+", " ", re.sub("[0-9]", "0", line.lower())).strip(" ")
+    seen = Counter((r[2], x) for r in rows for x in set(map(norm, (r[1] or "").split("\n"))) if x)
+    want = [(r[0], None if r[1] is None else "\n".join(x for x in r[1].split("\n") if seen[r[2], norm(x)] <= limit), *r[2:]) for r in rows]
+    found = line_quality.cleaned(df, max_docs=limit)
+    assert found.columns == df.columns and ordered(map(tuple, found.collect())) == ordered(want)
+    assert any(a[1] != b[1] for a, b in zip(rows, want))
