@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlife.llm import byte_bpe, hamming_search, language_id, line_quality, mixing, secret_scan, simhash, token_store, toxicity, wrappers
+from ledgerlife.llm import byte_bpe, hamming_search, language_id, license_scan, line_quality, mixing, prefix_trie, secret_scan, simhash, token_store, toxicity, wrappers
 from ledgerlife.llm.common import new_path, stored, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -90,11 +90,26 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Base places, labels and score of every document."""
+    found = license_scan.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    starts = F.transform(F.filter("detections", lambda d: d["base"]), lambda d: d["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        license_scan.labels(base_only=True).alias("base_labels"), license_scan.labels().alias("labels"), "score",
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_simhash, op2_line_quality, op3_hamming_search, op4_mixing, op5_byte_bpe, op6_wrappers, op7_token_store, op8_language_id, op9_toxicity,
-        op10_secret_scan,
+        op10_secret_scan, op11_prefix_trie, op12_license_scan,
     )
 }
 
@@ -132,4 +147,34 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
   CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size
     + greatest(0, least(size, budget - (budget // source_size) * source_size - ahead)) END AS BIGINT) AS taken
 FROM placed""",
+    "op11_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p, coalesce(role, '') AS r, coalesce(text, '') AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+lengths AS (SELECT c, count(*) AS n FROM own GROUP BY c),
+heads AS (
+  SELECT c, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))),
+    4294967295::BIGINT) % 6 AS h
+  FROM lengths),
+given AS (SELECT h.c, h.h, h.c - h.c % 100 AS donor, least(h.h, coalesce(l.n, 0)) AS k FROM heads h LEFT JOIN lengths l ON l.c = h.c - h.c % 100),
+turns AS (
+  SELECT o.c, o.p - g.h + g.k AS p, o.r, o.t FROM own o JOIN given g ON o.c = g.c WHERE o.p >= g.h
+  UNION ALL SELECT g.c, o.p, o.r, o.t FROM given g JOIN own o ON o.c = g.donor WHERE o.p < g.k),
+prefixes AS (
+  SELECT c, p + 1 AS d, length(t) AS ch, string_agg(md5(length(r) || ':' || r || t), '') OVER (PARTITION BY c ORDER BY p) AS path FROM turns
+  UNION ALL SELECT c, 0, 0, '' FROM given),
+nodes AS (SELECT path, d, min(c) AS conv, count(*) AS n, any_value(ch) AS ch FROM prefixes GROUP BY path, d),
+children AS (SELECT left(path, CAST(32 * (d - 1) AS BIGINT)) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+ends AS (
+  SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS hash
+  FROM (SELECT c, arg_max(path, d) AS path FROM prefixes GROUP BY c) GROUP BY path),
+sums AS (
+  SELECT a.path, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((w.n - 1) * w.ch) AS saved
+  FROM nodes w LEFT JOIN children k ON k.path = w.path JOIN prefixes a ON a.c = w.conv AND a.d <= w.d GROUP BY a.path)
+SELECT n.conv AS conv_id, CAST(n.d AS BIGINT) AS depth, up.conv AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.hash, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.path = n.path LEFT JOIN children k ON k.path = n.path LEFT JOIN ends e ON e.path = n.path
+LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d - 1 AND up.path = left(n.path, CAST(32 * (n.d - 1) AS BIGINT))""",
 }
