@@ -191,9 +191,8 @@ def grafted(nodes: DataFrame, named: dict[int, DataFrame]) -> DataFrame:
         given = given.select("name", F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("depth"), *values)
         both = own.filter(within == size).unionByName(given)
         totals[k] = stored(both.groupBy("name").agg(F.max("conv_id").alias("conv_id"), F.max("depth").alias("depth"), *(F.sum(v).alias(v) for v in values)), f"totals{k}")
-    root = own.agg(*(F.sum(v).alias(v) for v in values)).select(F.lit(ROOT).alias("name"), *values)
-    root = own.filter("depth = 0").select("name", "conv_id", "depth").join(root, "name")
-    return _union([root, *totals.values()])
+    root = own.agg(F.min("conv_id").alias("conv_id"), *(F.sum(v).alias(v) for v in values))
+    return _union([root.select(F.lit(ROOT).alias("name"), "conv_id", F.lit(0).cast("long").alias("depth"), *values), *totals.values()])
 
 
 def end_hashes(ends: DataFrame) -> DataFrame:
