@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlife.llm import byte_bpe, language_id, mixing, secret_scan, shingles
+from ledgerlife.llm import byte_bpe, language_id, mixing, secret_scan, simhash
 from ledgerlife.llm.common import free, stored, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each class of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return shingles.deduplicate(docs, width=5, least=0.8)
+    """One document of each class of near-duplicates: fingerprints of three-word shingles within two bits."""
+    return simhash.deduplicate(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
