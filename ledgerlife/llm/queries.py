@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlife.llm import byte_bpe, hamming_search, language_id, license_scan, line_quality, mixing, prefix_trie, secret_scan, simhash, token_store, toxicity, wrappers
+from ledgerlife.llm import byte_bpe, hamming_search, hard_negatives, language_id, license_scan, line_quality, mixing, prefix_trie, secret_scan, simhash, token_store, toxicity, wrappers
 from ledgerlife.llm.common import new_path, stored, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -105,11 +105,21 @@ def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every 100th vector among all vectors, every 7th of which has the next label."""
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # A component that isn't finite becomes null, and its row takes no part.
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(256 * x.cast("double")).cast("long"))
+    rows = vectors.select("vec_id", F.transform("embedding", finite).alias("embedding"), label.alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_simhash, op2_line_quality, op3_hamming_search, op4_mixing, op5_byte_bpe, op6_wrappers, op7_token_store, op8_language_id, op9_toxicity,
-        op10_secret_scan, op11_prefix_trie, op12_license_scan,
+        op10_secret_scan, op11_prefix_trie, op12_license_scan, op13_hard_negatives,
     )
 }
 
@@ -177,4 +187,18 @@ SELECT n.conv AS conv_id, CAST(n.d AS BIGINT) AS depth, up.conv AS parent_conv_i
   CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.hash, sha256('')) AS ends_sha256
 FROM nodes n JOIN sums s ON s.path = n.path LEFT JOIN children k ON k.path = n.path LEFT JOIN ends e ON e.path = n.path
 LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d - 1 AND up.path = left(n.path, CAST(32 * (n.d - 1) AS BIGINT))""",
+    "op13_hard_negatives": r"""
+WITH held AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+  FROM held a JOIN held b ON a.id % 100 = 0 AND a.id <> b.id),
+positives AS (
+  SELECT a, b AS positive_id, s AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.positive_id ORDER BY n.s DESC, n.b) AS INTEGER) AS rank,
+  n.b AS negative_id, p.positive_score, n.s AS negative_score
+FROM positives p JOIN scores n ON n.a = p.a AND NOT n.same AND 80 * p.positive_score <= 100 * n.s AND 100 * n.s <= 100 * p.positive_score
+QUALIFY rank <= 5""",
 }

@@ -54,11 +54,22 @@ def test_run_over_a_table(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_return_a_row_for_each_input(spark, name):
     found = queries.QUERIES[name](spark, FOLDER)
+    if name in ("op11_prefix_trie", "op13_hard_negatives"):  # nodes, and negatives in a window: beside SQL below
+        assert found.count() > 0
+        return
     table, rows = ("pages", 1) if name.startswith("op6") else ("embeddings", None) if name.startswith("op3") else ("documents", 1)
     n = spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
     assert found.count() == (n if rows else 10 * len(range(0, n, 50)))
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="sample tables not present")
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_hard_negatives"])
+def test_queries_equal_their_sql(spark, name):
+    from check_oracles import compare, connect
+
+    assert compare(queries.QUERIES[name](spark, FOLDER), connect(FOLDER), queries.ORACLES[name]) == ""
+
+
 @pytest.mark.parametrize("name", ["op2_line_quality", "op4_mixing"])
 def test_native_queries_have_no_python(spark, name):
     plan = queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
