@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlife.functions import columns as C
+from ledgerlife.session import reused
 
 
 def b2c_only(rows: DataFrame, kyc: DataFrame | None) -> DataFrame:
@@ -93,6 +94,21 @@ def one_per_key(df: DataFrame, keys: list[str], order: str, last: bool = False)
     return df.select("*", place.alias("_place")).filter("_place = 1").drop("_place").select(*keys, *[c for c in df.columns if c not in keys])
 
 
+def placed(df: DataFrame, *order, into: str = "_place") -> DataFrame:
+    """Rows with their place from 0 in an order, counted within ranges of it and after the ranges before.
+
+    The order should tell rows apart: rows that agree in it all go to one range.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number that Spark gives a row holds its range in the upper bits and its place there in the lower 33.
+    ranged = reused(sorted_rows.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    found = ranged.withColumn("_part", part).join(before, "_part")
+    return found.select(*df.columns, (F.col("_at") - F.shiftleft("_part", 33) + F.col("_before")).alias(into))
+
+
 def append_all(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Result frames stacked by column name; columns one lacks are null."""
     for other in others:

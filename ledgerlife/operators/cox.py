@@ -1,9 +1,10 @@
 """Stratified Cox proportional hazards fitted from Spark aggregates.
 
 Subjects that agree in stratum, duration, event and covariates are folded to
-one weighted row first. Each Newton step is then one aggregation of that table
-by (stratum, duration, event); what reaches the driver is a row per stratum and
-distinct day, never a subject.
+one weighted row first. A Newton step sums them by (stratum, duration), adds
+risk sets up from the last day of each stratum, forms Efron's tie sums as
+columns and adds everything up again: one row with the likelihood, its gradient
+and its information reaches the driver, however many strata and days there are.
 """
 
 from __future__ import annotations
@@ -16,73 +17,114 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlife.operators.survival import chi_square_tail, whole_days
+from ledgerlife.operators.survival import chi_square_upper, whole_days
 from ledgerlife.session import release, reused
 
-def _series(risk, tied, count):
+TIES = ("log_f", "f1", "a1", "f2", "a2", "aa2")
+#: Powers kept by the series for few ties, and Bernoulli numbers over factorials of the summation formula.
+ORDERS, EULER = 32, ((1 / 12, 1), (-1 / 720, 3), (1 / 30240, 5), (-1 / 1209600, 7), (1 / 47900160, 9))
+
+
+def _ties(*values: Column) -> Column:
+    return F.struct(*[v.alias(n) for v, n in zip(values, TIES)])
+
+
+def _direct(risk: Column, tied: Column, count: Column) -> Column:
+    """Tie sums added up step by step, for at most 64 steps."""
+
+    def add(s, k):
+        a = k / count
+        f = risk - a * tied
+        return _ties(s["log_f"] + F.log(f), s["f1"] + 1.0 / f, s["a1"] + a / f, s["f2"] + 1.0 / (f * f), s["a2"] + a / (f * f), s["aa2"] + a * a / (f * f))
+
+    return F.aggregate(F.sequence(F.lit(0), F.least(count, F.lit(64)).cast("int") - 1), _ties(*[F.lit(0.0)] * 6), add)
+
+
+def _series(risk: Column, tied: Column, count: Column) -> Column:
     """Tie sums by powers of u = tied / risk, for u of at most a quarter and more than 64 steps.
 
     With 1 / f = sum (a u)^m / risk every sum is a series over the power sums of
     a = 0, 1/d, ..., which Euler and Maclaurin's formula gives to the last digit here.
     """
-    u, d = tied / risk, count
-    orders = np.arange(32)
+    orders = range(ORDERS + 4)
+    falling = lambda m, j: float(math.prod(m - i for i in range(j))) if m > j else 0.0
+    constant = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    whole, half = constant(1 / (m + 1) for m in orders), constant(-0.5 if m else 0.0 for m in orders)
+    parts = [(constant(b * falling(m, j) for m in orders), j) for b, j in EULER]
 
     def power(m):
-        total = d / (m + 1) - 0.5
-        for bernoulli, j in ((1 / 12, 1), (-1 / 720, 3), (1 / 30240, 5), (-1 / 1209600, 7), (1 / 47900160, 9)):
-            falling = math.prod(m - i for i in range(j)) if m > j else 0.0
-            total = total + bernoulli * falling / d**j
-        return total if m else d
-
-    q = np.array([power(m) for m in range(36)], dtype=float)
-    ups = u**orders
-    f1 = (ups * q[orders]).sum() / risk
-    a1 = (ups * q[orders + 1]).sum() / risk
-    f2 = ((orders + 1) * ups * q[orders]).sum() / risk**2
-    a2 = ((orders + 1) * ups * q[orders + 1]).sum() / risk**2
-    aa2 = ((orders + 1) * ups * q[orders + 2]).sum() / risk**2
-    log_f = d * math.log(risk) - sum(u**m / m * q[m] for m in range(1, 34))
-    return np.array([log_f, f1, a1, f2, a2, aa2])
-
-
-def _gamma(risk, tied, count):
+        total = count * F.get(whole, m) + F.get(half, m)
+        for values, j in parts:
+            total = total + F.get(values, m) / F.pow(count, F.lit(float(j)))
+        return total
+
+    # Power sums are computed once for each row, then read by order.
+    sums = F.transform(F.sequence(F.lit(0), F.lit(ORDERS + 3)), power)
+    u = tied / risk
+
+    def add(s, m):
+        q0, q1, q2 = (F.get(s["q"], m + i) for i in range(3))
+        logs = F.when(m > 0, s["ups"] / m * q0).otherwise(0.0)
+        kept = F.when(m < ORDERS, s["ups"]).otherwise(0.0)
+        more = {
+            "log_f": s["log_f"] - logs, "f1": s["f1"] + kept * q0 / risk, "a1": s["a1"] + kept * q1 / risk, "f2": s["f2"] + (m + 1) * kept * q0 / (risk * risk),
+            "a2": s["a2"] + (m + 1) * kept * q1 / (risk * risk), "aa2": s["aa2"] + (m + 1) * kept * q2 / (risk * risk),
+        }
+        return F.struct(s["q"].alias("q"), (s["ups"] * u).alias("ups"), *[v.alias(n) for n, v in more.items()])
+
+    start = F.struct(sums.alias("q"), F.lit(1.0).alias("ups"), (count * F.log(risk)).alias("log_f"), *[F.lit(0.0).alias(n) for n in TIES[1:]])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ORDERS + 1)), start, add, lambda s: _ties(*[s[n] for n in TIES]))
+
+
+def _gamma(risk: Column, tied: Column, count: Column) -> Column:
     """Tie sums by differences of log gamma and its derivatives, for tied above a quarter of the risk.
 
     f = (x - a) d / tied over whole a, with x = d risk / tied, so the sums run
     over x, x - 1, ..., y. Terms below 16 are added one by one; for the others
     the asymptotic series are subtracted term by term, in forms that don't cancel.
     """
-    d, c = float(count), count / tied
-    x = d * risk / tied
-    y = max(x - d + 1.0, 1.0)
-    s0 = s1 = s2 = 0.0
-    while y < 16 and d > 0:
-        s0, s1, s2 = s0 + math.log(y), s1 + 1 / y, s2 + 1 / y**2
-        y, d = y + 1, d - 1
-    if d > 0:
-        z = y + d  # sums over y, ..., z - 1
-        ratio = math.log1p(d / y)
-        s0 += d * math.log(y) + (z - 0.5) * ratio - d + d / (12 * y * z) * -1 + sum(k * (z**-n - y**-n) for n, k in ((3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680)))
-        s1 += ratio + d / (2 * y * z) + sum(k * (z**-n - y**-n) for n, k in ((2, -1 / 12), (4, 1 / 120), (6, -1 / 252), (8, 1 / 240)))
-        s2 += d / (y * z) + d * (y + z) / (2 * y**2 * z**2) + sum(k * (y**-n - z**-n) for n, k in ((3, 1 / 6), (5, -1 / 30), (7, 1 / 42), (9, -1 / 30)))
-    f1, f2 = c * s1, c**2 * s2
-    log_f = s0 - count * math.log(c)
-    return np.array(
-        [log_f, f1, (risk * f1 - count) / tied, f2, (risk * f2 - f1) / tied, (risk**2 * f2 - 2 * risk * f1 + count) / tied**2]
+    c = count / tied
+    x = count * risk / tied
+    y0 = F.greatest(x - count + 1.0, F.lit(1.0))
+    few = F.least(count, F.greatest(F.lit(0.0), F.ceil(16.0 - y0).cast("double")))
+    steps = F.when(few > 0, F.sequence(F.lit(0), few.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    zero = F.struct(*[F.lit(0.0).alias(f"s{i}") for i in range(3)])
+
+    def add(s, k):
+        y = y0 + k
+        return F.struct((s["s0"] + F.log(y)).alias("s0"), (s["s1"] + 1.0 / y).alias("s1"), (s["s2"] + 1.0 / (y * y)).alias("s2"))
+
+    near = F.aggregate(steps, zero, add)
+    d, y = count - few, y0 + few
+    z = y + d
+    ratio = F.log1p(d / y)
+
+    def differences(terms, sign=1.0):
+        total = F.lit(0.0)
+        for n, k in terms:
+            total = total + sign * k * (F.pow(z, F.lit(-float(n))) - F.pow(y, F.lit(-float(n))))
+        return total
+
+    far0 = d * F.log(y) + (z - 0.5) * ratio - d - d / (12.0 * y * z) + differences(((3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680)))
+    far1 = ratio + d / (2.0 * y * z) + differences(((2, -1 / 12), (4, 1 / 120), (6, -1 / 252), (8, 1 / 240)))
+    far2 = d / (y * z) + d * (y + z) / (2.0 * y * y * z * z) + differences(((3, 1 / 6), (5, -1 / 30), (7, 1 / 42), (9, -1 / 30)), -1.0)
+    s0, s1, s2 = (near[f"s{i}"] + F.when(d > 0, far).otherwise(0.0) for i, far in enumerate((far0, far1, far2)))
+    f1, f2 = c * s1, c * c * s2
+    return _ties(
+        s0 - count * F.log(c), f1, (risk * f1 - count) / tied, f2, (risk * f2 - f1) / tied, (risk * risk * f2 - 2.0 * risk * f1 + count) / (tied * tied)
     )
 
 
-def _tie_sums(risk: float, tied: float, count: int) -> np.ndarray:
+def tie_sums(risk: Column, tied: Column, count: Column, most: int | None = None) -> Column:
     """Sums over the ``count`` Efron steps a = 0, 1/d, ... of log f, 1/f, a/f, 1/f^2, a/f^2, a^2/f^2 for f = risk - a * tied.
 
-    Exact to rounding for every count: added up for few steps, else in closed form.
+    A struct of doubles, exact to rounding for every count: added up for few steps, else in closed form.
+    ``most`` is the largest count, if known: the closed forms are left out of the plan where none needs them.
     """
-    if count <= 64:
-        a = np.arange(count) / count
-        f = risk - a * tied
-        return np.array([np.log(f), 1 / f, a / f, 1 / f**2, a / f**2, a**2 / f**2]).sum(axis=1)
-    return _series(risk, tied, count) if tied <= 0.25 * risk else _gamma(risk, tied, count)
+    risk, tied, count = (c.cast("double") for c in (risk, tied, count))
+    if most is not None and most <= 64:
+        return _direct(risk, tied, count)
+    return F.when(count <= 64, _direct(risk, tied, count)).when(tied <= 0.25 * risk, _series(risk, tied, count)).otherwise(_gamma(risk, tied, count))
 
 
 @dataclass
@@ -95,9 +137,10 @@ class CoxModel:
     log_likelihood: float
     iterations: int
     patterns: DataFrame = field(repr=False)
-    event_table: dict = field(repr=False)
     converged: bool = True
     dropped_rows: int = 0
+    null_log_likelihood: float = float("nan")
+    score_statistic: float = float("nan")
 
     def release(self) -> None:
         """Give up the folded subjects that were cached for the fit; the model can't predict baselines afterwards."""
@@ -115,64 +158,49 @@ def _linear(parts: Sequence[Column], weights) -> Column:
     return total
 
 
-def _sums_by_time(patterns: DataFrame, strata, z: list[Column], coefficients):
-    """Weighted sums per (stratum, duration, event), collected in duration order."""
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return [(j, k) for j in range(p) for k in range(j, p)]
+
+
+def risk_table(patterns: DataFrame, strata: Sequence[str], z: list[Column], coefficients, most: int | None = None) -> DataFrame:
+    """A row for each stratum and day with events: sums over its events, over its risk set, and Efron's tie sums.
+
+    Columns: _d, _x_<j> (events); _s0, _s1_<j>, _s2_<j>_<k> (risk set, by hazard); _t0, _t1_<j>, _t2_<j>_<k> (events, by hazard); _ties.
+    A stratum has a row for each day of the log at most.
+    """
     p = len(z)
-    hazard = F.col("_n") * F.exp(_linear(z, coefficients))
-    pairs = [(j, k) for j in range(p) for k in range(j, p)]
-    sums = [F.sum("_n").alias("n"), F.sum(hazard).alias("s0")]
-    sums += [F.sum(F.col("_n") * z[j]).alias(f"x_{j}") for j in range(p)]
-    sums += [F.sum(hazard * z[j]).alias(f"s1_{j}") for j in range(p)]
-    sums += [F.sum(hazard * z[j] * z[k]).alias(f"s2_{j}_{k}") for j, k in pairs]
-    table = patterns.groupBy(*strata, "_duration", "_event").agg(*sums).toPandas()
-    groups = table.groupby(list(strata), sort=True, dropna=False) if strata else [((), table)]
-    for key, part in groups:
-        days = np.unique(part["_duration"].to_numpy())
-        place = np.searchsorted(days, part["_duration"].to_numpy())
-        died = part["_event"].to_numpy() == 1
-        square = np.zeros((len(part), p, p))
-        for j, k in pairs:
-            square[:, j, k] = square[:, k, j] = part[f"s2_{j}_{k}"].to_numpy()
-        values = {
-            "0": part["s0"].to_numpy(),
-            "1": part[[f"s1_{j}" for j in range(p)]].to_numpy(),
-            "2": square,
-        }
-        out = {"key": key, "days": days}
-        for order, value in values.items():
-            risk = np.zeros((len(days), *value.shape[1:]))
-            tied = np.zeros_like(risk)
-            np.add.at(risk, place, value)
-            np.add.at(tied, place[died], value[died])
-            out["s" + order] = risk[::-1].cumsum(axis=0)[::-1]
-            out["t" + order] = tied
-        out["d"] = np.zeros(len(days))
-        out["x"] = np.zeros((len(days), p))
-        np.add.at(out["d"], place[died], part["n"].to_numpy()[died])
-        np.add.at(out["x"], place[died], part[[f"x_{j}" for j in range(p)]].to_numpy()[died])
-        seen = out["d"] > 0
-        yield {name: value[seen] if isinstance(value, np.ndarray) else value for name, value in out.items()}
-
-
-def _score(tables, coefficients):
-    """Efron log likelihood, gradient and information; keeps the expected covariates per time."""
-    p = len(coefficients)
-    value, gradient, information = 0.0, np.zeros(p), np.zeros((p, p))
-    for table in tables:
-        sums = np.array(
-            [_tie_sums(s, t, int(d)) for s, t, d in zip(table["s0"], table["t0"], table["d"])]
-        ).reshape(-1, 6)
-        log_f, f1, a1, f2, a2, aa2 = sums.T
-        s1, t1 = table["s1"], table["t1"]
-        table["expected"] = s1 * f1[:, None] - t1 * a1[:, None]
-        value += float((table["x"] @ coefficients).sum() - log_f.sum())
-        gradient += (table["x"] - table["expected"]).sum(axis=0)
-        outer = np.einsum("t,ti,tj->ij", f2, s1, s1) + np.einsum("t,ti,tj->ij", aa2, t1, t1)
-        mixed = np.einsum("t,ti,tj->ij", a2, s1, t1)
-        information += (
-            np.einsum("t,tij->ij", f1, table["s2"]) - np.einsum("t,tij->ij", a1, table["t2"]) - outer + mixed + mixed.T
-        )
-    return value, gradient, information
+    hazard, died = F.col("_n") * F.exp(_linear(z, coefficients)), F.col("_event") == 1
+    moments = {"0": hazard, **{f"1_{j}": hazard * z[j] for j in range(p)}, **{f"2_{j}_{k}": hazard * z[j] * z[k] for j, k in _pairs(p)}}
+    of_events = lambda v: F.sum(F.when(died, v).otherwise(0.0))
+    sums = [F.sum(F.when(died, F.col("_n")).otherwise(0)).alias("_d")] + [of_events(F.col("_n") * z[j]).alias(f"_x_{j}") for j in range(p)]
+    sums += [F.sum(v).alias(f"_s{name}") for name, v in moments.items()] + [of_events(v).alias(f"_t{name}") for name, v in moments.items()]
+    by_day = patterns.groupBy(*strata, F.col("_duration").alias("duration")).agg(*sums)
+    from_here = Window.partitionBy(*strata).orderBy(F.desc("duration"))
+    at_risk = by_day.withColumns({f"_s{name}": F.sum(f"_s{name}").over(from_here) for name in moments}).filter("_d > 0")
+    return at_risk.withColumn("_ties", tie_sums(F.col("_s0"), F.col("_t0"), F.col("_d"), most))
+
+
+def _expected(j: int) -> Column:
+    """Sum of a covariate's means over the risk sets of a day's events."""
+    return F.col(f"_s1_{j}") * F.col("_ties.f1") - F.col(f"_t1_{j}") * F.col("_ties.a1")
+
+
+def _score(patterns: DataFrame, strata: Sequence[str], z: list[Column], coefficients, most: int | None = None):
+    """Efron log likelihood, gradient and information, from one collected row."""
+    p = len(z)
+    tie = {n: F.col(f"_ties.{n}") for n in TIES}
+    parts = [F.sum(_linear([F.col(f"_x_{j}") for j in range(p)], coefficients) - tie["log_f"])]
+    parts += [F.sum(F.col(f"_x_{j}") - _expected(j)) for j in range(p)]
+    for j, k in _pairs(p):
+        s, t = [F.col(f"_s1_{i}") for i in (j, k)], [F.col(f"_t1_{i}") for i in (j, k)]
+        own = F.col(f"_s2_{j}_{k}") * tie["f1"] - F.col(f"_t2_{j}_{k}") * tie["a1"]
+        parts.append(F.sum(own - tie["f2"] * s[0] * s[1] - tie["aa2"] * t[0] * t[1] + tie["a2"] * (s[0] * t[1] + s[1] * t[0])))
+    row = risk_table(patterns, strata, z, coefficients, most).agg(*[v.alias(f"v{i}") for i, v in enumerate(parts)]).first()
+    values = [float(v or 0.0) for v in row]
+    information = np.zeros((p, p))
+    for (j, k), v in zip(_pairs(p), values[1 + p :]):
+        information[j, k] = information[k, j] = v
+    return values[0], np.array(values[1 : 1 + p]), information
 
 
 def _folded(df: DataFrame, duration: str, event: str, covariates: list[str], strata: list[str]):
@@ -194,6 +222,12 @@ def _folded(df: DataFrame, duration: str, event: str, covariates: list[str], str
     return patterns, np.array([float(v) for v in first]), dropped
 
 
+def _most_tied(patterns: DataFrame, strata: Sequence[str]) -> int:
+    """The largest number of events of a stratum on one day."""
+    deaths = patterns.filter("_event = 1").groupBy(*strata, "_duration").agg(F.sum("_n").alias("_d"))
+    return deaths.agg(F.max("_d")).first()[0] or 0
+
+
 def cox_at(
     df: DataFrame, duration: str, event: str, covariates: Sequence[str], coefficients: Sequence[float], strata: Sequence[str] = ()
 ) -> tuple[CoxModel, np.ndarray, np.ndarray]:
@@ -201,9 +235,8 @@ def cox_at(
     covariates, strata = list(covariates), list(strata)
     patterns, means, dropped = _folded(df, duration, event, covariates, strata)
     at = np.array(coefficients, dtype=float)
-    tables = list(_sums_by_time(patterns, strata, _centred(covariates, means), at))
-    value, gradient, information = _score(tables, at)
-    model = CoxModel(covariates, strata, means, at, np.linalg.inv(information), value, 0, patterns, {"tables": tables}, False, dropped)
+    value, gradient, information = _score(patterns, strata, _centred(covariates, means), at, _most_tied(patterns, strata))
+    model = CoxModel(covariates, strata, means, at, np.linalg.inv(information), value, 0, patterns, False, dropped)
     return model, gradient, information
 
 
@@ -241,15 +274,14 @@ def cox_fit(
     covariates, strata = list(covariates), list(strata)
     patterns, means, dropped = _folded(df, duration, event, covariates, strata)
     z = _centred(covariates, means)
-    coefficients = np.zeros(len(covariates))
-    tables = list(_sums_by_time(patterns, strata, z, coefficients))
-    value, gradient, information = _score(tables, coefficients)
+    coefficients, most = np.zeros(len(covariates)), _most_tied(patterns, strata)
+    value, gradient, information = _score(patterns, strata, z, coefficients, most)
+    without, score_test = value, float(gradient @ np.linalg.solve(information, gradient))
     iteration, converged = 0, False
     for iteration in range(1, max_iterations + 1):
         step = np.linalg.solve(information, gradient)
         for _ in range(12):
-            tables = list(_sums_by_time(patterns, strata, z, coefficients + step))
-            trial = _score(tables, coefficients + step)
+            trial = _score(patterns, strata, z, coefficients + step, most)
             if trial[0] >= value - 1e-10 * abs(value):
                 break
             step = step / 2
@@ -262,8 +294,7 @@ def cox_fit(
             converged = True
             break
     return CoxModel(
-        covariates, strata, means, coefficients, np.linalg.inv(information), value, iteration, patterns,
-        {"tables": tables}, converged, dropped,
+        covariates, strata, means, coefficients, np.linalg.inv(information), value, iteration, patterns, converged, dropped, without, score_test
     )
 
 
@@ -277,7 +308,7 @@ def cox_summary(model: CoxModel, z: float = 1.959963984540054) -> DataFrame:
         {
             "exp_coef": F.exp("coef"),
             "z": ratio,
-            "p": chi_square_tail(ratio * ratio),
+            "p": chi_square_upper(ratio * ratio, 1),
             "coef_lower": F.col("coef") - z * F.col("se_coef"),
             "coef_upper": F.col("coef") + z * F.col("se_coef"),
             "converged": F.lit(model.converged),
@@ -329,25 +360,94 @@ def cox_predict(model: CoxModel, df: DataFrame, times: Sequence[int]) -> DataFra
     return rows.withColumns({"cumulative_hazard": total, "survival": F.exp(-total)}).drop("h0")
 
 
-def ph_assumption_test(model: CoxModel, threshold: float = 0.05) -> DataFrame:
-    """Per covariate: do scaled Schoenfeld residuals trend with the rank of time?"""
-    tables = model.event_table["tables"]
-    days = np.concatenate([t["days"] for t in tables])
-    deaths = np.concatenate([t["d"] for t in tables])
-    residuals = np.concatenate([t["x"] - t["expected"] for t in tables])
-    order = np.unique(days)
-    place = np.searchsorted(order, days)
-    per_day = np.zeros(len(order))
-    np.add.at(per_day, place, deaths)
-    rank = (per_day.cumsum() - (per_day - 1) / 2)[place]
-    total = deaths.sum()
-    centred = rank - (rank * deaths).sum() / total
-    spread = (deaths * centred**2).sum()
-    scaled = total * (centred[:, None] * residuals).sum(axis=0) @ model.variance
-    statistic = scaled**2 / (total * np.diag(model.variance) * spread)
+def cox_tests(model: CoxModel) -> DataFrame:
+    """Likelihood-ratio, Wald and score test that all coefficients are zero: (test, statistic, degrees, p)."""
+    b = model.coefficients
+    rows = [
+        ("likelihood_ratio", 2.0 * (model.log_likelihood - model.null_log_likelihood), len(b)),
+        ("wald", float(b @ np.linalg.solve(model.variance, b)), len(b)),
+        ("score", model.score_statistic, len(b)),
+    ]
+    frame = model.patterns.sparkSession.createDataFrame(rows, "test string, statistic double, degrees int")
+    return frame.withColumn("p", chi_square_upper(F.col("statistic"), len(b)))
+
+
+def _residual_table(model: CoxModel) -> DataFrame:
+    """A row for each stratum and day with events: _d, and _r_<j>, the sum of its events' Schoenfeld residuals."""
+    table = risk_table(model.patterns, model.strata, _centred(model.covariates, model.means), model.coefficients, _most_tied(model.patterns, model.strata))
+    return table.select(*model.strata, "duration", "_d", *[(F.col(f"_x_{j}") - _expected(j)).alias(f"_r_{j}") for j in range(len(model.covariates))])
+
+
+def schoenfeld_residuals(model: CoxModel) -> DataFrame:
+    """Residuals by stratum, day and covariate: (.., duration, events, covariate, residual, scaled).
+
+    ``residual`` is the sum over the day's events of the covariate less its mean in the
+    risk set; ``scaled`` is their mean, scaled by the variance of the
+    coefficients and the number of all events, plus the coefficient: an
+    estimate of the coefficient at that day.
+    """
+    p, table = len(model.covariates), reused(_residual_table(model))
+    total = table.agg(F.coalesce(F.sum("_d"), F.lit(0)).cast("double").alias("n")).scalar()
+    parts = []
+    for j, name in enumerate(model.covariates):
+        scaled = _linear([F.col(f"_r_{k}") for k in range(p)], model.variance[j]) * total / F.col("_d") + F.lit(float(model.coefficients[j]))
+        parts.append(F.struct(F.lit(name).alias("covariate"), F.col(f"_r_{j}").alias("residual"), scaled.alias("scaled")))
+    return table.select(*model.strata, "duration", F.col("_d").alias("events"), F.inline(F.array(*parts)))
+
+
+def residual_trend(residuals: DataFrame, width: int, span: int = 4) -> DataFrame:
+    """Local line through scaled residuals over time: (covariate, time, events, estimate).
+
+    Days are binned by ``width``; the line at the middle of a bin is fitted to the bins up to
+    ``span`` away with tricube weights, from five sums for each bin. Null where the bins don't determine a line.
+    """
+    t, n = F.col("duration").cast("double"), F.col("events").cast("double")
+    bins = residuals.groupBy("covariate", F.floor(F.col("duration") / width).alias("bin")).agg(
+        F.sum(n).alias("n"), F.sum(n * t).alias("t"), F.sum(n * t * t).alias("tt"), F.sum(n * F.col("scaled")).alias("s"), F.sum(n * t * F.col("scaled")).alias("ts")
+    )
+    away = F.col("away").cast("double") / (span + 1)
+    weight = F.pow(1.0 - F.pow(F.abs(away), F.lit(3.0)), F.lit(3.0))
+    near = bins.withColumn("away", F.explode(F.sequence(F.lit(-span), F.lit(span)))).withColumn("at", F.col("bin") + F.col("away"))
+    sums = near.groupBy("covariate", "at").agg(*[F.sum(weight * F.col(c)).alias(c) for c in ("n", "t", "tt", "s", "ts")], F.max(F.when(F.col("away") == 0, F.col("n"))).alias("events"))
+    middle = (F.col("at") + 0.5) * width
+    spread = F.col("tt") - F.col("t") * F.col("t") / F.col("n")
+    # Below this the days of the bins are one day but for rounding.
+    slope = F.when(spread > 1e-9 * F.col("tt"), (F.col("ts") - F.col("t") * F.col("s") / F.col("n")) / spread)
+    line = F.col("s") / F.col("n") + slope * (middle - F.col("t") / F.col("n"))
+    return sums.filter("events is not null").select("covariate", middle.alias("time"), "events", line.alias("estimate"))
+
+
+def ph_assumption_test(model: CoxModel, threshold: float = 0.05, transform: str = "rank") -> DataFrame:
+    """Per covariate: do scaled Schoenfeld residuals trend with time?
+
+    ``transform`` is ``rank`` (mean rank of a day's events among all) or ``km`` (one less the
+    survival of all subjects before the day).
+    """
+    p = len(model.covariates)
+    days = model.patterns.groupBy(F.col("_duration").alias("duration")).agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_event") == 1, F.col("_n")).otherwise(0)).alias("d"))
+    so_far, from_here = Window.orderBy("duration"), Window.orderBy(F.desc("duration"))  # a row for each day of the log
+    if transform == "rank":
+        days = days.withColumn("g", F.sum("d").over(so_far) - (F.col("d") - 1) / 2.0)
+    elif transform == "km":
+        risk = days.withColumn("risk", F.sum("n").over(from_here))
+        # Nobody has a day behind the one on which all that are left have the event.
+        gone = F.sum(F.when(F.col("d") < F.col("risk"), F.log1p(-F.col("d") / F.col("risk"))))
+        days = risk.withColumn("g", 1.0 - F.exp(F.coalesce(gone.over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
+    else:
+        raise ValueError(f"transform is rank or km, not {transform}")
+    table = _residual_table(model).join(days.select("duration", F.col("g").alias("_g")), "duration")
+    sums = [F.sum("_d"), F.sum(F.col("_d") * F.col("_g")), F.sum(F.col("_d") * F.col("_g") * F.col("_g"))]
+    sums += [F.sum(f"_r_{j}") for j in range(p)] + [F.sum(F.col("_g") * F.col(f"_r_{j}")) for j in range(p)]
+    row = [float(v or 0.0) for v in table.agg(*[v.alias(f"v{i}") for i, v in enumerate(sums)]).first()]
+    total, first, second = row[:3]
+    mean = first / total if total else 0.0
+    spread = second - total * mean * mean
+    trend = np.array(row[3 + p :]) - mean * np.array(row[3 : 3 + p])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        statistic = (total * trend @ model.variance) ** 2 / (total * np.diag(model.variance) * spread)
     rows = [(c, float(s)) for c, s in zip(model.covariates, statistic)]
     frame = model.patterns.sparkSession.createDataFrame(rows, "covariate string, statistic double")
-    return frame.withColumn("p", chi_square_tail(F.col("statistic"))).withColumn("violated", F.col("p") < threshold)
+    return frame.withColumn("p", chi_square_upper(F.col("statistic"), 1)).withColumn("violated", F.col("p") < threshold)
 
 
 def coefficient(model: CoxModel, name: str) -> float:

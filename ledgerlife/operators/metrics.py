@@ -143,23 +143,41 @@ def random_sample(df: DataFrame, n: int, seed: int = 0, by: Sequence[str] = (),
     return df.orderBy(mark, *ties).limit(n)
 
 
+#: Bins of a kernel width, the orders of their moments, and the widths beyond which the kernel is left out.
+BINS, ORDERS, REACH = 8, 9, 8
+
+
 def density(df: DataFrame, column: str, grid: Sequence[float], bandwidth: float | None = None) -> DataFrame:
     """Gaussian kernel density of a column at the grid points.
 
-    Evaluated on the histogram of values. Without a bandwidth Scott's rule is
-    used: the sample deviation times ``n ** -0.2``.
+    Without a bandwidth Scott's rule is used: the sample deviation times
+    ``n ** -0.2``. Null and not-a-number are left out.
+
+    Values are folded to bins of an eighth of the bandwidth, each with the moments
+    of its offsets u from the middle: exp(-(s - u)^2 / 2) = exp(-s^2 / 2) * sum He_m(s) u^m / m!, with
+    s the distance of a grid point in bandwidths. With |u| of at most 1/16 the terms
+    left out after order 8 are below 1.09 / sqrt(9!) / 16^9 = 3e-14 of the kernel's top (Cramer's bound of Hermite polynomials), and
+    the kernel beyond 8 bandwidths is below 2e-14. A grid point reads 130 bins at most, however many rows there are.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
-        F.count("*").alias("n")
-    )
-    rows = df.agg(F.count(column).alias("total"), F.stddev_samp(column).alias("sd"))
+    value = F.col(column).cast("double")
+    rows = df.filter(F.col(column).isNotNull() & ~F.isnan(value)).select(value.alias("v"))
+    facts = rows.agg(F.count("*").alias("total"), F.stddev_samp("v").alias("sd"))
     scott = F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2))
     width: Column = scott if bandwidth is None else F.lit(float(bandwidth))
-    scale = rows.select(F.struct(F.col("total"), width.alias("width")).alias("s")).scalar()
-    points = F.explode(F.array(*[F.lit(float(x)) for x in grid]))
-    spread = counts.withColumn("s", scale).withColumn("x", points)
-    offset = (F.col("x") - F.col("v")) / F.col("s.width")
-    weight = F.col("n") * F.exp(-0.5 * offset * offset) / (
-        F.col("s.total") * F.col("s.width") * F.lit(math.sqrt(2 * math.pi))
-    )
-    return spread.groupBy("x").agg(F.sum(weight).alias("density"))
+    scale = facts.select(F.struct(F.col("total"), F.when(width > 0, width).alias("width")).alias("s")).scalar()
+    place = F.col("v") / F.col("s.width") * BINS
+    binned = rows.withColumn("s", scale).withColumn("bin", F.floor(place))
+    offset = (place - F.col("bin") - 0.5) / BINS
+    moments = binned.groupBy("bin").agg(*[F.sum(F.pow(offset, F.lit(float(m)))).alias(f"m{m}") for m in range(ORDERS)])
+    points = df.sparkSession.createDataFrame([(float(x),) for x in grid], "x double").withColumn("s", scale)
+    at = F.col("x") / F.col("s.width")
+    near = F.sequence(F.floor((at - REACH) * BINS), F.floor((at + REACH) * BINS))
+    met = points.withColumn("bin", F.explode_outer(near)).join(moments, "bin", "left")
+    distance = at - (F.col("bin") + 0.5) / BINS
+    before, he, total, factorial = F.lit(0.0), F.lit(1.0), F.col("m0"), 1.0
+    for m in range(1, ORDERS):
+        before, he = he, distance * he - (m - 1) * before
+        factorial *= m
+        total = total + he * F.col(f"m{m}") / factorial
+    weight = F.exp(-0.5 * distance * distance) * total / (F.col("s.total") * F.col("s.width") * F.lit(math.sqrt(2 * math.pi)))
+    return met.groupBy("x").agg(F.when(F.max("s.width").isNotNull(), F.coalesce(F.sum(weight), F.lit(0.0))).alias("density"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -17,10 +19,10 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardS
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlife.operators import metrics
+from ledgerlife.operators import boosting, metrics
 from ledgerlife.session import release, reused
 
 # Tuned settings of the two classification tasks.
@@ -28,8 +30,16 @@ SETTLE = {
     "random_forest": {"numTrees": 49, "maxDepth": 12, "featureSubsetStrategy": "0.66", "minWeightFractionPerNode": 0.0125},
     "decision_tree": {"maxDepth": 10, "minWeightFractionPerNode": 0.0828},
     "logistic": {"C": 22.350922404139133, "family": "multinomial"},
-    "boosted_trees": {"maxDepth": 8, "stepSize": 1.0, "subsamplingRate": 0.7608431340785347, "maxBins": 414},
-    "boosted_trees_2": {"maxDepth": 5, "stepSize": 1.0, "subsamplingRate": 0.32424301245515147, "minInstancesPerNode": 7},
+    "boosted_trees": {
+        "column_share": 0.5147819785390771, "lambda_l1": 0.11245591123401574, "lambda_l2": 37.22802054235251, "learning_rate": 4.973647345682165,
+        "max_bin": 414, "max_depth": 8, "min_child_samples": 20, "rounds": 1199, "num_leaves": 112, "path_smooth": 10.119277938647777,
+        "row_share": 0.7608431340785347,
+    },
+    "boosted_trees_2": {
+        "column_share": 0.5388618260923027, "learning_rate": 1.3266911816246303, "max_depth": 5, "min_child_weight": 7, "rounds": 845,
+        "row_share": 0.32424301245515147, "lambda_l2": 1.0, "max_bin": 256, "min_child_samples": 1, "num_leaves": 32,
+    },
+    "one_against_rest": {"maxDepth": 8, "stepSize": 1.0, "subsamplingRate": 0.7608431340785347, "maxBins": 414},
     "seed": 180656403,
 }
 FREQUENT = {
@@ -37,11 +47,13 @@ FREQUENT = {
     "decision_tree": {"maxDepth": 4, "minWeightFractionPerNode": 0.0777},
     "logistic": {"C": 65.56841523483085, "family": "binomial"},
     "boosted_trees": {
-        "maxIter": 9, "maxDepth": 7, "stepSize": 0.6787555528928094, "subsamplingRate": 0.7299193995713901, "maxBins": 339,
-        "minInstancesPerNode": 97,
+        "column_share": 0.4665051886791723, "lambda_l1": 3.6772653198259615, "lambda_l2": 3.86341994827281, "learning_rate": 0.6787555528928094,
+        "max_bin": 339, "max_depth": 7, "min_child_samples": 97, "rounds": 9, "num_leaves": 195, "path_smooth": 79.2942499229715,
+        "row_share": 0.7299193995713901,
     },
+    "one_against_rest": {"maxIter": 9, "maxDepth": 7, "stepSize": 0.6787555528928094, "subsamplingRate": 0.7299193995713901, "maxBins": 339, "minInstancesPerNode": 97},
     "seed": 522987681,
-}
+}
 
 
 def feature_columns(df: DataFrame, *excluded: str) -> dict[str, list[str]]:
@@ -109,8 +121,8 @@ def logistic(label: str, settings: Mapping, rows: int):
     return LogisticRegression(labelCol=label, regParam=penalty, elasticNetParam=0.0, **settings)
 
 
-def boosted_trees(label: str, settings: Mapping, seed: int, classes: int):
-    """Gradient-boosted trees; more than two classes are fitted one against the rest."""
+def one_against_rest_trees(label: str, settings: Mapping, seed: int, classes: int):
+    """MLlib's gradient-boosted trees; more than two classes are fitted one against the rest."""
     trainer = GBTClassifier(labelCol=label, seed=seed, **settings)
     return trainer if classes <= 2 else OneVsRest(labelCol=label, classifier=trainer, parallelism=classes)
 
@@ -138,9 +150,64 @@ def classify_logistic(train: DataFrame, label: str, settings: Mapping = SETTLE):
     return _fit(train, label, lambda rows: logistic(label, settings["logistic"], rows.count()))
 
 
-def classify_boosted_trees(train: DataFrame, label: str, classes: int, settings: Mapping = SETTLE, configuration: str = "boosted_trees"):
-    """Boosted trees by one of the configurations of ``settings`` (``boosted_trees``, and ``boosted_trees_2`` where given)."""
-    return _fit(train, label, lambda rows: boosted_trees(label, settings[configuration], settings["seed"], classes))
+def classify_one_against_rest(train: DataFrame, label: str, classes: int, settings: Mapping = SETTLE):
+    return _fit(train, label, lambda rows: one_against_rest_trees(label, settings["one_against_rest"], settings["seed"], classes))
+
+
+@dataclass
+class BoostedClassifier:
+    """Preprocessing and boosted trees on the entries of its vector."""
+
+    preprocessing: PipelineModel
+    trees: boosting.BoostedTrees
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the prediction and one probability column per class."""
+        return boosting.boosted_scores(self.trees, _entries(self.preprocessing, df)).select(
+            *df.columns, "prediction", *[f"probability_class_{i}" for i in range(self.trees.classes)]
+        )
+
+    def save(self, path: str) -> None:
+        """Write both parts below a path; ``load`` reads them back."""
+        self.preprocessing.write().overwrite().save(f"{path}/preprocessing")
+        SparkSession.active().createDataFrame([(json.dumps(asdict(self.trees)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/trees")
+
+    @classmethod
+    def load(cls, path: str) -> BoostedClassifier:
+        held = json.loads(SparkSession.active().read.text(f"{path}/trees").first()[0])
+        rounds = [[boosting.Tree(**tree) for tree in trees] for trees in held.pop("rounds")]
+        trees = boosting.BoostedTrees(**{**held, "settings": boosting.Boosting(**held["settings"])}, rounds=rounds)
+        return cls(PipelineModel.load(f"{path}/preprocessing"), trees)
+
+
+def _entries(fitted: PipelineModel, df: DataFrame, *kept: str) -> DataFrame:
+    """The entries of the feature vector as columns ``_f<i>``; trees need no scaling."""
+    vector = fitted.transform(df).withColumn("_features", vector_to_array("raw_features"))
+    size = _width(fitted, df)
+    return vector.select(*(kept or df.columns), *[F.get("_features", F.lit(i)).alias(f"_f{i}") for i in range(size)])
+
+
+def _width(fitted: PipelineModel, df: DataFrame) -> int:
+    return fitted.transform(df.limit(0)).schema["raw_features"].metadata["ml_attr"]["num_attrs"]
+
+
+def classify_boosted_trees(
+    train: DataFrame, label: str, classes: int, settings: Mapping = SETTLE, configuration: str = "boosted_trees", rounds: int | None = None
+) -> BoostedClassifier:
+    """Boosted trees by one of the configurations of ``settings`` (``boosted_trees``, and ``boosted_trees_2`` where given).
+
+    One softmax for all classes. ``rounds`` replaces the number of rounds of the configuration.
+    """
+    chosen = {**settings[configuration], **({} if rounds is None else {"rounds": rounds})}
+    rows = reused(labelled(train, label))
+    stages = preprocessing(rows, label)[:-1]
+    fitted = Pipeline(stages=stages).fit(rows)
+    entries = reused(_entries(fitted, rows, label))
+    names = [c for c in entries.columns if c != label]
+    trees = boosting.fit_boosted(entries, label, names, classes, boosting.Boosting(**chosen, seed=settings["seed"]))
+    release(entries)
+    release(rows)
+    return BoostedClassifier(fitted, trees)
 
 
 def tree_text(model) -> str:
@@ -154,6 +221,8 @@ def score(model, df: DataFrame, classes: int) -> DataFrame:
     One-against-rest trees give margins only; their sigmoids are scaled to sum to one.
     """
     scored = model.transform(df)
+    if isinstance(model, BoostedClassifier):
+        return scored
     if "probability" in scored.columns:
         values = vector_to_array("probability")
         shares = [F.get(values, F.lit(i)) for i in range(classes)]
@@ -206,13 +275,13 @@ def model_search(
     if "logistic" in families:
         candidates.append(logistic(label, settings["logistic"], rows.count()))
     for depth in depths:
-        deeper = {name: dict(settings[name], maxDepth=depth) for name in ("random_forest", "decision_tree", "boosted_trees")}
+        deeper = {name: dict(settings[name], maxDepth=depth) for name in ("random_forest", "decision_tree", "one_against_rest")}
         if "random_forest" in families:
             candidates.append(random_forest(label, deeper["random_forest"], seed))
         if "decision_tree" in families:
             candidates.append(decision_tree(label, deeper["decision_tree"], seed))
         if "boosted_trees" in families:
-            candidates.append(boosted_trees(label, deeper["boosted_trees"], seed, classes))
+            candidates.append(one_against_rest_trees(label, deeper["one_against_rest"], seed, classes))
     whole = Pipeline(stages=[])
     grid = ParamGridBuilder().addGrid(whole.stages, [shared + [candidate] for candidate in candidates]).build()
     search = CrossValidator(

@@ -6,6 +6,7 @@ distinct duration: at most the days of the log, however many subjects there are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -229,6 +230,32 @@ def chi_square_tail(statistic: Column) -> Column:
     return t * F.exp(fit - root * root)
 
 
+def gamma_tail(a: float, x: Column, steps: int = 200) -> Column:
+    """Regularised upper incomplete gamma function Q(a, x) for a > 0; 1 for x of 0 or less, null for null.
+
+    Below a + 1 the series of the lower function, above it the continued
+    fraction from its end backwards. ``steps`` terms give 12 digits for a up to 100.
+    """
+    scale = F.exp(F.lit(float(a)) * F.log(x) - x - F.lit(math.lgamma(a)))
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)),
+        F.struct(F.lit(1.0 / a).alias("term"), F.lit(1.0 / a).alias("sum")),
+        lambda s, n: F.struct((s["term"] * x / (F.lit(float(a)) + n)).alias("term"), (s["sum"] + s["term"] * x / (F.lit(float(a)) + n)).alias("sum")),
+        lambda s: s["sum"],
+    )
+    start = x + F.lit(2.0 * steps + 1.0 - a)
+    fraction = F.aggregate(
+        F.sequence(F.lit(steps), F.lit(1), F.lit(-1)), start, lambda s, n: x + (2.0 * n - F.lit(1.0 + a)) + n * (F.lit(float(a)) - n) / s
+    )
+    below = F.greatest(F.lit(0.0), 1.0 - scale * series)
+    return F.when(x <= 0, 1.0).when(x < a + 1, below).when(x.isNotNull(), scale / fraction)
+
+
+def chi_square_upper(statistic: Column, degrees: int) -> Column:
+    """Upper tail probability of a chi-square value at any number of degrees of freedom."""
+    return gamma_tail(degrees / 2.0, statistic.cast("double") / 2.0)
+
+
 def dense_ranks(values: DataFrame, column: str) -> DataFrame:
     """Each distinct value of a column with its rank from 0, by ranges: a sort within each and an offset before it."""
     ranged = values.select(column).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id())
@@ -316,3 +343,97 @@ def censored_mae(df: DataFrame, duration: str, event: str, prediction: str) -> D
     error = F.col(duration) - F.col(prediction)
     loss = F.when(F.col(event) == 1, F.abs(error)).otherwise(F.greatest(error, F.lit(0.0)))
     return df.agg(F.count(loss).alias("subjects"), F.avg(loss).alias("censored_mae"))
+
+
+def censoring_curve(df: DataFrame, duration: str, event: str) -> DataFrame:
+    """Chance of not being censored: (duration, free, free_before), with events and censoring exchanged.
+
+    ``free`` holds from the day on, ``free_before`` is its value up to the day.
+    """
+    exchanged = df.withColumn("_censored", F.when(F.col(event) == 1, 0).otherwise(1))
+    curve = kaplan_meier(exchanged, duration, "_censored").select("duration", F.col("survival").alias("free"))
+    before = F.lag("free", 1, 1.0).over(Window.orderBy("duration"))  # one row for each day of the log
+    return curve.withColumn("free_before", before)
+
+
+def brier_scores(df: DataFrame, duration: str, event: str, survival: dict[int, str]) -> DataFrame:
+    """Squared error of predicted survival at each given day, with censoring weights: (day, subjects, brier_score).
+
+    ``survival`` names the column that holds the prediction for a day. A subject
+    gone by the day counts by the inverse chance of being uncensored just
+    before its event, one still there by that at the day, and one censored
+    before has no weight of its own. Without censoring this is the plain mean.
+    Subjects are folded to one row for each duration before anything is joined.
+    """
+    rows = whole_days(df, duration)
+    days = sorted(survival)
+    gone = F.col(event) == 1
+    parts = [F.count("*").alias("n")]
+    for t in days:
+        s = F.col(survival[t]).cast("double")
+        parts += [F.sum(F.when(gone, s * s).otherwise(0.0)).alias(f"gone_{t}"), F.sum((1.0 - s) * (1.0 - s)).alias(f"there_{t}")]
+    cells = rows.groupBy(F.col(duration).alias("duration")).agg(*parts)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("day"), F.col(f"gone_{t}").alias("gone"), F.col(f"there_{t}").alias("there")) for t in days]))
+    curve = reused(censoring_curve(rows, duration, event))
+    cells = cells.join(curve, "duration").select("duration", "n", "free_before", each.alias("e")).select("duration", "n", "free_before", "e.*")
+    at = curve.agg(*[F.coalesce(F.max_by("free", F.when(F.col("duration") <= t, F.col("duration"))), F.lit(1.0)).alias(f"d{t}") for t in days])
+    at = at.select(F.explode(F.array(*[F.struct(F.lit(t).alias("day"), F.col(f"d{t}").alias("free")) for t in days])).alias("a")).select("a.*")
+    error = F.when(F.col("duration") <= F.col("day"), F.try_divide(F.col("gone"), F.col("free_before"))).otherwise(F.try_divide(F.col("there"), F.col("free")))
+    return cells.join(at, "day").groupBy("day").agg(
+        F.sum("n").alias("subjects"), F.try_divide(F.sum(F.coalesce(error, F.lit(0.0))), F.sum("n").cast("double")).alias("brier_score")
+    )
+
+
+def integrated(scores: DataFrame, day: str, value: str) -> DataFrame:
+    """Mean of a value over the days between the first and last row, by trapezoids; one row with that value (null for one day)."""
+    following = Window.orderBy(day)  # a row for each given day
+    steps = scores.select(F.col(day).alias("t"), F.col(value).alias("v"), F.lead(day).over(following).alias("t2"), F.lead(value).over(following).alias("v2"))
+    area = F.sum((F.col("t2") - F.col("t")) * (F.col("v") + F.col("v2")) / 2.0)
+    return steps.agg(F.try_divide(area, F.sum(F.col("t2") - F.col("t"))).alias(f"integrated_{value}"))
+
+
+def auc_over_time(df: DataFrame, duration: str, event: str, score: str, days: Sequence[int]) -> DataFrame:
+    """Area under the curve of each day: (day, cases, controls, auc).
+
+    Cases had their event by the day and count by the inverse chance of being
+    uncensored just before it; controls are still there after it. The area is the share of
+    (case, control) weight in which the case has the higher score, ties by half. No pair is
+    formed: scores are sorted over all tasks, and the controls below a
+    score are those of its range so far and of all ranges before. Null without a case or a control.
+    """
+    rows = whole_days(df, duration).filter(F.col(score).isNotNull())
+    curve = censoring_curve(rows, duration, event).select(F.col("duration").alias("_day"), "free_before")
+    weighed = rows.select(F.col(score).alias("score"), F.col(duration).alias("_day"), (F.col(event) == 1).alias("gone")).groupBy("score", "_day", "gone").agg(F.count("*").alias("n"))
+    weighed = weighed.join(curve, "_day")
+    case, control = [], []
+    for t in days:
+        case.append(F.sum(F.when(F.col("gone") & (F.col("_day") <= t), F.col("n") / F.col("free_before")).otherwise(0.0)))
+        control.append(F.sum(F.when(F.col("_day") > t, F.col("n")).otherwise(0)))
+    named = [c.alias(f"case_{i}") for i, c in enumerate(case)] + [c.alias(f"control_{i}") for i, c in enumerate(control)]
+    ranged = reused(weighed.groupBy("score").agg(*named).repartitionByRange("score").withColumn("_range", F.spark_partition_id()))
+    each = F.explode(F.array(*[F.struct(F.lit(int(t)).alias("day"), F.col(f"case_{i}").alias("case"), F.col(f"control_{i}").alias("control")) for i, t in enumerate(days)]))
+    long = ranged.select("score", "_range", each.alias("e")).select("score", "_range", "e.*")
+    so_far = Window.partitionBy("day", "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    inner = long.withColumn("below", F.coalesce(F.sum("control").over(so_far), F.lit(0)))
+    ranges = inner.groupBy("day", "_range").agg(
+        F.sum("case").alias("case"), F.sum("control").alias("control"), F.sum(F.col("case") * (F.col("below") + F.col("control") / 2.0)).alias("won")
+    )
+    before = Window.partitionBy("day").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = ranges.withColumn("won", F.col("won") + F.col("case") * F.coalesce(F.sum("control").over(before), F.lit(0)))
+    return ranges.groupBy("day").agg(
+        F.sum("case").alias("cases"), F.sum("control").alias("controls"), F.try_divide(F.sum("won"), F.sum("case") * F.sum("control")).alias("auc")
+    )
+
+
+def mean_auc(areas: DataFrame, curve: DataFrame) -> DataFrame:
+    """Concordance as the mean of the areas, weighted by the survival lost in the interval that ends at each day.
+
+    ``areas`` come from ``auc_over_time``, ``curve`` from ``kaplan_meier``. Days without an area take no part.
+    """
+    known = areas.select("day", "auc", F.lit(None).cast("double").alias("survival"), F.lit(1).alias("turn"))
+    steps = curve.select(F.col("duration").cast("int").alias("day"), F.lit(None).cast("double").alias("auc"), "survival", F.lit(0).alias("turn"))
+    so_far = Window.orderBy("day", "turn")  # a row for each day of the log, and for each given day
+    both = known.unionByName(steps).withColumn("level", F.coalesce(F.last("survival", True).over(so_far), F.lit(1.0))).filter("turn = 1")
+    lost = F.lag("level", 1, 1.0).over(Window.orderBy("day")) - F.col("level")
+    weighed = both.withColumn("lost", lost).filter("auc is not null")
+    return weighed.agg(F.try_divide(F.sum(F.col("auc") * F.col("lost")), F.sum("lost")).alias("mean_auc"))

@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ledgerlife.operators import cox, explain, features, metrics, models, orders, parametric, survival
+from ledgerlife.operators import boosting, cox, explain, features, metrics, models, orders, parametric, search, survival
 from ledgerlife.plans.metrics import dataset
 from ledgerlife.plans.registry import query
-from ledgerlife.plans.stages import daily, profile, states
+from ledgerlife.plans.stages import _MART, daily, profile, states
+from ledgerlife.plans.stages import settle_dataset as settle_rows
 from ledgerlife.plans.survival import _LABEL, _LONG, _PERSON, long_subjects
 from ledgerlife.session import reused
 from ledgerlife.sources.sample_tables import with_tables
@@ -24,7 +25,8 @@ def _split(df, column, day):
 
 
 def _regression(rows, column="sauda_date"):
-    train, test = _split(rows, column, SPLIT_DAY)
+    # Stored: training and scoring read one data set.
+    train, test = _split(reused(rows), column, SPLIT_DAY)
     model = models.next_trade_model(train)
     return metrics.regression_report(models.regression_scores(model, test), "prediction", "inactive_days", by=[column])
 
@@ -40,7 +42,7 @@ def next_trade_model_below_4(t):
     rows = features.next_trade_dataset(
         trades, t.kyc, t.trading_days(trades), t.tiers, min_days=None, max_days=3, with_recency=False
     )
-    train, test = _split(rows, "sauda_date", "2024-01-08")
+    train, test = _split(reused(rows), "sauda_date", "2024-01-08")
     model = models.next_trade_model(train)
     return metrics.regression_report(models.regression_scores(model, test), "prediction", "inactive_days")
 
@@ -57,7 +59,7 @@ def next_trade_model_week_below_4(t):
     trades = t.purchase_log
     weeks = features.week_cohort(trades, t.kyc, t.trading_days(trades), min_days=1, max_days=3)
     rows = features.with_demographics(weeks.drop(*features.RECENCY), t.kyc, t.tiers, day="week_start")
-    train, test = _split(rows, "week_start", "2024-01-08")
+    train, test = _split(reused(rows), "week_start", "2024-01-08")
     model = models.next_trade_model(train)
     return metrics.regression_report(models.regression_scores(model, test), "prediction", "inactive_days")
 
@@ -66,22 +68,26 @@ def next_trade_model_week_below_4(t):
 
 # A year's horizon fits the sample log, whose parties trade every few months.
 HORIZON = 365
+#: Rounds of the tuned settings that the queries run.
+ROUNDS = 4
 
 
-def _mart(t, start, end):
-    targets = states.transition_targets(daily(t), start, end, HORIZON)
-    return orders.customer_feature_mart(targets, t.order_log, profile(t, start), t.kyc, "2022-02-03")
+def _marts(t, *ranges):
+    """Marts of several date ranges over one daily summary and one order profile, both computed once."""
+    summary, detail = reused(daily(t)), reused(profile(t, min(start for start, _ in ranges)))
+    targets = [states.transition_targets(summary, start, end, HORIZON) for start, end in ranges]
+    return [orders.customer_feature_mart(rows, t.order_log, detail, t.kyc, "2022-02-03") for rows in targets]
 
 
 def settle_sets(t):
-    """First-trade rows of two date ranges, both built by the same function."""
-    early, late = _mart(t, "1995-01-01", "1995-12-31"), _mart(t, "1996-01-01", "2001-08-01")
-    return orders.settle_dataset(early, t.tiers), orders.settle_dataset(late, t.tiers)
+    """First-trade rows of two date ranges, both built by the same function and stored."""
+    marts = _marts(t, ("1995-01-01", "1995-12-31"), ("1996-01-01", "2001-08-01"))
+    return [reused(orders.settle_dataset(mart, t.tiers)) for mart in marts]
 
 
 def frequent_sets(t):
-    early, late = _mart(t, "1995-01-01", "1996-12-31"), _mart(t, "1997-01-01", "2001-08-01")
-    return orders.frequent_dataset(early, t.tiers), orders.frequent_dataset(late, t.tiers)
+    marts = _marts(t, ("1995-01-01", "1996-12-31"), ("1997-01-01", "2001-08-01"))
+    return [reused(orders.frequent_dataset(mart, t.tiers)) for mart in marts]
 
 
 def _scored(model, test, label, classes):
@@ -92,6 +98,34 @@ def _report(model, test, label, classes):
     return metrics.classification_report(_scored(model, test, label, classes), label, "prediction")
 
 
+_TEXTS = {"occupation": ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}
+_NUMBERS, _BOOLEANS = ("T_O", "underlying_assets_cnt", "rejected_by_cnt", "age"), ("has_mis_trade", "has_cnc_trade")
+# One-hot texts, numbers with the mean and flags with the most frequent value for gaps, all standardised.
+_ENTRIES = [f"CAST(coalesce({c} = '{v}', false) AS DOUBLE)" for c, values in _TEXTS.items() for v in values]
+_ENTRIES += [f"coalesce(CAST({c} AS DOUBLE), avg({c}) OVER ())" for c in _NUMBERS]
+_ENTRIES += [f"CAST(coalesce({c}, (SELECT mode({c}) FROM chosen)) = {v} AS DOUBLE)" for c in _BOOLEANS for v in ("false", "true")]
+
+
+@query(
+    "preprocessed_vector",
+    with_tables(
+        "order_log kyc tiers daily order_detail",
+        _MART + f""",
+        chosen AS (SELECT * FROM mart WHERE cumulative_trade_days = 1 AND sauda_date <= DATE '2000-06-30'),
+        entries AS (SELECT settle_target, {", ".join(f"{e} AS e{i}" for i, e in enumerate(_ENTRIES))} FROM chosen)
+        SELECT settle_target, {", ".join(
+            f"round(coalesce((e{i} - avg(e{i}) OVER ()) / nullif(stddev_samp(e{i}) OVER (), 0), 0), 6) + 0.0::DOUBLE AS x{i}" for i in range(len(_ENTRIES)))}
+        FROM entries""",
+    ),
+)
+def preprocessed_vector(t):
+    """The preprocessing of some columns of each kind, entry by entry."""
+    rows = reused(settle_rows(t).select("settle_target", *_TEXTS, *_NUMBERS, *_BOOLEANS))
+    fitted = Pipeline(stages=models.preprocessing(rows, "settle_target")).fit(rows)
+    values = fitted.transform(rows).select("settle_target", vector_to_array("features").alias("f"))
+    return values.select("settle_target", *[(F.round(F.get("f", F.lit(i)), 6) + 0.0).alias(f"x{i}") for i in range(len(_ENTRIES))])
+
+
 @query("preprocessed_features")
 def preprocessed_features(t):
     train, test = settle_sets(t)
@@ -122,7 +156,7 @@ def settle_logistic(t):
 @query("settle_boosted_trees")
 def settle_boosted_trees(t):
     train, test = settle_sets(t)
-    model = models.classify_boosted_trees(train, "settle_target", 3, models.SETTLE)
+    model = models.classify_boosted_trees(train, "settle_target", 3, models.SETTLE, rounds=ROUNDS)
     return _scored(model, test, "settle_target", 3).select(
         "settle_target", "prediction", "probability_class_0", "probability_class_1", "probability_class_2"
     )
@@ -131,7 +165,7 @@ def settle_boosted_trees(t):
 @query("settle_boosted_trees_2")
 def settle_boosted_trees_2(t):
     train, test = settle_sets(t)
-    model = models.classify_boosted_trees(train, "settle_target", 3, models.SETTLE, "boosted_trees_2")
+    model = models.classify_boosted_trees(train, "settle_target", 3, models.SETTLE, "boosted_trees_2", rounds=ROUNDS)
     return _scored(model, test, "settle_target", 3).select(
         "settle_target", "prediction", "probability_class_0", "probability_class_1", "probability_class_2"
     )
@@ -164,6 +198,95 @@ def frequent_boosted_trees(t):
     )
 
 
+# Three features of each trade and a label of three classes that depends on them.
+_BOOSTED = """rows AS (
+      SELECT OC AS f0, party_code % 11 AS f1, month(sauda_date) AS f2, CAST((OC * 2 + party_code % 11 + month(sauda_date) // 4 + party_code % 3) % 3 AS INTEGER) AS y
+      FROM trade_log),
+    shares AS (SELECT y AS k, count(*) / (SELECT count(*) FROM rows)::DOUBLE AS p FROM rows GROUP BY y),
+    marked AS (
+      SELECT k, f0, f1, f2, 0 AS node, p - (y = k)::INTEGER AS g, 1.5 * p * (1 - p) AS h FROM rows, shares),
+    edges AS (
+      SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS edge
+      FROM (SELECT DISTINCT 0 AS f, f0 AS v FROM rows UNION SELECT DISTINCT 1, f1 FROM rows UNION SELECT DISTINCT 2, f2 FROM rows))"""
+_SPLITS = """,
+    cells{i} AS (
+      SELECT k, node, f, v, sum(g) AS g, sum(h) AS h, count(*) AS n
+      FROM (SELECT k, node, g, h, unnest([0, 1, 2]) AS f, unnest([f0, f1, f2]) AS v FROM {rows}) GROUP BY ALL),
+    left{i} AS (
+      SELECT k, node, f, v, sum(g) OVER (w ORDER BY v) AS gl, sum(h) OVER (w ORDER BY v) AS hl, CAST(sum(n) OVER (w ORDER BY v) AS BIGINT) AS nl,
+             sum(g) OVER w AS tg, sum(h) OVER w AS th, sum(n) OVER w AS tn FROM cells{i} WINDOW w AS (PARTITION BY k, node, f)),
+    gains{i} AS (
+      SELECT *, pow(greatest(abs(gl) - 0.5, 0), 2) / (hl + 2) + pow(greatest(abs(tg - gl) - 0.5, 0), 2) / (th - hl + 2)
+                - pow(greatest(abs(tg) - 0.5, 0), 2) / (th + 2) AS gain
+      FROM left{i} JOIN edges USING (f, v) WHERE edge IS NOT NULL AND nl >= 20 AND tn - nl >= 20 AND hl >= 0.001 AND th - hl >= 0.001)"""
+_STEP = boosting.Boosting(rounds=1, learning_rate=1.5, max_depth=2, num_leaves=4, lambda_l1=0.5, lambda_l2=2.0)
+
+
+def _boosting_rows(t):
+    party = F.col("party_code") % 11
+    label = (F.col("OC") * 2 + party + F.floor(F.month("sauda_date") / 4) + F.col("party_code") % 3) % 3
+    return t.order_log.select(F.col("OC").alias("f0"), party.alias("f1"), F.month("sauda_date").alias("f2"), label.cast("int").alias("y"))
+
+
+@query(
+    "boosted_split_gains",
+    with_tables(
+        "order_log",
+        _BOOSTED + _SPLITS.format(i=0, rows="marked") + """
+        SELECT CAST(k AS INTEGER) AS "class", 'f' || f AS feature, edge::DOUBLE AS edge, nl AS rows_left, round(gain, 6) AS gain FROM gains0 WHERE gain >= 0""",
+    ),
+)
+def boosted_split_gains(t):
+    """Every split of the first round's roots with its gain."""
+    rows = reused(_boosting_rows(t))
+    model = boosting.prepared(rows, "y", ["f0", "f1", "f2"], 3, _STEP)
+    ready, usual = boosting.boosting_rows(rows, "y", model)
+    roots = [boosting.Tree(0, [-1], [0], [0.0]) for _ in range(3)]
+    hist = boosting.histogram(ready, roots, 0, [{0}] * 3, range(3), 3, 3)
+    found = boosting.candidates(hist, usual, boosting.root_totals(ready, 3), _STEP)
+    edge = F.get(F.get(F.array(*[F.array(*[F.lit(v) for v in e]) for e in model.edges]), F.col("f")), F.col("b"))
+    return found.select(F.col("k").alias("class"), F.concat(F.lit("f"), F.col("f").cast("string")).alias("feature"), edge.alias("edge"), F.col("nl").alias("rows_left"), F.round("gain", 6).alias("gain"))
+
+
+_LEAF = "-1.5 * sign({g}) * greatest(abs({g}) - 0.5, 0) / ({h} + 2)"
+
+
+@query(
+    "boosted_first_trees",
+    with_tables(
+        "order_log",
+        _BOOSTED + _SPLITS.format(i=0, rows="marked") + """,
+        best0 AS (SELECT * FROM gains0 WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, v) = 1),
+        halves AS (
+          SELECT m.k, f0, f1, f2, CASE WHEN [f0, f1, f2][b.f + 1] < b.edge THEN 1 ELSE 2 END AS node, m.g, m.h FROM marked m JOIN best0 b ON b.k = m.k)"""
+        + _SPLITS.format(i=1, rows="halves") + """,
+        best1 AS (SELECT * FROM gains1 WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY k, node ORDER BY gain DESC, f, v) = 1),
+        tops AS (SELECT k, node, sum(g) AS g, sum(h) AS h FROM halves GROUP BY k, node),
+        nodes AS (
+          SELECT k, 0 AS node, 'f' || f AS feature, edge::DOUBLE AS edge, NULL::DOUBLE AS value FROM best0
+          UNION ALL SELECT k, node, 'f' || f, edge::DOUBLE, NULL FROM best1
+          UNION ALL SELECT k, node, NULL, NULL, """ + _LEAF.format(g="g", h="h") + """ FROM tops ANTI JOIN best1 USING (k, node)
+          UNION ALL SELECT k, 2 * node + 1, NULL, NULL, """ + _LEAF.format(g="gl", h="hl") + """ FROM best1
+          UNION ALL SELECT k, 2 * node + 2, NULL, NULL, """ + _LEAF.format(g="(tg - gl)", h="(th - hl)") + """ FROM best1)
+        SELECT 0 AS round, CAST(k AS INTEGER) AS "class", node, feature, edge, round(value, 9) AS value FROM nodes""",
+    ),
+)
+def boosted_first_trees(t):
+    """The trees of one round, two levels deep."""
+    rows = reused(_boosting_rows(t))
+    return boosting.tree_nodes(rows, boosting.fit_boosted(rows, "y", ["f0", "f1", "f2"], 3, _STEP)).withColumn("value", F.round("value", 9))
+
+
+@query("settle_one_against_rest")
+def settle_one_against_rest(t):
+    """Log loss on the later range of the softmax trees and of MLlib's one against the rest, with the same number of trees."""
+    train, test = settle_sets(t)
+    many = {**models.SETTLE, "one_against_rest": {**models.SETTLE["one_against_rest"], "maxIter": ROUNDS}}
+    fits = {"softmax": models.classify_boosted_trees(train, "settle_target", 3, rounds=ROUNDS), "one_against_rest": models.classify_one_against_rest(train, "settle_target", 3, many)}
+    rows = [(name, models.evaluate(model, test, "settle_target", 3).first()["test_log_loss"]) for name, model in fits.items()]
+    return t.spark.createDataFrame(rows, "model string, log_loss double")
+
+
 @query("model_evaluation")
 def model_evaluation(t):
     train, test = frequent_sets(t)
@@ -214,6 +337,13 @@ def model_search(t):
     return models.search_results(t.spark, found)
 
 
+@query("budgeted_search")
+def budgeted_search(t):
+    """Successive halving over nine configurations within ten minutes."""
+    train, _ = frequent_sets(t)
+    return search.search_table(t.spark, search.budgeted_search(train, "frequent_target", 2, 600, configurations=9))
+
+
 @query("tree_importance")
 def tree_importance(t):
     train, test = frequent_sets(t)
@@ -233,6 +363,42 @@ def permutation_importance(t):
     return explain.permutation_importance(model, rows, "frequent_target", _inputs(rows, "frequent_target"))
 
 
+_PARTY = ("trades", "orders", "days")
+
+
+@query(
+    "kernel_shap_linear",
+    with_tables(
+        "order_log",
+        """parties AS (
+          SELECT party_code, count(*) AS trades, CAST(sum(OC) AS BIGINT) AS orders, count(DISTINCT sauda_date) AS days FROM trade_log GROUP BY party_code),
+        marked AS (SELECT *, md5(concat_ws('|', '0', trades, orders, days)) AS mark FROM parties),
+        background AS (SELECT * FROM marked ORDER BY mark LIMIT 10),
+        examples AS (SELECT * FROM marked ORDER BY mark, party_code LIMIT 100),
+        middle AS (SELECT avg(trades) AS m0, avg(orders) AS m1, avg(days) AS m2 FROM background)
+        SELECT party_code, unnest(['trades', 'orders', 'days']) AS feature,
+               unnest([round(2 * (trades - m0), 6) + 0.0::DOUBLE, round(-0.5 * (orders - m1), 6) + 0.0::DOUBLE, round(0.25 * (days - m2), 6) + 0.0::DOUBLE]) AS contribution,
+               round(2 * m0 - 0.5 * m1 + 0.25 * m2, 6) AS base, round(2 * trades - 0.5 * orders + 0.25 * days, 6)::DOUBLE AS predicted
+        FROM examples, middle""",
+    ),
+)
+def kernel_shap_linear(t):
+    """Kernel SHAP of a linear function, whose contributions are known."""
+    parties = t.order_log.groupBy("party_code").agg(F.count("*").alias("trades"), F.sum("OC").cast("long").alias("orders"), F.count_distinct("sauda_date").alias("days"))
+    score = lambda df: df.withColumn("prediction", 2.0 * F.col("trades") - 0.5 * F.col("orders") + 0.25 * F.col("days"))
+    found = explain.kernel_shap(score, parties, parties, _PARTY, keep=["party_code"])
+    return found.select("party_code", "feature", *[(F.round(c, 6) + 0.0).alias(c) for c in ("contribution", "base", "predicted")])
+
+
+@query("kernel_shap_importance")
+def kernel_shap_importance(t):
+    """Mean absolute Kernel SHAP contribution of each feature, over 100 examples and 10 background rows."""
+    train, test = frequent_sets(t)
+    model = models.classify_decision_tree(train, "frequent_target", models.FREQUENT)
+    rows = models.labelled(test, "frequent_target")
+    return explain.shapley_importance(explain.kernel_shap(model.transform, train, rows, _inputs(rows, "frequent_target")))
+
+
 @query("shapley_importance")
 def shapley_importance(t):
     train, test = frequent_sets(t)
@@ -369,6 +535,54 @@ def cox_predict(t):
     return cox.cox_predict(model, rows, [9, 30, 90])
 
 
+@query("cox_tests")
+def cox_tests(t):
+    return cox.cox_tests(fitted_cox(t)[0])
+
+
+_RESIDUAL = _COX + """,
+        steps AS (
+          SELECT *, k / d::DOUBLE AS a FROM (SELECT *, unnest(generate_series(0, d - 1)) AS k FROM at_risk WHERE d > 0)),
+        terms AS (
+          SELECT g, t, s0 - a * t0 AS f, s1 - a * t1 AS f1, s2 - a * t2 AS f2, s11 - a * t11 AS f11, s12 - a * t12 AS f12,
+                 s22 - a * t22 AS f22 FROM steps),
+        information AS (
+          SELECT sum(f11 / f - f1 * f1 / (f * f)) AS i11, sum(f12 / f - f1 * f2 / (f * f)) AS i12, sum(f22 / f - f2 * f2 / (f * f)) AS i22 FROM terms),
+        expected AS (SELECT g, t, sum(f1 / f) AS e1, sum(f2 / f) AS e2 FROM terms GROUP BY g, t),
+        seen AS (SELECT g, t, count(*) AS d, sum(z1) AS x1, sum(z2) AS x2 FROM subjects WHERE e = 1 GROUP BY g, t),
+        residuals AS (
+          SELECT g, t, d, x1 - e1 AS r1, x2 - e2 AS r2, (SELECT count(*) FROM subjects WHERE e = 1) AS n, i11, i12, i22, i11 * i22 - i12 * i12 AS det
+          FROM seen JOIN expected USING (g, t), information)"""
+
+
+@query(
+    "schoenfeld_given",
+    with_tables(
+        "order_log kyc tiers daily",
+        _RESIDUAL + f"""
+        SELECT g AS {STRATUM}, t AS duration, d AS events, unnest(['gender_f', 'riskcategory_new']) AS covariate,
+               unnest([round(r1, 6) + 0.0::DOUBLE, round(r2, 6) + 0.0::DOUBLE]) AS residual,
+               unnest([round(n * (i22 * r1 - i12 * r2) / det / d + 0.2, 6), round(n * (i11 * r2 - i12 * r1) / det / d - 0.1, 6)]) AS scaled
+        FROM residuals""",
+    ),
+)
+def schoenfeld_given(t):
+    """Residuals of the proportional hazards at given coefficients, plain and scaled."""
+    found = cox.schoenfeld_residuals(_given_cox(t)[0])
+    return found.withColumns({"residual": F.round("residual", 6) + 0.0, "scaled": F.round("scaled", 6)})
+
+
+@query("residual_trend")
+def residual_trend(t):
+    """Local lines through the scaled residuals, by intervals of 30 days."""
+    return cox.residual_trend(cox.schoenfeld_residuals(fitted_cox(t)[0]), 30)
+
+
+@query("ph_assumption_test_km")
+def ph_assumption_test_km(t):
+    return cox.ph_assumption_test(fitted_cox(t)[0], transform="km")
+
+
 @query("ph_assumption_test")
 def ph_assumption_test(t):
     return cox.ph_assumption_test(fitted_cox(t)[0])
@@ -401,3 +615,61 @@ def aft_regression(t):
     rows = encoded(t)
     model = parametric.aft_regression(rows, "tenure", "target", _names(rows))
     return parametric.aft_summary(t.spark, model, _names(rows))
+
+
+# Log likelihood with first and second derivatives by the error z, as SQL: of events, and of censored rows.
+_SOFT = "ln(1 + exp(z))"
+_P = "(1 / (1 + exp(-z)))"
+_AFT_TERMS = {
+    "weibull": (("z - exp(z)", "1 - exp(z)", "-exp(z)"), ("-exp(z)", "-exp(z)", "-exp(z)")),
+    "log_logistic": ((f"z - 2 * {_SOFT}", f"1 - 2 * {_P}", f"-2 * {_P} * (1 - {_P})"), (f"-{_SOFT}", f"-{_P}", f"-{_P} * (1 - {_P})")),
+}
+_AFT_SUMS = {
+    "log_likelihood": "l - CASE WHEN e = 1 THEN ln(0.7) + ln(t) ELSE 0 END", "gradient_intercept": "-a / 0.7", "gradient_gender_f": "-a * x1 / 0.7",
+    "gradient_riskcategory_new": "-a * x2 / 0.7", "gradient_log_scale": "-a * z - e", "information_intercept_intercept": "-b / 0.49",
+    "information_intercept_gender_f": "-b * x1 / 0.49", "information_intercept_riskcategory_new": "-b * x2 / 0.49",
+    "information_intercept_log_scale": "-(a + b * z) / 0.7", "information_gender_f_gender_f": "-b * x1 * x1 / 0.49",
+    "information_gender_f_riskcategory_new": "-b * x1 * x2 / 0.49", "information_gender_f_log_scale": "-(a + b * z) * x1 / 0.7",
+    "information_riskcategory_new_riskcategory_new": "-b * x2 * x2 / 0.49", "information_riskcategory_new_log_scale": "-(a + b * z) * x2 / 0.7",
+    "information_log_scale_log_scale": "-(a * z + b * z * z)",
+}
+_AFT_GIVEN = ([4.8, 0.1, -0.05], 0.7)
+
+
+def _aft_sql(distribution):
+    event, censored = _AFT_TERMS[distribution]
+    either = ", ".join(f"CASE WHEN e = 1 THEN {x} ELSE {y} END AS {n}" for x, y, n in zip(event, censored, "lab"))
+    return f"""
+        SELECT '{distribution}' AS distribution, unnest([{", ".join(f"'{n}'" for n in _AFT_SUMS)}]) AS quantity,
+               unnest([{", ".join(f"round(sum({v}), 4)" for v in _AFT_SUMS.values())}]) AS value
+        FROM (SELECT *, {either} FROM errors)"""
+
+
+@query(
+    "aft_likelihood_given",
+    with_tables(
+        "order_log kyc tiers daily",
+        _LONG + ",\n    people AS (" + _PERSON + """),
+        errors AS (
+          SELECT tenure::DOUBLE AS t, target AS e, gender_f::DOUBLE AS x1, riskcategory_new::DOUBLE AS x2,
+                 (ln(tenure) - 4.8 - 0.1 * gender_f + 0.05 * riskcategory_new) / 0.7 AS z FROM people)""" + " UNION ALL ".join(map(_aft_sql, _AFT_TERMS)),
+    ),
+)
+def aft_likelihood_given(t):
+    """Likelihood, gradient and information of accelerated failure times at given values."""
+    rows, found = reused(long_subjects(t)), None
+    for distribution in _AFT_TERMS:
+        one = parametric.aft_likelihood(rows, "tenure", "target", ["gender_f", "riskcategory_new"], distribution, *_AFT_GIVEN)
+        one = one.select(F.lit(distribution).alias("distribution"), "quantity", F.round("value", 4).alias("value"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("aft_fits")
+def aft_fits(t):
+    """Accelerated failure times by three distributions, with errors, intervals and AIC."""
+    rows, found = encoded(t), None
+    for distribution in parametric.ERRORS:
+        one = parametric.aft_fit_summary(t.spark, parametric.aft_fit(rows, "tenure", "target", _names(rows), distribution))
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -241,6 +241,100 @@ def brier_score(t):
     return score.withColumn("brier_score", F.round("brier_score", 6))
 
 
+DAYS = (30, 90, 180, 300)
+_WEIGHED = _SCORED + """,
+    days(h) AS (VALUES (30), (90), (180), (300)),
+    levels AS (
+      SELECT tenure AS d, count(*) FILTER (target = 0) AS c, sum(count(*)) OVER (ORDER BY tenure DESC) AS n, count(*) FILTER (target = 1) AS e
+      FROM scored GROUP BY tenure),
+    free AS (SELECT d, product(1.0 - c::DOUBLE / n) OVER (ORDER BY d) AS g, product(1.0 - e::DOUBLE / n) OVER (ORDER BY d) AS s FROM levels),
+    before AS (SELECT d, lag(g, 1, 1.0) OVER (ORDER BY d) AS b FROM free),
+    weighed AS (SELECT scored.*, b FROM scored JOIN before ON d = tenure)"""
+_BRIER = _WEIGHED + """,
+    brier AS (
+      SELECT h, count(*) AS n, sum(CASE WHEN tenure <= h AND target = 1 THEN pow(exp(-h / greatest(expected, 1.0)), 2) / b
+                                        WHEN tenure > h THEN pow(1.0 - exp(-h / greatest(expected, 1.0)), 2) / g ELSE 0 END) / count(*) AS score
+      FROM weighed, (SELECT h, coalesce((SELECT arg_max(g, d) FROM free WHERE d <= h), 1.0) AS g FROM days) GROUP BY h)"""
+
+
+def predicted_gaps(t):
+    """The same with the chance of no trade until each of the days."""
+    return scored_gaps(t).withColumns({f"survival_{d}": F.exp(-float(d) / F.greatest("expected", F.lit(1.0))) for d in DAYS})
+
+
+def _brier(t):
+    return survival.brier_scores(predicted_gaps(t), "tenure", "target", {d: f"survival_{d}" for d in DAYS})
+
+
+@query("brier_scores", with_tables("order_log daily", _BRIER + " SELECT h AS day, n AS subjects, round(score, 9) AS brier_score FROM brier"))
+def brier_scores(t):
+    return _brier(t).withColumn("brier_score", F.round("brier_score", 9))
+
+
+@query(
+    "integrated_brier_score",
+    with_tables(
+        "order_log daily",
+        _BRIER + """
+        SELECT round(sum((h2 - h) * (score + score2) / 2) / sum(h2 - h), 9) AS integrated_brier_score
+        FROM (SELECT h, score, lead(h) OVER (ORDER BY h) AS h2, lead(score) OVER (ORDER BY h) AS score2 FROM brier)""",
+    ),
+)
+def integrated_brier_score(t):
+    return survival.integrated(_brier(t), "day", "brier_score").withColumn("integrated_brier_score", F.round("integrated_brier_score", 9))
+
+
+_AUC = _WEIGHED + """,
+    cells AS (
+      SELECT h, -expected AS score, sum(CASE WHEN tenure <= h AND target = 1 THEN 1 / b ELSE 0 END) AS cases, count(*) FILTER (tenure > h) AS controls
+      FROM weighed, days WHERE expected IS NOT NULL GROUP BY h, expected),
+    placed AS (SELECT *, sum(controls) OVER (PARTITION BY h ORDER BY score) - controls / 2.0 AS beaten FROM cells),
+    areas AS (
+      SELECT h, sum(cases) AS cases, CAST(sum(controls) AS BIGINT) AS controls, sum(cases * beaten) / (sum(cases) * sum(controls)) AS auc FROM placed GROUP BY h)"""
+
+
+def _auc(t):
+    ranked = scored_gaps(t).withColumn("risk", -F.col("expected"))
+    return survival.auc_over_time(ranked, "tenure", "target", "risk", DAYS)
+
+
+@query("auc_over_time", with_tables("order_log daily", _AUC + " SELECT h AS day, round(cases, 6) AS cases, controls, round(auc, 9) AS auc FROM areas"))
+def auc_over_time(t):
+    return _auc(t).withColumns({"cases": F.round("cases", 6), "auc": F.round("auc", 9)})
+
+
+@query(
+    "mean_auc",
+    with_tables(
+        "order_log daily",
+        _AUC + """,
+        curve AS (SELECT h, auc, coalesce((SELECT arg_max(s, d) FROM free WHERE d <= h), 1.0) AS s FROM areas),
+        lost AS (SELECT auc, lag(s, 1, 1.0) OVER (ORDER BY h) - s AS w FROM curve)
+        SELECT round(sum(auc * w) / sum(w), 9) AS mean_auc FROM lost WHERE auc IS NOT NULL""",
+    ),
+)
+def mean_auc(t):
+    curve = survival.kaplan_meier(scored_gaps(t), "tenure", "target")
+    return survival.mean_auc(_auc(t), curve).withColumn("mean_auc", F.round("mean_auc", 9))
+
+
+@query(
+    "chi_square_tails",
+    with_tables(
+        "order_log",
+        """stats AS (SELECT party_code, sum(OC) / 2.0::DOUBLE AS x FROM trade_log GROUP BY party_code),
+        tails AS (
+          SELECT party_code, x, k, 1 - sum(exp((k / 2.0 + n) * ln(x / 2) - x / 2 - lgamma(k / 2.0 + n + 1))) AS q
+          FROM stats, (VALUES (1), (2), (12)) AS degrees(k), range(0, 300) AS r(n) GROUP BY party_code, x, k)
+        SELECT party_code, x AS statistic, k AS degrees, round(abs(q), 9) AS p FROM tails""",
+    ),
+)
+def chi_square_tails(t):
+    stats = t.order_log.groupBy("party_code").agg((F.sum("OC") / F.lit(2.0)).alias("statistic"))
+    tails = [F.struct(F.lit(k).alias("degrees"), F.round(survival.chi_square_upper(F.col("statistic"), k), 9).alias("p")) for k in (1, 2, 12)]
+    return stats.select("party_code", "statistic", F.inline(F.array(*tails)))
+
+
 @query(
     "censored_mae",
     with_tables(

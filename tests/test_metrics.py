@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -75,3 +76,17 @@ def test_column_helpers(spark):
         C.gap_label_days(F.lit("Quarter")).alias("label"),
     ).first()
     assert tuple(row) == ("New delhi", ["a"], 1, None, None, 1.0, 0, 3, None, 0.0, 90)
+
+
+def test_density_equals_the_plain_sum(spark):
+    rng = random.Random(6)
+    values = [rng.gauss(3, 2) for _ in range(2000)] + [1e6, -1e6, 0.0]
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    grid = [-4.0, 0.0, 2.9, 3.0, 7.5, 60.0, 1e6]
+    for h in (0.05, 0.7):
+        found = {r.x: r.density for r in metrics.density(frame, "v", grid, h).collect()}
+        for x in grid:
+            plain = sum(math.exp(-0.5 * ((x - v) / h) ** 2) for v in values) / (len(values) * h * math.sqrt(2 * math.pi))
+            assert found[x] == pytest.approx(plain, rel=1e-9, abs=1e-13 / h)
+    one = metrics.density(frame.filter("v = 0"), "v", [0.0]).collect()
+    assert [r.density for r in one] == [None]

@@ -1,15 +1,18 @@
+import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlife.operators import explain, metrics, models
+from ledgerlife.operators import base, explain, metrics, models
 
 SMALL = {
     "random_forest": {"numTrees": 8, "maxDepth": 4, "featureSubsetStrategy": "0.66"},
     "decision_tree": {"maxDepth": 4},
     "logistic": {"C": 10.0, "family": "multinomial"},
-    "boosted_trees": {"maxIter": 3, "maxDepth": 3},
+    "boosted_trees": {"rounds": 2, "max_depth": 3, "learning_rate": 0.5, "min_child_samples": 5},
+    "one_against_rest": {"maxIter": 3, "maxDepth": 3},
     "seed": 7,
 }
 
@@ -30,6 +33,7 @@ FITS = {
     "tree": lambda r: models.classify_decision_tree(r, "y", SMALL),
     "logistic": lambda r: models.classify_logistic(r, "y", SMALL),
     "boosted": lambda r: models.classify_boosted_trees(r, "y", 3, SMALL),
+    "one_against_rest": lambda r: models.classify_one_against_rest(r, "y", 3, SMALL),
 }
 
 
@@ -63,13 +67,91 @@ def test_search_keeps_the_best(rows, spark):
 def test_importance_finds_the_driving_columns(rows):
     model = models.classify_decision_tree(rows, "y", SMALL)
     features = ["kind", "flag", "amount", "noise"]
-    lost = {r.feature: r.importance for r in explain.permutation_importance(model, rows, "y", features, buckets=20).collect()}
+    lost = {r.feature: r.importance for r in explain.permutation_importance(model, rows, "y", features).collect()}
     assert lost["amount"] > 0.1 and lost["flag"] > 0.1 and abs(lost["kind"]) < 0.1
     weights = explain.tree_importance(model, rows).collect()
     assert sum(r.importance for r in weights) == pytest.approx(1.0)
     assert max(weights, key=lambda r: r.importance).feature.startswith("amount")
 
 
+def test_permutation_keeps_each_feature_as_a_multiset(spark):
+    rows = spark.createDataFrame([(i % 7, float(i), None if i % 5 else "x", 3) for i in range(3000)] + [(1, 1.0, "x", 3)] * 50, "a int, b double, c string, d int")
+    other = explain.permuted(rows, ["a", "b", "c"], seed=4).persist()
+    assert other.columns == [*rows.columns, "_other"]
+    for name in ("a", "b", "c"):
+        assert other.select(f"_other.{name}").exceptAll(rows.select(name)).isEmpty() and other.count() == 3050
+    assert other.drop("_other").exceptAll(rows).isEmpty()
+    # Rows move, and far: the correlation with the old places is small.
+    assert abs(other.filter("b > 1").selectExpr("corr(b, _other.b) AS r").first().r) < 0.1
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert base.placed(rows.select("b").distinct(), "b").select("_place", F.spark_partition_id().alias("p")).select("p").distinct().count() > 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert explain.permuted(rows.limit(0), ["a"]).count() == 0
+
+
+def test_places_follow_the_order(spark):
+    rows = spark.createDataFrame([((i * 7919) % 1009, "x") for i in range(1009)], "v int, t string")
+    assert {r.v: r._place for r in base.placed(rows, "v").collect()} == {v: v for v in range(1009)}
+
+
+def test_coalitions_carry_the_whole_weight():
+    z, w = explain.coalitions(6, 1000)
+    assert len(z) == 2**6 - 2 and len({tuple(r) for r in z}) == len(z)
+    for size in range(1, 6):
+        assert w[z.sum(1) == size].sum() == pytest.approx(5 / (size * (6 - size)))
+    z, w = explain.coalitions(30, 200, seed=1)
+    assert 200 <= 2 * 30 + len(z) and w.sum() == pytest.approx(sum(29 / (s * (30 - s)) for s in range(1, 30)))
+    assert (z.sum(1) == 1).sum() >= 30 and (z.sum(1) == 29).sum() >= 30
+    assert explain.coalitions(1, 10)[0].shape == (0, 1)
+
+
+def _enumerated(f, background, example, m):
+    """Shapley values by their definition."""
+    value = {}
+    for members in itertools.chain.from_iterable(itertools.combinations(range(m), s) for s in range(m + 1)):
+        value[members] = sum(f([example[i] if i in members else b[i] for i in range(m)]) for b in background) / len(background)
+    out = []
+    for i in range(m):
+        total = 0.0
+        for members in value:
+            if i not in members:
+                s = len(members)
+                total += math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) * (value[tuple(sorted((*members, i)))] - value[members])
+        out.append(total)
+    return out
+
+
+def test_kernel_shap_equals_enumeration_and_linear_values(spark):
+    rng = random.Random(3)
+    names = [f"x{i}" for i in range(8)]
+    data = [tuple(float(rng.randrange(5)) for _ in names) for _ in range(9)]
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], ", ".join(f"{n} double" for n in names) + ", id int")
+    crossed = lambda r: r[0] * r[1] - 2 * r[2] + (r[3] > 2) * r[4] + r[5] * r[6] * r[7] / 4
+    score = lambda df: df.withColumn("prediction", F.expr("x0 * x1 - 2 * x2 + CASE WHEN x3 > 2 THEN x4 ELSE 0 END + x5 * x6 * x7 / 4"))
+    values = explain.kernel_shap(score, frame.filter("id < 4"), frame.filter("id >= 4"), names, keep=["id"]).collect()
+    found = {(r.id, r.feature): r for r in values}
+    assert len(found) == 5 * 8
+    for i in range(4, 9):
+        want = _enumerated(crossed, data[:4], data[i], 8)
+        assert [found[i, n].contribution for n in names] == pytest.approx(want, abs=1e-9)
+        assert found[i, "x0"].predicted == pytest.approx(crossed(data[i]))
+    # A sample of coalitions still adds up, and gives a linear function exactly.
+    weights = [i - 3.5 for i in range(8)]
+    linear = lambda df: df.withColumn("prediction", sum(F.col(n) * w for n, w in zip(names, weights)))
+    for r in explain.kernel_shap(linear, frame.filter("id < 4"), frame.filter("id >= 4"), names, most=40, keep=["id"]).collect():
+        j = names.index(r.feature)
+        assert r.contribution == pytest.approx(weights[j] * (data[r.id][j] - sum(d[j] for d in data[:4]) / 4), abs=1e-9)
+    part = explain.kernel_shap(score, frame.filter("id < 4"), frame.filter("id >= 4"), names, most=40, keep=["id"])
+    for r in part.groupBy("id").agg(F.sum("contribution").alias("s"), F.first("base").alias("b"), F.first("predicted").alias("p")).collect():
+        assert r.s == pytest.approx(r.p - r.b)
+    (one,) = explain.kernel_shap(lambda df: df.withColumn("prediction", 3 * F.col("x7")), frame.filter("id < 4"), frame.filter("id = 5"), ["x7"]).collect()
+    assert one.contribution == pytest.approx(one.predicted - one.base)
+
+
 def test_contributions_add_up(rows):
     model = models.classify_decision_tree(rows, "y", SMALL)
     features = ["kind", "flag", "amount", "noise"]
@@ -118,3 +200,11 @@ def test_models_are_saved_and_loaded(rows, tmp_path):
     model.write().overwrite().save(f"{tmp_path}/tree")
     again = PipelineModel.load(f"{tmp_path}/tree")
     assert models.score(again, rows, 3).exceptAll(models.score(model, rows, 3)).isEmpty()
+
+
+def test_boosted_classifiers_are_saved_and_loaded(rows, tmp_path):
+    model = models.classify_boosted_trees(rows, "y", 3, SMALL, rounds=1)
+    model.save(f"{tmp_path}/boosted")
+    again = models.BoostedClassifier.load(f"{tmp_path}/boosted")
+    assert again.trees == model.trees
+    assert models.score(again, rows, 3).exceptAll(models.score(model, rows, 3)).isEmpty()

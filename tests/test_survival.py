@@ -143,3 +143,74 @@ def test_data_set(make):
 def test_durations_must_be_whole_days(spark):
     with pytest.raises(TypeError):
         survival.kaplan_meier(spark.createDataFrame([(1.5, 1)], "t double, e int"), "t", "e")
+
+
+def _weights(t, e):
+    """Chance of being uncensored, as (at a day, just before it), by direct product."""
+    def at(day, strict):
+        value = 1.0
+        for u in sorted(set(t)):
+            if u < day or (u == day and not strict):
+                risk = sum(v >= u for v in t)
+                value *= 1 - sum(v == u and not d for v, d in zip(t, e)) / risk
+        return value
+
+    return at
+
+
+def _censored_sample(seed, n=120):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        risk = rng.choice([0.0, 0.5, 1.0, 2.0, rng.random()])
+        t, c = 1 + int(rng.expovariate(0.1) / (1 + risk)), 1 + int(rng.expovariate(0.06))
+        rows.append((min(t, c), int(t <= c), risk))
+    return rows
+
+
+def test_brier_scores_with_censoring_weights(spark):
+    rows = _censored_sample(4)
+    t, e = [r[0] for r in rows], [r[1] for r in rows]
+    frame = spark.createDataFrame(rows, "t int, e int, risk double").withColumns({f"s{d}": F.exp(-0.05 * d * (1 + F.col("risk"))) for d in (2, 6, 11)})
+    found = survival.brier_scores(frame, "t", "e", {2: "s2", 6: "s6", 11: "s11"})
+    free = _weights(t, e)
+    want = {}
+    for day in (2, 6, 11):
+        total = 0.0
+        for u, died, risk in rows:
+            s = math.exp(-0.05 * day * (1 + risk))
+            if u <= day and died:
+                total += s**2 / free(u, True)
+            elif u > day:
+                total += (1 - s) ** 2 / free(day, False)
+        want[day] = total / len(rows)
+    got = {r.day: r.brier_score for r in found.collect()}
+    assert got == pytest.approx(want)
+    assert survival.integrated(found, "day", "brier_score").first()[0] == pytest.approx((4 * (want[2] + want[6]) / 2 + 5 * (want[6] + want[11]) / 2) / 9)
+    # Without censoring it is the plain score.
+    known = frame.withColumn("e", F.lit(1))
+    plain = survival.brier_score(known, "t", "e", "s6", 6).first().brier_score
+    assert survival.brier_scores(known, "t", "e", {6: "s6"}).first().brier_score == pytest.approx(plain)
+
+
+def test_auc_over_time_with_ties(spark):
+    rows = _censored_sample(8) + [(5, 1, None)]
+    frame = spark.createDataFrame(rows, "t int, e int, risk double")
+    rows = [r for r in rows if r[2] is not None]
+    free = _weights([r[0] for r in rows], [r[1] for r in rows])
+    days = [1, 3, 8, 15, 10_000]
+    found = {r.day: r for r in survival.auc_over_time(frame, "t", "e", "risk", days).collect()}
+    areas = {}
+    for day in days:
+        cases = [(r, 1 / free(u, True)) for u, died, r in rows if u <= day and died]
+        controls = [r for u, _, r in rows if u > day]
+        assert (found[day].cases, found[day].controls) == pytest.approx((sum(w for _, w in cases), len(controls)))
+        won = sum(w * ((r > c) + 0.5 * (r == c)) for r, w in cases for c in controls)
+        areas[day] = won / (sum(w for _, w in cases) * len(controls)) if cases and controls else None
+        assert found[day].auc == (None if areas[day] is None else pytest.approx(areas[day]))
+    curve = survival.kaplan_meier(frame, "t", "e")
+    level = {r.duration: r.survival for r in curve.collect()}
+    at = [1.0] + [level[max(d for d in level if d <= day)] if min(level) <= day else 1.0 for day in days]
+    lost = [(a - b, areas[day]) for a, b, day in zip(at, at[1:], days) if areas[day] is not None]
+    mean = survival.mean_auc(survival.auc_over_time(frame, "t", "e", "risk", days), curve).first()[0]
+    assert mean == pytest.approx(sum(w * a for w, a in lost) / sum(w for w, _ in lost))
