@@ -151,3 +151,8 @@ def row_stddev(*values: Column) -> Column:
 
 def power(base: Column, exponent: Column) -> Column:
     return F.pow(base, exponent)
+
+
+def constants(values, kind: str) -> str:
+    """A constant array as SQL, written as one text that Spark folds to a literal; code made for it doesn't change with the values."""
+    return f"CAST(split('{','.join(repr(v) for v in values)}', ',') AS array<{kind}>)"

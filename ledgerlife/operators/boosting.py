@@ -23,6 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlife.functions.columns import constants
 from ledgerlife.session import release, reused
 
 
@@ -66,15 +67,6 @@ class BoostedTrees:
     rounds: list[list[Tree]] = field(default_factory=list)
 
 
-def _text(values: Sequence, kind: str) -> str:
-    """A constant array in SQL; written as one text, which Spark folds to a literal."""
-    return f"CAST(split('{','.join(repr(v) for v in values)}', ',') AS array<{kind}>)"
-
-
-def _lookup(values: Sequence, kind: str) -> Column:
-    return F.expr(_text(values, kind))
-
-
 def bin_edges(df: DataFrame, features: Sequence[str], max_bin: int) -> list[list[float]]:
     """Ascending edges for each column, ``max_bin`` - 1 at most: its distinct values above the smallest, or quantiles.
 
@@ -158,7 +150,7 @@ def _bins_by_feature(hist: DataFrame, usual: str, totals: dict[tuple[int, int],
     classes = max((k for k, _ in totals), default=0) + 1
     parts = {}
     for i, (name, kind) in enumerate((("tg", "double"), ("th", "double"), ("tn", "bigint"))):
-        parts[name] = F.expr(f"get({_text([totals.get((k, node), (0.0, 0.0, 0))[i] for k in range(classes) for node in range(size)], kind)}, k * {size} + node)")
+        parts[name] = F.expr(f"get({constants([totals.get((k, node), (0.0, 0.0, 0))[i] for k in range(classes) for node in range(size)], kind)}, k * {size} + node)")
     cells = hist.groupBy("k", "node", "f").agg(F.expr("collect_list(struct(b, g, h, n)) AS cells"), *(F.sum(c).alias(f"s{c}") for c in "ghn")).withColumns(parts)
     rest = f"named_struct('b', get({usual}, f), 'g', tg - sg, 'h', th - sh, 'n', tn - sn)"
     return cells.select("k", "node", "f", "tg", "th", "tn", F.expr(f"sort_array(concat(cells, filter(array({rest}), c -> c.n > 0)))").alias("cells"))
@@ -205,15 +197,15 @@ def histogram(rows: DataFrame, trees: list[Tree], level: int, counted: list[set[
     """Sums of gradients of the ``counted`` nodes of each tree at a level: (k, node, f, b, g, h, n), without usual bins."""
     parts = []
     for k, (g, h) in enumerate(gradients(classes)):
-        node = node_of(_text(trees[k].feature, "int"), _text(trees[k].bin, "int"), level)
+        node = node_of(constants(trees[k].feature, "int"), constants(trees[k].bin, "int"), level)
         parts.append(f"named_struct('k', {k}, 'node', {node}, 'g', {g}, 'h', {h})")
     size = max((max(c, default=0) for c in counted), default=0) + 1
-    wanted = _text([int(n in c) for c in counted for n in range(size)], "int")
+    wanted = constants([int(n in c) for c in counted for n in range(size)], "int")
     split = with_gradients(rows, classes).select(F.expr(f"explode(array({', '.join(parts)}))").alias("p"), "cells")
     split = split.filter(f"p.node < {size} AND get({wanted}, p.k * {size} + p.node) = 1")
     cells = "cells"
     if len(columns) < d:
-        cells = f"filter(cells, c -> get({_text([int(i in set(columns)) for i in range(d)], 'int')}, c.f) = 1)"
+        cells = f"filter(cells, c -> get({constants([int(i in set(columns)) for i in range(d)], 'int')}, c.f) = 1)"
     split = split.select("p.*", F.expr(f"explode({cells})").alias("c"))
     return split.groupBy("k", "node", "c.f", "c.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
 
@@ -226,7 +218,7 @@ def with_siblings(direct: DataFrame, parents: DataFrame, smaller: list[tuple[int
     size = max((c - 1) // 2 for _, c in smaller) + 1
     classes = max(k for k, _ in smaller) + 1
     larger = {(k, (c - 1) // 2): c + 1 if c % 2 else c - 1 for k, c in smaller}
-    child = f"get({_text([larger.get((k, p), -1) for k in range(classes) for p in range(size)], 'int')}, k * {size} + node)"
+    child = f"get({constants([larger.get((k, p), -1) for k in range(classes) for p in range(size)], 'int')}, k * {size} + node)"
     above = parents.filter(f"node < {size} AND k < {classes}").select("k", F.expr(child).alias("node"), "f", "b", "g", "h", "n").filter("node >= 0")
     return above.unionByName(counted).groupBy("k", "node", "f", "b").agg(*(F.sum(c).alias(c) for c in "ghn")).filter("n > 0")
 
@@ -309,7 +301,7 @@ def grow(rows: DataFrame, d: int, classes: int, usual: str, s: Boosting, turn: i
 
 def _added(trees: list[Tree]) -> list[Column]:
     """What each tree adds to its score."""
-    return [F.expr(f"get({_text(t.value, 'double')}, {node_of(_text(t.feature, 'int'), _text(t.bin, 'int'), t.depth)})") for t in trees]
+    return [F.expr(f"get({constants(t.value, 'double')}, {node_of(constants(t.feature, 'int'), constants(t.bin, 'int'), t.depth)})") for t in trees]
 
 
 def boosting_rows(df: DataFrame, label: str, model: BoostedTrees) -> tuple[DataFrame, str]:
@@ -319,7 +311,7 @@ def boosting_rows(df: DataFrame, label: str, model: BoostedTrees) -> tuple[DataF
     rows = reused(rows)
     counts = rows.select(F.posexplode("bins").alias("f", "b")).groupBy("f", "b").agg(F.count("*").alias("n"))
     modes = dict(counts.groupBy("f").agg(F.max_by("b", F.struct("n", -F.col("b")))).collect())
-    usual = _text([modes.get(i, 0) for i in range(d)], "int")
+    usual = constants([modes.get(i, 0) for i in range(d)], "int")
     cells = F.expr(f"filter(transform(bins, (b, i) -> named_struct('f', i, 'b', b)), c -> c.b <> get({usual}, c.f))")
     start = F.array(*[F.lit(v) for v in model.start])
     return rows.select("*", cells.alias("cells"), start.alias("scores")), usual
@@ -365,7 +357,7 @@ def boosted_scores(model: BoostedTrees, df: DataFrame) -> DataFrame:
     margins = []
     for k, start in enumerate(model.start):
         trees = [r[k] for r in model.rounds]
-        feature, bin_, value = (_text([v for t in trees for v in getattr(t, side)] or [0], kind) for side, kind in (("feature", "int"), ("bin", "int"), ("value", "double")))
+        feature, bin_, value = (constants([v for t in trees for v in getattr(t, side)] or [0], kind) for side, kind in (("feature", "int"), ("bin", "int"), ("value", "double")))
         node = node_of(feature, bin_, model.settings.max_depth, "_bins", f"t * {size}")
         turns = f"sequence(0, {len(trees) - 1})" if trees else "CAST(array() AS array<int>)"
         margins.append(F.expr(f"aggregate({turns}, {float(start)!r}D, (s, t) -> s + get({value}, t * {size} + {node}))"))

@@ -3,8 +3,8 @@
 Subjects that agree in stratum, duration, event and covariates are folded to
 one weighted row first. A Newton step sums them by (stratum, duration), adds
 risk sets up from the last day of each stratum, forms Efron's tie sums as
-columns and adds everything up again: one row with the likelihood, its gradient
-and its information reaches the driver, however many strata and days there are.
+columns and adds everything up again: two rows with the likelihood, its gradient
+and its information reach the driver, however many strata and days there are.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlife.functions.columns import constants
 from ledgerlife.operators.survival import chi_square_upper, whole_days
 from ledgerlife.session import release, reused
 
@@ -162,22 +163,31 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(j, k) for j in range(p) for k in range(j, p)]
 
 
-def risk_table(patterns: DataFrame, strata: Sequence[str], z: list[Column], coefficients, most: int | None = None) -> DataFrame:
-    """A row for each stratum and day with events: sums over its events, over its risk set, and Efron's tie sums.
+def _hazards(patterns: DataFrame, strata: Sequence[str], z: list[Column], coefficients) -> DataFrame:
+    """Patterns with centred covariates ``_z<j>`` and their number times the hazard, ``_h``."""
+    named = patterns.select(*strata, F.col("_duration").alias("duration"), "_event", "_n", *[c.alias(f"_z{j}") for j, c in enumerate(z)])
+    weights = constants([float(b) for b in coefficients], "double")
+    linear = f"aggregate(zip_with(array({', '.join(f'_z{j}' for j in range(len(z)))}), {weights}, (x, b) -> x * b), 0D, (s, v) -> s + v)"
+    return named.withColumn("_h", F.expr(f"_n * exp({linear})"))
 
-    Columns: _d, _x_<j> (events); _s0, _s1_<j>, _s2_<j>_<k> (risk set, by hazard); _t0, _t1_<j>, _t2_<j>_<k> (events, by hazard); _ties.
-    A stratum has a row for each day of the log at most.
+
+def risk_table(hazards: DataFrame, strata: Sequence[str], p: int, most: int | None = None) -> DataFrame:
+    """A row for each stratum and day: sums over its events and its risk set, Efron's tie sums, and their running total.
+
+    Columns: _d, _x_<j> (events); _s0, _s1_<j> (risk set, by hazard); _t0, _t1_<j> (events, by hazard); _ties; and _reach, the sum of
+    1/f over all steps up to the day. Without events tie sums are null. A stratum has a row for each day of the log at most.
     """
-    p = len(z)
-    hazard, died = F.col("_n") * F.exp(_linear(z, coefficients)), F.col("_event") == 1
-    moments = {"0": hazard, **{f"1_{j}": hazard * z[j] for j in range(p)}, **{f"2_{j}_{k}": hazard * z[j] * z[k] for j, k in _pairs(p)}}
-    of_events = lambda v: F.sum(F.when(died, v).otherwise(0.0))
-    sums = [F.sum(F.when(died, F.col("_n")).otherwise(0)).alias("_d")] + [of_events(F.col("_n") * z[j]).alias(f"_x_{j}") for j in range(p)]
+    of_events = lambda v: F.sum(F.when(F.col("_event") == 1, v).otherwise(0.0))
+    h = F.col("_h")
+    moments = {"0": h, **{f"1_{j}": h * F.col(f"_z{j}") for j in range(p)}}
+    sums = [F.sum(F.when(F.col("_event") == 1, F.col("_n")).otherwise(0)).alias("_d")] + [of_events(F.col("_n") * F.col(f"_z{j}")).alias(f"_x_{j}") for j in range(p)]
     sums += [F.sum(v).alias(f"_s{name}") for name, v in moments.items()] + [of_events(v).alias(f"_t{name}") for name, v in moments.items()]
-    by_day = patterns.groupBy(*strata, F.col("_duration").alias("duration")).agg(*sums)
+    by_day = hazards.groupBy(*strata, "duration").agg(*sums)
     from_here = Window.partitionBy(*strata).orderBy(F.desc("duration"))
-    at_risk = by_day.withColumns({f"_s{name}": F.sum(f"_s{name}").over(from_here) for name in moments}).filter("_d > 0")
-    return at_risk.withColumn("_ties", tie_sums(F.col("_s0"), F.col("_t0"), F.col("_d"), most))
+    so_far = Window.partitionBy(*strata).orderBy("duration")
+    at_risk = by_day.withColumns({f"_s{name}": F.sum(f"_s{name}").over(from_here) for name in moments})
+    tied = at_risk.withColumn("_ties", F.when(F.col("_d") > 0, tie_sums(F.col("_s0"), F.col("_t0"), F.col("_d"), most)))
+    return tied.withColumn("_reach", F.coalesce(F.sum("_ties.f1").over(so_far), F.lit(0.0)))
 
 
 def _expected(j: int) -> Column:
@@ -186,21 +196,31 @@ def _expected(j: int) -> Column:
 
 
 def _score(patterns: DataFrame, strata: Sequence[str], z: list[Column], coefficients, most: int | None = None):
-    """Efron log likelihood, gradient and information, from one collected row."""
+    """Efron log likelihood, gradient and information, from one collected row each.
+
+    The squares of covariates over all risk sets are not summed set by set: a subject is in the sets of all days up to
+    its own, so its squares count by the sum of 1/f up to there, less the share that Efron's steps take from the tied.
+    """
     p = len(z)
-    tie = {n: F.col(f"_ties.{n}") for n in TIES}
-    parts = [F.sum(_linear([F.col(f"_x_{j}") for j in range(p)], coefficients) - tie["log_f"])]
-    parts += [F.sum(F.col(f"_x_{j}") - _expected(j)) for j in range(p)]
-    for j, k in _pairs(p):
-        s, t = [F.col(f"_s1_{i}") for i in (j, k)], [F.col(f"_t1_{i}") for i in (j, k)]
-        own = F.col(f"_s2_{j}_{k}") * tie["f1"] - F.col(f"_t2_{j}_{k}") * tie["a1"]
-        parts.append(F.sum(own - tie["f2"] * s[0] * s[1] - tie["aa2"] * t[0] * t[1] + tie["a2"] * (s[0] * t[1] + s[1] * t[0])))
-    row = risk_table(patterns, strata, z, coefficients, most).agg(*[v.alias(f"v{i}") for i, v in enumerate(parts)]).first()
-    values = [float(v or 0.0) for v in row]
+    hazards = _hazards(patterns, strata, z, coefficients)
+    table = risk_table(hazards, strata, p, most).persist()
+    parts = ["_ties.log_f"] + [f"_x_{j}" for j in range(p)] + [f"_s1_{j} * _ties.f1 - _t1_{j} * _ties.a1" for j in range(p)]
+    parts += [
+        f"_ties.a2 * (_s1_{j} * _t1_{k} + _s1_{k} * _t1_{j}) - _ties.f2 * _s1_{j} * _s1_{k} - _ties.aa2 * _t1_{j} * _t1_{k}" for j, k in _pairs(p)
+    ]
+    total = lambda values: F.expr(f"array({', '.join(f'coalesce(CAST(sum({v}) AS DOUBLE), 0D)' for v in values)})").alias("v")
+    sums = table.filter("_d > 0").agg(total(parts))
+    reach = table.select(*strata, "duration", "_reach", F.col("_ties.a1").alias("_a1"))
+    weight = F.expr("_h * (_reach - CASE WHEN _event = 1 THEN coalesce(_a1, 0D) ELSE 0D END)")
+    squares = hazards.join(reach, [*strata, "duration"]).withColumn("_w", weight).agg(total([f"_w * _z{j} * _z{k}" for j, k in _pairs(p)]))
+    rows = [sums.first(), squares.first()]
+    table.unpersist()
+    sums, squares = (np.array(r["v"], dtype=float) for r in rows)
+    seen, expected = sums[1 : 1 + p], sums[1 + p : 1 + 2 * p]
     information = np.zeros((p, p))
-    for (j, k), v in zip(_pairs(p), values[1 + p :]):
-        information[j, k] = information[k, j] = v
-    return values[0], np.array(values[1 : 1 + p]), information
+    for (j, k), outer, own in zip(_pairs(p), sums[1 + 2 * p :], squares):
+        information[j, k] = information[k, j] = own + outer
+    return float(seen @ np.asarray(coefficients, dtype=float) - sums[0]), seen - expected, information
 
 
 def _folded(df: DataFrame, duration: str, event: str, covariates: list[str], strata: list[str]):
@@ -374,7 +394,8 @@ def cox_tests(model: CoxModel) -> DataFrame:
 
 def _residual_table(model: CoxModel) -> DataFrame:
     """A row for each stratum and day with events: _d, and _r_<j>, the sum of its events' Schoenfeld residuals."""
-    table = risk_table(model.patterns, model.strata, _centred(model.covariates, model.means), model.coefficients, _most_tied(model.patterns, model.strata))
+    hazards = _hazards(model.patterns, model.strata, _centred(model.covariates, model.means), model.coefficients)
+    table = risk_table(hazards, model.strata, len(model.covariates), _most_tied(model.patterns, model.strata)).filter("_d > 0")
     return table.select(*model.strata, "duration", "_d", *[(F.col(f"_x_{j}") - _expected(j)).alias(f"_r_{j}") for j in range(len(model.covariates))])
 
 

@@ -98,7 +98,7 @@ def _report(model, test, label, classes):
     return metrics.classification_report(_scored(model, test, label, classes), label, "prediction")
 
 
-_TEXTS = {"occupation": ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}
+_TEXTS = {"occupation": ("AUTOMOBILE", "BUILDING", "HOUSEHOLD", "MACHINERY")}
 _NUMBERS, _BOOLEANS = ("T_O", "underlying_assets_cnt", "rejected_by_cnt", "age"), ("has_mis_trade", "has_cnc_trade")
 # One-hot texts, numbers with the mean and flags with the most frequent value for gaps, all standardised.
 _ENTRIES = [f"CAST(coalesce({c} = '{v}', false) AS DOUBLE)" for c, values in _TEXTS.items() for v in values]

@@ -117,7 +117,7 @@ def test_ties_agree_with_plain_sums(spark):
         assert [found[n] for n in cox.TIES] == pytest.approx(plain, rel=1e-11, abs=0), (risk, tied, count)
 
 
-def test_one_row_is_collected_for_a_thousand_strata(spark, monkeypatch):
+def test_two_rows_are_collected_for_a_thousand_strata(spark, monkeypatch):
     """What a likelihood needs of Spark doesn't grow with the strata."""
     rng = np.random.default_rng(8)
     g = np.arange(4000) % 1000
@@ -131,7 +131,7 @@ def test_one_row_is_collected_for_a_thousand_strata(spark, monkeypatch):
         monkeypatch.setattr(type(frame), name, lambda self, whole=whole, name=name: taken.append(self.count() if name != "first" else 1) or whole(self))
     model, gradient, information = cox.cox_at(frame, "t", "e", ["x"], [0.3], ["g"])
     monkeypatch.undo()
-    assert max(taken) == 1
+    assert max(taken) <= 2
     value, grad, info = efron(t, e, x - x.mean(0), g, [0.3])
     assert (model.log_likelihood, gradient[0], information[0, 0]) == pytest.approx((value, grad[0], info[0, 0]))
 
