@@ -8,6 +8,8 @@ at most one row per calendar day.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,13 +86,15 @@ def requested(df: DataFrame, days, column: str = "sauda_date") -> DataFrame:
     return df.filter(F.col(column).isin([C.as_date(d) for d in days]))
 
 
-def one_per_key(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
-    """The first (or last) row of each key by an ordering column; rows without it come last, ties are left to Spark.
+def one_per_key(df: DataFrame, keys: list[str], order: str, last: bool = False, ties: Sequence[str] | None = None) -> DataFrame:
+    """The first (or last) row of each key by an ordering column; rows without it come last.
 
+    Equal rows of the order go by the columns ``ties``, by default all others in their order, so reruns agree.
     A rank of one, which Spark cuts to a row per key in each task before the shuffle.
     """
     column = F.col(order).desc_nulls_last() if last else F.col(order).asc_nulls_last()
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(column))
+    rest = [c for c, kind in df.dtypes if c not in (*keys, order) and not kind.startswith("map")] if ties is None else ties
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(column, *rest))
     return df.select("*", place.alias("_place")).filter("_place = 1").drop("_place").select(*keys, *[c for c in df.columns if c not in keys])
 
 

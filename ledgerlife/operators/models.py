@@ -19,7 +19,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardS
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlife.operators import boosting, metrics
@@ -215,6 +215,15 @@ def tree_text(model) -> str:
     return model.stages[-1].toDebugString
 
 
+def margin_shares(margins: Sequence[Column]) -> list[Column]:
+    """Probabilities of classes from one margin each, against the rest: sigmoids scaled to sum to one."""
+    odds = [1.0 / (1.0 + F.exp(-margin)) for margin in margins]
+    total = odds[0]
+    for value in odds[1:]:
+        total = total + value
+    return [value / total for value in odds]
+
+
 def score(model, df: DataFrame, classes: int) -> DataFrame:
     """``df`` with the prediction and one probability column per class.
 
@@ -228,11 +237,7 @@ def score(model, df: DataFrame, classes: int) -> DataFrame:
         shares = [F.get(values, F.lit(i)) for i in range(classes)]
     else:
         margins = vector_to_array("rawPrediction")
-        odds = [1.0 / (1.0 + F.exp(-F.get(margins, F.lit(i)))) for i in range(classes)]
-        total = odds[0]
-        for value in odds[1:]:
-            total = total + value
-        shares = [value / total for value in odds]
+        shares = margin_shares([F.get(margins, F.lit(i)) for i in range(classes)])
     return scored.select(
         *df.columns, "prediction", *[F.coalesce(s, F.lit(0.0)).alias(f"probability_class_{i}") for i, s in enumerate(shares)]
     )

@@ -270,6 +270,20 @@ def aft_likelihood(df: DataFrame, duration: str, event: str, covariates: Sequenc
     return df.sparkSession.createDataFrame(rows, "quantity string, value double")
 
 
+def parametric_likelihood(df: DataFrame, duration: str, event: str, given: dict[str, tuple[float, ...]]) -> DataFrame:
+    """(distribution, log_likelihood, aic) of fits without covariates at given parameters, as ``parametric_survival`` names them.
+
+    Each is the log of the duration with a location and a scale: that of a Weibull is log(lambda) and 1 / rho, an exponential has rho 1.
+    """
+    found = None
+    for name, values in given.items():
+        location, scale = math.log(values[0]), 1.0 if name == "exponential" else values[1] if name == "log_normal" else 1.0 / values[1]
+        one = aft_likelihood(df, duration, event, [], "weibull" if name == "exponential" else name, [location], scale).filter("quantity = 'log_likelihood'")
+        one = one.select(F.lit(name).alias("distribution"), F.col("value").alias("log_likelihood"), (2.0 * len(values) - 2.0 * F.col("value")).alias("aic"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def aft_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str], distribution: str = "weibull", max_iterations: int = 60, tolerance: float = 1e-10) -> AftModel:
     """Accelerated failure time by maximum likelihood, with a Weibull, log-normal or log-logistic duration.
 

@@ -673,3 +673,50 @@ def aft_fits(t):
         one = parametric.aft_fit_summary(t.spark, parametric.aft_fit(rows, "tenure", "target", _names(rows), distribution))
         found = one if found is None else found.unionByName(one)
     return found
+
+
+_FITS = {"weibull": (150.0, 1.2), "exponential": (150.0,), "log_normal": (120.0, 1.1), "log_logistic": (110.0, 1.5)}
+
+
+@query(
+    "parametric_likelihoods",
+    with_tables(
+        "order_log daily",
+        _LONG + """,
+        errors AS (
+          SELECT tenure::DOUBLE AS t, target AS e, (ln(tenure) - ln(150.0)) * 1.2 AS w, tenure / 150.0 AS x, (ln(tenure) - ln(120.0)) / 1.1 AS n,
+                 (ln(tenure) - ln(110.0)) * 1.5 AS g FROM surv),
+        tails AS (
+          SELECT n, 0.5 - 0.5 * sign(n) * 2 / sqrt(pi()) * exp(-n * n / 2)
+                    * coalesce(sum(exp((2 * k + 1) * ln(abs(n) / sqrt(2)) + k * ln(2) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))), 0) AS tail
+          FROM (SELECT DISTINCT n FROM errors WHERE n <> 0), range(0, 120) AS r(k) GROUP BY n UNION ALL SELECT 0, 0.5),
+        fits AS (
+          SELECT 'weibull' AS distribution, 2 AS p, sum(CASE WHEN e = 1 THEN w - exp(w) + ln(1.2) - ln(t) ELSE -exp(w) END) AS l FROM errors
+          UNION ALL SELECT 'exponential', 1, sum(CASE WHEN e = 1 THEN -ln(150.0) ELSE 0 END - x) FROM errors
+          UNION ALL SELECT 'log_normal', 2, sum(CASE WHEN e = 1 THEN -n * n / 2 - ln(2 * pi()) / 2 - ln(1.1) - ln(t) ELSE ln(tail) END) FROM errors JOIN tails USING (n)
+          UNION ALL SELECT 'log_logistic', 2, sum(CASE WHEN e = 1 THEN g - 2 * ln(1 + exp(g)) + ln(1.5) - ln(t) ELSE -ln(1 + exp(g)) END) FROM errors)
+        SELECT distribution, round(l, 4) AS log_likelihood, round(2 * p - 2 * l, 4) AS aic FROM fits""",
+    ),
+)
+def parametric_likelihoods(t):
+    """Likelihood and AIC of the four distributions at given parameters."""
+    found = parametric.parametric_likelihood(reused(long_subjects(t)), "tenure", "target", _FITS)
+    return found.withColumns({c: F.round(c, 4) for c in ("log_likelihood", "aic")})
+
+
+@query(
+    "margin_shares",
+    with_tables(
+        "order_log",
+        """odds AS (
+          SELECT party_code, sauda_date, OC, 1 / (1 + exp(-(party_code % 7 - 3) / 2.0)) AS a, 1 / (1 + exp(-(OC - 3.0))) AS b, 1 / (1 + exp(-(party_code % 5 - 2.0))) AS c
+          FROM trade_log)
+        SELECT party_code, sauda_date, OC, round(a / (a + b + c), 9) AS probability_class_0, round(b / (a + b + c), 9) AS probability_class_1,
+               round(c / (a + b + c), 9) AS probability_class_2 FROM odds""",
+    ),
+)
+def margin_shares(t):
+    """Class probabilities of one-against-rest margins."""
+    margins = [(F.col("party_code") % 7 - 3) / F.lit(2.0), F.col("OC") - F.lit(3.0), F.col("party_code") % 5 - F.lit(2.0)]
+    shares = models.margin_shares(margins)
+    return t.order_log.select("party_code", "sauda_date", "OC", *[F.round(s, 9).alias(f"probability_class_{i}") for i, s in enumerate(shares)])

@@ -8,6 +8,7 @@ from ledgerlife.functions import columns as C
 from ledgerlife.operators import base, metrics
 from ledgerlife.plans.registry import query
 from ledgerlife.plans.stages import daily
+from ledgerlife.session import scratch_path
 from ledgerlife.sources import readers
 from ledgerlife.sources.sample_tables import with_tables
 
@@ -347,3 +348,39 @@ def emptiness_check(t):
 def daily_date_range(t):
     spans = t.order_log.groupBy("party_code").agg(F.min("sauda_date").alias("f"), F.max("sauda_date").alias("l"))
     return spans.select("party_code", F.explode(F.sequence("f", "l")).alias("day"))
+
+
+# Text with separators, quotes, line breaks, blanks and nothing.
+_NOTE = """CASE party_code % 7 WHEN 0 THEN 'a, b' WHEN 1 THEN 'he said "x"' WHEN 2 THEN concat('line', chr(10), 'break') WHEN 3 THEN '  ' WHEN 4 THEN ''
+             WHEN 5 THEN NULL ELSE INST_TYPE END"""
+
+
+@query(
+    "file_round_trip",
+    with_tables(
+        "order_log",
+        f"""noted AS (SELECT *, {_NOTE} AS note FROM trade_log)
+        SELECT format, INST_TYPE, count(*) AS rows_read, count(*) FILTER (note IS NULL OR note = '' AND format = 'csv') AS nulls,
+               count(*) FILTER (note = '' AND format <> 'csv') AS blanks,
+               CAST(sum(coalesce(length(note), 0)) AS BIGINT) AS chars, count(*) FILTER (note LIKE '%' || chr(10) || '%') AS breaks,
+               count(*) FILTER (note LIKE '%"%') AS quotes, min(sauda_date) AS first_day, CAST(sum(OC) AS BIGINT) AS orders,
+               round(sum(T_O), 2) AS turnover
+        FROM noted, (VALUES ('csv'), ('orc'), ('parquet')) AS formats(format) GROUP BY format, INST_TYPE""",
+    ),
+)
+def file_round_trip(t):
+    """The trade log with awkward text, written in each format and read back; an empty text is a null in CSV."""
+    rows = t.order_log.withColumn("note", F.expr(_NOTE.replace("chr(10)", "char(10)")))
+    found = None
+    for name, write in (("csv", readers.write_csv), ("orc", readers.write_orc), ("parquet", readers.write_parquet)):
+        path = scratch_path(t.spark, name)
+        write(rows, path)
+        back = {"csv": lambda: readers.read_csv(t.spark, path, rows.schema, multiline=True), "orc": lambda: readers.read_orc(t.spark, path), "parquet": lambda: readers.read_parquet(t.spark, path)}[name]()
+        text = F.col("note")
+        one = back.groupBy(F.lit(name).alias("format"), "INST_TYPE").agg(
+            F.count("*").alias("rows_read"), F.count_if(text.isNull()).alias("nulls"), F.count_if(text == "").alias("blanks"),
+            F.sum(F.coalesce(F.length(text), F.lit(0))).cast("long").alias("chars"), F.count_if(text.contains("\n")).alias("breaks"), F.count_if(text.contains('"')).alias("quotes"),
+            F.min("sauda_date").alias("first_day"), F.sum("OC").cast("long").alias("orders"), F.round(F.sum("T_O"), 2).alias("turnover"),
+        )
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -71,6 +71,15 @@ def transition_targets_whole_range(t):
     return targets(t, None).select(*_TARGET_COLUMNS)
 
 
+# The whole log, without dates.
+_EVERY_DAY = _INTENDED.replace(" WHERE d.sauda_date BETWEEN DATE '1995-06-01' AND DATE '2000-12-31'", "").replace("AND n.sauda_date <= DATE '2000-12-31'", "")
+
+
+@query("transition_targets_all_days", with_tables("order_log daily", _EVERY_DAY + _PICK_TARGETS))
+def transition_targets_all_days(t):
+    return states.transition_targets(daily(t)).select(*_TARGET_COLUMNS)
+
+
 STATE_DATES = ["1995-06-30", "1996-06-30", "1997-06-30", "1998-06-30", "1999-06-30"]
 _STATES = """as_of_list(as_of) AS (VALUES {dates}),
     last_seen AS (
@@ -183,6 +192,20 @@ _CHAIN_START = "1996-09-01"
 _MART_CHAINED = _INTENDED + ",\n    " + _PROFILE.replace("1995-06-01", _CHAIN_START) + _mart_sql(True)
 
 
+_EVERY_PROFILE = _PROFILE.replace("DATE '1995-06-01'", "DATE '1900-01-01'")
+
+
+@query("daily_order_profile_all_days", with_tables("order_detail", _EVERY_PROFILE + " SELECT * FROM profile"))
+def daily_order_profile_all_days(t):
+    return profile(t, None)
+
+
+@query("customer_feature_mart_all_days", with_tables("order_log kyc daily order_detail", _EVERY_DAY + ",\n    " + _EVERY_PROFILE + _mart_sql(False) + " SELECT * FROM mart"))
+def customer_feature_mart_all_days(t):
+    built = orders.customer_feature_mart(states.transition_targets(daily(t)), t.order_log, profile(t, None), t.kyc, "2022-02-03")
+    return _round(built, 4, "Brokerage", "T_O")
+
+
 def mart(t):
     built = orders.customer_feature_mart(targets(t), t.order_log, profile(t), t.kyc, "2022-02-03")
     return _round(built, 4, "Brokerage", "T_O")

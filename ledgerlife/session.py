@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,16 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared checkpoint folder; a single-process session without one takes a folder of its own."""
+    folder = checkpoint_folder(spark)
+    if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerlife-")
+    return f"{folder.rstrip('/')}/ledgerlife-{label}-{uuid.uuid4().hex}"
+
+
 def reused(df: DataFrame) -> DataFrame:
     """Materialise a reduced frame that several jobs are going to read.
 

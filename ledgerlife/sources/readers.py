@@ -20,9 +20,16 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header row; without a schema the types are inferred (one extra pass)."""
-    reader = spark.read.option("header", True)
+#: Quotes are doubled within quotes, as most programs write them; white space at the ends of a cell is kept.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False) -> DataFrame:
+    """CSV with a header row; without a schema the types are inferred (one extra pass).
+
+    Cells with line breaks need ``multiline``; a file is then read by one task. An empty cell is null, quoted or not.
+    """
+    reader = spark.read.options(**CSV).option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
@@ -65,7 +72,7 @@ def has_rows(df: DataFrame) -> bool:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:

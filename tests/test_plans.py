@@ -48,7 +48,7 @@ def test_query_without_oracle_runs(spark, name):
 def test_training_rows_have_their_counters(spark):
     """Wherever a party has orders on the day, its row in the mart has order counters."""
     tables = SampleTables(spark, FOLDER)
-    mart = modelling._mart(tables, "1995-01-01", "1995-12-31")
+    mart, _ = modelling._marts(tables, ("1995-01-01", "1995-12-31"), ("1996-01-01", "2001-08-01"))
     days = tables.order_detail.select(F.col("straccountid").alias("party_code"), F.col("dt").alias("sauda_date")).distinct()
     traded = mart.join(days, ["party_code", "sauda_date"], "left_semi")
     assert not traded.isEmpty() and traded.filter("Buy is null").isEmpty()
