@@ -25,14 +25,14 @@ class Numbers(dict):
 class Memo:
     """Ids by segment. Segments that a block is the first to bring are encoded together.
 
-    It forgets everything before a block once it holds LIMIT segments, so its
+    It forgets everything before a block once it holds ``limit`` segments, so its
     size is bounded by that and the segments of one block.
     """
 
     LIMIT = 100_000
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int | None = None) -> None:
+        self.encode, self.limit = encode, self.LIMIT if limit is None else limit
         self.clear()
 
     def clear(self) -> None:
@@ -42,7 +42,7 @@ class Memo:
 
     def block(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
         """Ids of each text, given as a list of segments."""
-        if len(self.numbers) > self.LIMIT:
+        if len(self.numbers) > self.limit:
             self.clear()
         known, number = len(self.numbers), self.numbers.__getitem__
         orders = [np.fromiter(map(number, segments), dtype=np.int64, count=len(segments)) for segments in texts]

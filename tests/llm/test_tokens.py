@@ -81,6 +81,21 @@ def test_word_encoder_equals_the_library():
         assert own.tolist() == theirs.ids + [2]
 
 
+def test_word_encoder_equals_the_library_on_odd_segments():
+    library, rnd = Tokenizer.from_file(WORDS), random.Random(9)
+    marks = ["<|endoftext|>", "'S", "can't", "WE'LL", "'", "÷", "×", "ÿŸ", "İı", "ΑΣ", "ﬁ", "¼½", "ª", "\x1c", "\t", "\x85", "e\u0301", "É", "ß", "12", "a_b", "<", "😀", "\u00ad"]
+    letters = "abcXYZéÈüÖñ0159.,;'-"
+    rows = ["".join(rnd.choice([*marks, *letters, " ", "\n"]) for _ in range(rnd.randint(0, 40))) for _ in range(600)]
+    for text, own in zip(rows, token_store.word_encoder(WORDS)(rows)):
+        assert own.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_ids_that_need_more_bytes_are_refused():
+    with pytest.raises(ValueError, match="70000"):
+        token_store.segment(0, 0, 0, [1], [np.array([5, 70_000], dtype=np.uint32)], 2)
+    assert token_store.segment(0, 0, 0, [1], [np.array([5, 70_000], dtype=np.uint32)], 4)["n_ids"] == 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 1000, 20_000])
 def test_perfect_hash_fills_every_slot_once(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
