@@ -215,6 +215,27 @@ def tree_text(model) -> str:
     return model.stages[-1].toDebugString
 
 
+def logistic_likelihood(df: DataFrame, label: str, features: Sequence[str], weights: Sequence[Sequence[float]], penalty: float = 0.0) -> DataFrame:
+    """(quantity, value): mean log likelihood less the L2 penalty, and its gradient, at given weights.
+
+    ``weights`` has a list for each class: the intercept, then one weight for each feature. Intercepts aren't penalised.
+    Rows with a null take no part. This is the objective that ``logistic`` minimises, with the sign changed and before standardising.
+    """
+    x = [F.lit(1.0)] + [F.col(c).cast("double") for c in features]
+    margins = [sum((v * F.lit(float(w)) for v, w in zip(x, row)), F.lit(0.0)) for row in weights]
+    rows = df.select(label, *features).na.drop().select(F.col(label).cast("int").alias("y"), F.array(*x).alias("x"), F.array(*margins).alias("scores"))
+    rows = rows.withColumn("p", F.array(*boosting.softmax(F.col("scores"), len(weights))))
+    own = F.log(F.get("p", F.col("y")))
+    square = sum(float(w) ** 2 for row in weights for w in row[1:])
+    parts = [F.struct(F.lit("log_likelihood").alias("quantity"), (F.avg(own) - 0.5 * penalty * square).alias("value"))]
+    for k, row in enumerate(weights):
+        miss = (F.col("y") == k).cast("double") - F.get("p", F.lit(k))
+        for j, name in enumerate(["intercept", *features]):
+            shrink = penalty * float(row[j]) if j else 0.0
+            parts.append(F.struct(F.lit(f"gradient_{k}_{name}").alias("quantity"), (F.avg(miss * F.get("x", F.lit(j))) - shrink).alias("value")))
+    return rows.agg(F.array(*parts).alias("r")).select(F.inline("r"))
+
+
 def margin_shares(margins: Sequence[Column]) -> list[Column]:
     """Probabilities of classes from one margin each, against the rest: sigmoids scaled to sum to one."""
     odds = [1.0 / (1.0 + F.exp(-margin)) for margin in margins]

@@ -104,28 +104,38 @@ def whole_days(df: DataFrame, duration: str) -> DataFrame:
     return df.filter(F.col(duration).isNotNull())
 
 
-def at_risk_table(df: DataFrame, duration: str, event: str, by: Sequence[str] = ()) -> DataFrame:
-    """Events, censored and at-risk counts per group and distinct duration."""
-    counts = (
-        whole_days(df, duration)
-        .groupBy(*by, duration)
-        .agg(F.count_if(F.col(event) == 1).alias("events"), F.count("*").alias("subjects"))
-    )
+def at_risk_table(df: DataFrame, duration: str, event: str, by: Sequence[str] = (), entry: str | None = None) -> DataFrame:
+    """Events, censored and at-risk counts per group and distinct duration.
+
+    With ``entry`` a subject is at risk only on the days behind that one (null: from the start);
+    those that would leave on or before their entry were never seen, and are left out.
+    """
+    rows, late = whole_days(df, duration), F.lit(0)
+    if entry is not None:
+        rows = whole_days(rows.withColumn(entry, F.coalesce(F.col(entry), F.lit(-1))), entry).filter(F.col(entry) < F.col(duration))
+        # A subject comes in as it leaves: each side is a row, so that one sum from the last day gives who is there.
+        sides = F.array(F.struct(F.col(duration).alias("_day"), F.lit(1).alias("_out")), F.struct(F.col(entry).cast(dict(rows.dtypes)[duration]).alias("_day"), F.lit(0).alias("_out")))
+        rows = rows.select(*by, F.col(event).alias("_event"), F.inline(sides)).select(*by, F.col("_day").alias(duration), "_out", F.when(F.col("_out") == 1, F.col("_event")).alias(event))
+        late = F.count_if(F.col("_out") == 0)
+    counts = rows.groupBy(*by, duration).agg(F.count_if(F.col(event) == 1).alias("events"), (F.count("*") - late).alias("subjects"), late.alias("late"))
     from_here = Window.partitionBy(*by).orderBy(F.desc(duration))
     return counts.select(
         *by,
         F.col(duration).alias("duration"),
         "events",
         (F.col("subjects") - F.col("events")).alias("censored"),
-        F.sum("subjects").over(from_here).alias("at_risk"),
-    )
+        F.sum(F.col("subjects") - F.col("late")).over(from_here).alias("at_risk"),
+        "subjects",
+    ).filter("subjects > 0").drop("subjects")
 
 
-def kaplan_meier(df: DataFrame, duration: str, event: str, by: Sequence[str] = (), z: float = 1.959963984540054) -> DataFrame:
-    """Product-limit survival curve with a log-log band and cumulative density."""
+def kaplan_meier(
+    df: DataFrame, duration: str, event: str, by: Sequence[str] = (), z: float = 1.959963984540054, entry: str | None = None
+) -> DataFrame:
+    """Product-limit survival curve with a log-log band and cumulative density; ``entry`` as in ``at_risk_table``."""
     so_far = Window.partitionBy(*by).orderBy("duration")
     died, risk = F.col("events"), F.col("at_risk")
-    table = at_risk_table(df, duration, event, by).withColumns(
+    table = at_risk_table(df, duration, event, by, entry).withColumns(
         {
             "extinct": F.max(died == risk).over(so_far),
             "log_s": F.sum(F.when(died < risk, F.log1p(-died / risk))).over(so_far),

@@ -720,3 +720,29 @@ def margin_shares(t):
     margins = [(F.col("party_code") % 7 - 3) / F.lit(2.0), F.col("OC") - F.lit(3.0), F.col("party_code") % 5 - F.lit(2.0)]
     shares = models.margin_shares(margins)
     return t.order_log.select("party_code", "sauda_date", "OC", *[F.round(s, 9).alias(f"probability_class_{i}") for i, s in enumerate(shares)])
+
+
+_WEIGHTS = [[0.1, 0.2, -0.05], [0.0, -0.1, 0.02], [-0.2, 0.05, 0.1]]
+_MARGINS = ", ".join(f"{a} + {b} * f0 + {c} * f1 AS m{k}" for k, (a, b, c) in enumerate(_WEIGHTS))
+_GRADIENTS = [
+    (f"gradient_{k}_{n}", f"round(avg(((y = {k})::INTEGER - exp(m{k}) / z) * {v}) - {0.01 * w if v != '1' else 0.0}, 9)")
+    for k, row in enumerate(_WEIGHTS) for n, v, w in zip(("intercept", "f0", "f1"), ("1", "f0", "f1"), row)
+]
+
+
+@query(
+    "logistic_likelihood_given",
+    with_tables(
+        "order_log",
+        _BOOSTED.split(",\n    shares")[0] + f""",
+        margins AS (SELECT *, {_MARGINS} FROM rows),
+        sums AS (SELECT *, exp(m0) + exp(m1) + exp(m2) AS z FROM margins)
+        SELECT unnest(['log_likelihood', {", ".join(f"'{n}'" for n, _ in _GRADIENTS)}]) AS quantity,
+               unnest([round(avg(ln(exp([m0, m1, m2][y + 1]) / z)) - {0.005 * sum(w * w for row in _WEIGHTS for w in row[1:])!r}, 9), {", ".join(v for _, v in _GRADIENTS)}]) AS value
+        FROM sums""",
+    ),
+)
+def logistic_likelihood_given(t):
+    """The penalised likelihood of three classes and its gradient at given weights."""
+    found = models.logistic_likelihood(_boosting_rows(t), "y", ["f0", "f1"], _WEIGHTS, 0.01)
+    return found.withColumn("value", F.round("value", 9))

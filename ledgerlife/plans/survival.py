@@ -84,6 +84,24 @@ def kaplan_meier(t):
     return _round(survival.kaplan_meier(long_subjects(t), "tenure", "target"), 6, *_CURVE)
 
 
+@query(
+    "kaplan_meier_late_entry",
+    with_tables(
+        "order_log daily",
+        _LONG + """,
+        seen AS (SELECT tenure, target, (party_code % 7) * 20 AS entry FROM surv WHERE (party_code % 7) * 20 < tenure),
+        risk AS (
+          SELECT tenure AS duration, count(*) FILTER (target = 1) AS events, count(*) FILTER (target = 0) AS censored,
+                 (SELECT count(*) FROM seen s WHERE s.entry < seen.tenure AND s.tenure >= seen.tenure) AS at_risk
+          FROM seen GROUP BY tenure)""" + _KM.format(by="", part=""),
+    ),
+)
+def kaplan_meier_late_entry(t):
+    """The curve of subjects that are watched only from a day of their own on."""
+    rows = long_subjects(t).withColumn("entry", (F.col("party_code") % 7 * 20).cast("int"))
+    return _round(survival.kaplan_meier(rows, "tenure", "target", entry="entry"), 6, *_CURVE)
+
+
 _BY, _PART = f"{_LABEL}_new,", f"PARTITION BY {_LABEL}_new"
 
 

@@ -214,3 +214,21 @@ def test_auc_over_time_with_ties(spark):
     lost = [(a - b, areas[day]) for a, b, day in zip(at, at[1:], days) if areas[day] is not None]
     mean = survival.mean_auc(survival.auc_over_time(frame, "t", "e", "risk", days), curve).first()[0]
     assert mean == pytest.approx(sum(w * a for w, a in lost) / sum(w for w, _ in lost))
+
+
+def test_late_entry_counts_those_who_are_there(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 12), int(rng.random() < 0.6), rng.choice([None, 0, 0, 2, 5, 9, 12])) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "t int, e int, start int")
+    seen = [(t, e, -1 if s is None else s) for t, e, s in rows if s is None or s < t]
+    found = {r.duration: r for r in survival.kaplan_meier(frame, "t", "e", entry="start").collect()}
+    assert set(found) == {t for t, _, _ in seen}
+    level = 1.0
+    for day in sorted(found):
+        risk = sum(s < day <= t for t, _, s in seen)
+        died = sum(t == day and e for t, e, _ in seen)
+        level *= 1 - died / risk
+        assert (found[day].at_risk, found[day].events, found[day].survival) == (risk, died, pytest.approx(level))
+    # Without late entries the curve is the usual one.
+    plain = survival.kaplan_meier(frame, "t", "e")
+    assert survival.kaplan_meier(frame.withColumn("start", F.lit(0)), "t", "e", entry="start").exceptAll(plain).isEmpty()
