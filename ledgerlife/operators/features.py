@@ -196,46 +196,46 @@ def week_cohort(
 ) -> DataFrame:
     """Statistics, target and recency of the users of a week (start day to start + 4).
 
-    ``weeks`` are start days; without them every Monday is one. A party-day is
-    handed to the weeks whose window covers it and folded by (party, week), so
-    the arrays held per group have at most ``history + week_days + 1`` dates.
+    ``weeks`` are start days; without them every Monday is one. The first trade day of a party in a week
+    brings a mark at the week's start; history, week and horizon are range frames of one per-party window around the
+    marks, so no party-day is copied to the weeks that cover it.
     """
     first_seen, last_seen = horizon
     seen = base.around(trades, weeks, history, last_seen)
     activity = base.party_days(seen, *_day_totals(), kyc=kyc)
-    day, week = F.col("sauda_date"), F.col("week_start")
+    day, week, values = F.col("sauda_date"), F.col("week_start"), ("day_trades", "day_orders", "day_turnover", "day_turnover_rows")
+    order = base.by_party().orderBy("sauda_date")
+    activity = activity.withColumns({f"_back_{step}": F.lag("sauda_date", step).over(order) for step in (1, 2, 3)})
     if weeks is None:
-        first_monday = F.next_day(F.date_sub(day, last_seen + 1), "MON")
-        covering = F.filter(
-            F.sequence(first_monday, F.date_add(first_monday, last_seen + history + 7), F.expr("interval 7 days")),
-            lambda start: start <= F.date_add(day, history),
-        )
+        covering = F.array(F.date_sub(F.next_day(day, "MON"), 7))
     else:
-        covering = F.filter(
-            C.date_list(weeks),
-            lambda start: start.between(F.date_sub(day, last_seen), F.date_add(day, history)),
-        )
-    spread = activity.withColumn("week_start", F.explode(covering))
-    past = day.between(F.date_sub(week, history), week)
-    in_week = day.between(week, F.date_add(week, week_days))
-    ahead = day.between(F.date_add(week, first_seen), F.date_add(week, last_seen))
-    recent = day.between(F.date_sub(week, history), F.date_add(week, week_days))
-    grouped = spread.groupBy("party_code", "week_start").agg(
-        F.max(F.when(in_week, day)).alias("anchor"),
-        F.count_if(past).alias("trade_days_cnt"),
-        F.sum(F.when(past, F.col("day_trades"))).alias("total_trades"),
-        F.sum(F.when(past, F.col("day_orders"))).alias("total_order_count"),
-        F.try_divide(
-            F.sum(F.when(past, F.col("day_turnover"))), F.sum(F.when(past, F.col("day_turnover_rows")))
-        ).alias("avg_investment"),
-        F.min(F.when(ahead, day)).alias("next_seen"),
-        F.count_if(ahead).alias("future_days"),
-        F.sort_array(F.collect_set(F.when(recent, day)), asc=False).alias("recent_days"),
-    )
-    kept = grouped.filter(F.col("anchor").isNotNull() & _enough(F.col("trade_days_cnt"), min_days, max_days))
+        covering = C.date_list(weeks)
+    begun = F.filter(covering, lambda start: start.between(F.date_sub(day, week_days), day) & F.coalesce(F.col("_back_1") < start, F.lit(True)))
+    none = F.lit(None).cast("date")
+    marked = activity.withColumn("week_start", F.explode(F.concat(F.array(none), begun)))
+    trade = week.isNull()
+    marked = marked.withColumns({"_n": F.unix_date(F.coalesce(week, day)), **{v: F.when(trade, F.col(v)) for v in values}})
+    marked = marked.withColumn("_day", F.when(trade, F.struct(day.alias("day"), "_back_1", "_back_2", "_back_3")))
+
+    def within(first: int, last: int):
+        return base.by_party().orderBy("_n").rangeBetween(first, last)
+
+    past, in_week, ahead = within(-history, 0), within(0, week_days), within(first_seen, last_seen)
+    framed = marked.withColumns(
+        {
+            "_anchor": F.max("_day").over(in_week),
+            "trade_days_cnt": F.count("_day").over(past),
+            "total_trades": F.sum("day_trades").over(past),
+            "total_order_count": F.sum("day_orders").over(past),
+            "avg_investment": F.try_divide(F.sum("day_turnover").over(past), F.sum("day_turnover_rows").over(past)),
+            "next_seen": F.min("_day.day").over(ahead),
+            "future_days": F.count("_day").over(ahead),
+        }
+    ).filter(week.isNotNull())
+    kept = framed.filter(_enough(F.col("trade_days_cnt"), min_days, max_days)).withColumn("anchor", F.col("_anchor.day"))
     counted = F.when(_enough(F.col("future_days"), min_future_days, max_future_days), F.col("next_seen"))
     rows = BusinessDays(calendar).attach(kept).withColumns(
-        {f"before_{step}": F.get("recent_days", F.lit(step)) for step in (1, 2, 3)}
+        {f"before_{step}": F.when(F.col(f"_anchor._back_{step}") >= F.date_sub(week, history), F.col(f"_anchor._back_{step}")) for step in (1, 2, 3)}
         | {"next_trade": F.coalesce(counted, F.date_add(week, default_after))}
     )
     anchor = F.col("anchor")
