@@ -244,7 +244,7 @@ def get(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
 # The encoder ----------------------------------------------------------------------
 
 #: Segments of text that a worker remembers.
-SEGMENTS = 400_000
+SEGMENTS = 700_000
 # Segments of printable ASCII and the Latin letters of one more byte are lowered and cut here, as the tokenizer's own steps
 # do, at a third of their cost; the library's model then encodes each piece. All others go through the library as they are.
 SIMPLE = re.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
