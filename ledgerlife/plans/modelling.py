@@ -339,9 +339,9 @@ def model_search(t):
 
 @query("budgeted_search")
 def budgeted_search(t):
-    """Successive halving over nine configurations within ten minutes."""
+    """Successive halving over nine configurations within two minutes."""
     train, _ = frequent_sets(t)
-    return search.search_table(t.spark, search.budgeted_search(train, "frequent_target", 2, 600, configurations=9))
+    return search.search_table(t.spark, search.budgeted_search(train, "frequent_target", 2, 120, configurations=9))
 
 
 @query("tree_importance")
