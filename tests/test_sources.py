@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlife.operators import base
 from ledgerlife import session
-from ledgerlife.sources import readers, schemas
+from ledgerlife.sources import readers, sample_tables, schemas
 
 from conftest import day
 
@@ -72,3 +73,20 @@ def test_reused_frames_go_to_the_named_folder(spark, tmp_path, monkeypatch):
     kept = session.reused(frame)
     assert any(tmp_path.iterdir()) and kept.count() == 3
     assert "HashAggregate" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def order_tables(spark, folder, orders):
+    """Orders of four lines each, and one order that has no lines."""
+    line = spark.range(4 * orders).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"))
+    line.withColumns({"l_partkey": F.col("l_orderkey"), "l_suppkey": F.col("l_orderkey"), "l_quantity": F.lit(20.0), "l_returnflag": F.lit("A"), "l_linestatus": F.lit("O")}).write.parquet(f"{folder}/lineitem.parquet")
+    head = spark.range(orders + 1).select(F.col("id").alias("o_orderkey"), (F.col("id") % 9).alias("o_custkey"), F.lit("2000-01-01").cast("date").alias("o_orderdate"))
+    head.write.parquet(f"{folder}/orders.parquet")
+    return sample_tables.SampleTables(spark, str(folder))
+
+
+@pytest.mark.parametrize("orders", [500, 4_000])
+def test_lines_of_a_task_do_not_grow_with_the_table(spark, tmp_path, monkeypatch, orders):
+    monkeypatch.setattr(sample_tables, "LINES_PER_TASK", 200, raising=False)
+    detail = order_tables(spark, tmp_path, orders).order_detail
+    tasks = [r["count"] for r in detail.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 4 * orders and max(tasks) <= 2 * 200
