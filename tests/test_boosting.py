@@ -147,3 +147,13 @@ def test_high_steps_stay_finite(spark):
     s = Boosting(rounds=3, learning_rate=4.97, max_depth=3, num_leaves=20, min_child_samples=20, lambda_l1=0.11, lambda_l2=37.0, path_smooth=10.0)
     scored = boosting.boosted_scores(boosting.fit_boosted(df, "y", list("abcd"), 3, s), df)
     assert scored.filter("isnan(probability_class_0)").isEmpty() and scored.filter("y = prediction").count() > 400
+
+
+def test_bins_of_a_row_are_found_once(spark):
+    """Two classes use the bins once in the walk; they must not be cut anew at each of its steps."""
+    x, y = sample(200, 2, 4)
+    df = frame_of(spark, x, y)
+    model = boosting.fit_boosted(df, "y", list("abcd"), 2, Boosting(rounds=1, max_depth=2, min_child_samples=5))
+    plan = boosting.boosted_scores(model, df)._jdf.queryExecution().optimizedPlan().toString()
+    walks = [line for line in plan.splitlines() if "lambdafunction(" in line]
+    assert "bucketizer_" in plan and walks and not any("bucketizer_" in line[line.index("lambdafunction("):] for line in walks)
