@@ -3,6 +3,9 @@
 import random
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.tuning import ParamGridBuilder
 
 from ledgerlife.operators import models, search
 
@@ -54,3 +57,22 @@ def test_a_stopped_search_returns_its_best_and_goes_on(rows, tmp_path):
     assert last.finished and len(after) == 7 and all(after[k] == before[k] for k in before)
     again = search.budgeted_search(rows, seconds=0, **arguments)
     assert again.finished and again.results == last.results and models.score(again.model, rows, 2).count() == 500
+
+
+def test_search_fits_the_preprocessing_once_for_each_fold(rows, monkeypatch):
+    fits, fit = [], StringIndexer._fit
+    monkeypatch.setattr(StringIndexer, "_fit", lambda self, df: fits.append(self) or fit(self, df))
+    models.model_search(rows, "y", 2, {**models.SETTLE, "decision_tree": {}}, folds=2, depths=(1, 2, 3), families=("decision_tree",))
+    assert len(fits) == 2 + 1  # each fold, and the best candidate
+
+
+def test_shared_stages_give_the_models_of_single_fits(rows):
+    data = models.labelled(rows, "y").persist()
+    shared, small = models.preprocessing(data, "y"), {"maxIter": 2, "subsamplingRate": 0.6, "maxDepth": 3}
+    candidates = [shared + [c] for c in (models.decision_tree("y", {"maxDepth": 3}, 5), models.one_against_rest_trees("y", small, 5, 2))]
+    whole = models._SharedStages(stages=[])
+    found = dict(whole.fitMultiple(data, ParamGridBuilder().addGrid(whole.stages, candidates).build()))
+    rules = lambda model: model.stages[-1].toDebugString.split("\n", 1)[1]
+    for i, stages in enumerate(candidates):
+        assert rules(found[i]) == rules(Pipeline(stages=stages).fit(data))
+        assert "prediction" in found[i].transform(rows).columns
