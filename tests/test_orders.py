@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlife.operators import orders, states
 from ledgerlife.sources import schemas
@@ -95,3 +96,32 @@ def test_data_sets(mart_parts, make):
     other = next(r for r in frequent if r.gender is None)
     assert (other.Buy, other.age) == (0, 0.0)  # nothing to sum counts as zero
     assert orders.settle_dataset(mart, tiers, "2021-12-31").isEmpty()
+
+
+def busy_lines(spark, parties):
+    """Orders of two lines each: a busy party-day of 300 orders, and one order a day for each other party."""
+    order = spark.range(2 * (300 + parties)).select((F.col("id") / 2).cast("long").alias("strguiorgordid"), (F.col("id") % 2).alias("line"))
+    account = F.when(F.col("strguiorgordid") < 300, 0).otherwise(F.col("strguiorgordid") - 299)
+    given = {"straccountid": account, "dt": F.date_add(F.lit("2022-01-01").cast("date"), (F.col("strguiorgordid") / 10_000).cast("int")), "strsymbolname": F.concat(F.lit("S"), F.col("line") + F.col("strguiorgordid") % 5)}
+    kinds = {f.name: f.dataType for f in schemas.ORDER_DETAIL}
+    return order.select(*[given.get(n, F.col(n) if n == "strguiorgordid" else F.lit("B" if n == "strtranstype" else None)).cast(kinds[n]).alias(n) for n in schemas.ORDER_DETAIL.names])
+
+
+def test_profile_is_dealt_over_the_given_tasks(spark):
+    detail = busy_lines(spark, 2_000)
+    dealt = orders.daily_order_profile(detail, tasks=40)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 40 and sum(sizes) == 2_001 and max(sizes) < 100
+    assert sorted(dealt.collect()) == sorted(orders.daily_order_profile(detail).collect())
+    busy = dealt.filter("party_id = 0").first()
+    assert (busy.Buy, busy.underlying_assets_cnt, busy.rejected_by_cnt) == (600, 6, 0)
+
+
+def test_profile_in_shares_counts_nulls_and_blanks(spark):
+    detail = lines(
+        spark,
+        [{"strguiorgordid": n, "strsymbolname": s, "strrejectionby": "RMS", "straccountid": a}
+         for n in range(40) for s in ("AAA", "", None) for a in (1, None)] * 2,
+    )
+    rows = {r.party_id: (r.Buy, r.rejected_by_cnt, r.underlying_assets_cnt) for r in orders.daily_order_profile(detail, tasks=3).collect()}
+    assert rows == {1: (120, 120, 1), None: (120, 120, 1)}
