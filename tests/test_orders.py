@@ -125,3 +125,23 @@ def test_profile_in_shares_counts_nulls_and_blanks(spark):
     )
     rows = {r.party_id: (r.Buy, r.rejected_by_cnt, r.underlying_assets_cnt) for r in orders.daily_order_profile(detail, tasks=3).collect()}
     assert rows == {1: (120, 120, 1), None: (120, 120, 1)}
+
+
+def test_misses_of_the_chain_are_no_common_key(spark, make):
+    trades = make.trades([(p, "2022-01-01") for p in range(1, 401)])
+    targets = states.transition_targets(states.daily_summary(trades, {}))
+    profile = orders.daily_order_profile(lines(spark, [{"straccountid": 1}]))
+    kyc = make.kyc([{"party_code": p, "B2C": "Y", "gender": "f"} for p in range(1, 401)])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        mart = orders.customer_feature_mart(targets, trades, profile, kyc, "2022-02-01", chained=True)
+        rows = mart.select("party_code", "gender", "T_O", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    sizes = [sum(r.task == task for r in rows) for task in {r.task for r in rows}]
+    assert len(rows) == 400 and max(sizes) < 120
+    assert all(r.T_O == 10.0 and r.gender == ("f" if r.party_code == 1 else None) for r in rows)
