@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlife.llm.common import arrow_type, parts, stored
-from ledgerlife.llm.vocab_memo import Memo
+from ledgerlife.llm.vocab_memo import Memo, parted
 
 #: Bytes of payload at which a segment ends.
 SEGMENT = 4_000_000
@@ -312,7 +312,11 @@ def word_encoder(path: str, end_id: int | None = None) -> Callable[[list], list[
     """
 
     def encode(texts: list) -> list[np.ndarray]:
-        made = _memo(path).block([t.replace("\n", " ").split(" ") if t else [] for t in texts])
+        memo = _memo(path)
+        memo.begin()
+        parts, bounds, distinct = parted([(t or "").replace("\n", " ") for t in texts])
+        order = memo.numbered(distinct)[parts]
+        made = memo.found([order[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
         return made if end_id is None else [np.append(ids, np.uint32(end_id)) for ids in made]
 
     return encode

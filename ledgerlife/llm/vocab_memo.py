@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def gathered(order: np.ndarray, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -22,6 +24,13 @@ class Numbers(dict):
         return n
 
 
+def parted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts cut at spaces: the number of each part, where each text's parts begin (and the end), and the distinct parts by number."""
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    parts = cut.values.dictionary_encode()
+    return parts.indices.to_numpy(), cut.offsets.to_numpy(), parts.dictionary.to_pylist()
+
+
 class Memo:
     """Ids by segment. Segments that a block is the first to bring are encoded together.
 
@@ -42,10 +51,21 @@ class Memo:
 
     def block(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
         """Ids of each text, given as a list of segments."""
+        self.begin()
+        return self.found([self.numbered(segments) for segments in texts])
+
+    def begin(self) -> None:
+        """Begin a block; numbers given before may be forgotten."""
         if len(self.numbers) > self.limit:
             self.clear()
-        known, number = len(self.numbers), self.numbers.__getitem__
-        orders = [np.fromiter(map(number, segments), dtype=np.int64, count=len(segments)) for segments in texts]
+
+    def numbered(self, segments: list[str]) -> np.ndarray:
+        """The numbers of segments, new ones included."""
+        return np.fromiter(map(self.numbers.__getitem__, segments), dtype=np.int64, count=len(segments))
+
+    def found(self, orders: list[np.ndarray]) -> list[np.ndarray]:
+        """Ids of each text of a block, given as the numbers of its segments."""
+        known = len(self.sizes)
         if len(self.numbers) > known:
             fresh = list(self.numbers)[known:]
             ids, sizes = self.encode(fresh)
