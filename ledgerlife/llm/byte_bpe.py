@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgerlife.llm.common import mapped
-from ledgerlife.llm.vocab_memo import Memo, Numbers, gathered
+from ledgerlife.llm.vocab_memo import Memo, Numbers, gathered, parted
 
 # Letters and numbers that Unicode assigned after version 16, whose classes the
 # rank files' library knows. They are neither letter nor number there.
@@ -43,6 +43,8 @@ LATER = (
 
 #: Bytes of text in a block.
 BLOCK = 4_000_000
+#: Segments of text that a worker remembers.
+SEGMENTS = 400_000
 
 
 class Vocabulary:
@@ -177,14 +179,6 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return out[live].astype(np.uint32), running[ends] - running[starts]
 
 
-def segments(text: str | None) -> list[str]:
-    """A text cut before each space. Pieces never reach over such a cut where no two spaces stand together."""
-    if not text:
-        return []
-    head, *rest = text.split(" ")
-    return [head, *[" " + s for s in rest]] if head else [" " + s for s in rest]
-
-
 def encode_segments(fresh: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of segments one after another, and the number of ids of each, from one replay over their distinct pieces."""
     pieces = Numbers()
@@ -199,14 +193,31 @@ def encode_segments(fresh: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np
 
 @functools.lru_cache(maxsize=2)
 def memo(path: str, pattern: str) -> Memo:
-    return Memo(lambda fresh: encode_segments(fresh, vocabulary(path, pattern)))
+    return Memo(lambda fresh: encode_segments(fresh, vocabulary(path, pattern)), SEGMENTS)
 
 
 def encode_block(texts: Iterable[str | None], path: str, pattern: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    split = vocabulary(path, pattern).split
-    cut = (split(t) if t and "  " in t else segments(t) for t in texts)
-    return [ids.astype("<u4").tobytes() for ids in memo(path, pattern).block(cut)]
+    """Ids of each text as little-endian unsigned 32-bit integers.
+
+    A text is cut before each space: pieces never reach over such a cut where no two spaces stand together.
+    """
+    split, held = vocabulary(path, pattern).split, memo(path, pattern)
+    held.begin()
+    texts = [t or "" for t in texts]
+    plain = [i for i, t in enumerate(texts) if "  " not in t]
+    parts, bounds, distinct = parted([texts[i] for i in plain])
+    # Every part but a text's first follows a space, which belongs to it.
+    first = np.zeros(len(parts), dtype=bool)
+    first[bounds[:-1]] = True
+    order = np.empty(len(parts), dtype=np.int64)
+    for own, space in ((first, ""), (~first, " ")):
+        used, at = np.unique(parts[own], return_inverse=True)
+        order[own] = held.numbered([space + distinct[n] for n in used.tolist()])[at]
+    orders: list = [None] * len(texts)
+    for i, a, b in zip(plain, bounds[:-1], bounds[1:]):
+        orders[i] = order[a:b]
+    orders = [held.numbered(split(t)) if o is None else o for t, o in zip(texts, orders)]
+    return [ids.astype("<u4").tobytes() for ids in held.found(orders)]
 
 
 def decode_ids(ids: bytes | None, token: list[bytes]) -> bytes:

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlife.llm import byte_bpe, token_store
+from ledgerlife.llm import byte_bpe, token_store, vocab_memo
 from ledgerlife.llm.common import new_path
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -125,3 +125,25 @@ def test_store_of_no_documents(spark):
     token_store.write(spark.createDataFrame([], SCHEMA), path, token_store.word_encoder(WORDS, 2))
     assert token_store.read(spark, path).count() == 0 and token_store.get(spark, path, [1]).count() == 0
     assert token_store.get(spark, path, []).count() == 0
+
+
+ODD_TEXTS = [None, "", " ", "  ", " a", "a ", "a b a b a b", "two  gaps  here", "line\nends \n b", "née Ünï a b", "日本 語 a", "\x00 a\x00b", "a b " * 300]
+
+
+@pytest.mark.parametrize("texts", [ODD_TEXTS, [None], ["  "], ["", "  x"], ODD_TEXTS[::-1]])
+def test_blocks_of_odd_texts_are_encoded_as_single_texts(texts):
+    path, pattern = RANKS, P.PATTERN
+    vocab = byte_bpe.vocabulary(path, pattern)
+    alone = [byte_bpe.replay([p.encode() for p in vocab.split(t)], vocab)[0].astype("<u4").tobytes() if t else b"" for t in texts]
+    assert byte_bpe.encode_block(texts, path, pattern) == alone
+    words = token_store.word_encoder(WORDS, 2)
+    assert [i.tolist() for i in words(texts)] == [words([t])[0].tolist() for t in texts]
+
+
+def test_a_block_looks_each_distinct_segment_up_once(monkeypatch):
+    asked = []
+    plain = vocab_memo.Memo.numbered
+    monkeypatch.setattr(vocab_memo.Memo, "numbered", lambda self, segments: asked.extend(segments) or plain(self, segments))
+    token_store.word_encoder(WORDS)(["a b c " * 1_000, "c b a"])
+    byte_bpe.encode_block(["a b c " * 1_000, "c b a"], RANKS, P.PATTERN)
+    assert len(asked) < 20
