@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlife.llm.common import arrow_type, parts, stored
-from ledgerlife.llm.vocab_memo import Memo, parted
+from ledgerlife.llm.vocab_memo import Memo, gathered, parted, texts_of
 
 #: Bytes of payload at which a segment ends.
 SEGMENT = 4_000_000
@@ -246,9 +246,17 @@ def get(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
 #: Segments of text that a worker remembers.
 SEGMENTS = 700_000
 # Segments of printable ASCII and the Latin letters of one more byte are lowered and cut here, as the tokenizer's own steps
-# do, at a third of their cost; the library's model then encodes each piece. All others go through the library as they are.
+# do, at a small part of their cost; the library's model then encodes each distinct piece. All others go through the library
+# as they are.
 SIMPLE = re.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+").findall
+#: Classes of the bytes of lowered simple segments, joined by line ends; letters of two bytes are letters in both.
+MARK, LETTER, DIGIT, END = range(4)
+CLASSES = np.full(256, MARK, dtype=np.uint8)
+CLASSES[ord("a") : ord("z") + 1] = CLASSES[128:] = LETTER
+CLASSES[ord("0") : ord("9") + 1] = DIGIT
+CLASSES[ord("\n")] = END
+#: Distinct pieces that go through the library's model at once.
+PIECES = 20_000
 #: Those letters as the byte-level alphabet spells them: printable bytes stand for themselves, the others follow from 256 on.
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 _SPELLED = {b: chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256)}
@@ -272,6 +280,47 @@ def _is_plain(tokenizer) -> bool:
     )
 
 
+def cut_simple(segments: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Simple segments lowered and cut to pieces ('s, 't, 're, 've, 'm, 'll, 'd, letters, one digit, or a run of marks).
+
+    Returns the number of each piece's text, the distinct texts by number, and the segment of each piece.
+    """
+    raw = np.frombuffer("\n".join(segments).lower().encode() + b"\n", dtype=np.uint8)
+    kind = CLASSES[raw]
+    begins = np.zeros(len(raw) + 3, dtype=bool)
+    begins[0] = True
+    begins[1 : len(raw)] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    # A contraction starts where a run of marks does, and the rest of its letters start anew.
+    at = np.flatnonzero(begins[: len(raw)] & (raw == ord("'")))
+    one, two = (raw[np.minimum(at + k, len(raw) - 1)] for k in (1, 2))
+    short = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
+    long = (np.isin(one, np.frombuffer(b"rv", dtype=np.uint8)) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    begins[at[short | long] + 1] = False
+    begins[at[short] + 2] = begins[at[long] + 3] = True
+    starts = np.flatnonzero(begins[: len(raw)])
+    bounds = np.append(starts, len(raw))
+    pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw)).dictionary_encode()
+    kept = kind[starts] != END
+    # Each line end is a piece of its own unless line ends stand together, which they can't: simple segments aren't empty.
+    return pieces.indices.to_numpy()[kept], texts_of(pieces.dictionary), np.cumsum(~kept)[kept]
+
+
+def _model_ids(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encoder of pieces by the model of a tokenizer alone: their ids one after another, and the number of ids of each."""
+    from tokenizers import Tokenizer
+
+    bare = Tokenizer(tokenizer.model)
+
+    def encode(fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        spelled = [p if p.isascii() else p.translate(BYTES) for p in fresh]
+        ids: list[list[int]] = []
+        for i in range(0, len(spelled), PIECES):
+            ids += [e.ids for e in bare.encode_batch_fast(spelled[i : i + PIECES], add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+
+    return encode
+
+
 @functools.lru_cache(maxsize=2)
 def _memo(path: str) -> Memo:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -279,26 +328,22 @@ def _memo(path: str) -> Memo:
 
     tokenizer = Tokenizer.from_file(path)
     plain = _is_plain(tokenizer)
-    pieces: dict[str, list[int]] = {}
-
-    def piece(p: str) -> list[int]:
-        pieces[p] = ids = [t.id for t in tokenizer.model.tokenize(p.translate(BYTES) if not p.isascii() else p)]
-        return ids
+    pieces = Memo(_model_ids(tokenizer), SEGMENTS // 2)
 
     def encode(fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(pieces) > SEGMENTS // 2:
-            pieces.clear()
-        found: list = [None] * len(fresh)
-        other = []
-        for i, s in enumerate(fresh):
-            if plain and SIMPLE(s):
-                found[i] = [pieces.get(p) or piece(p) for p in PIECES(s.lower())]
-            else:
-                other.append(i)
-        for i, e in zip(other, tokenizer.encode_batch_fast([fresh[i] for i in other], add_special_tokens=False)):
-            found[i] = [e.ids]
-        flat = itertools.chain.from_iterable
-        return np.fromiter(flat(flat(found)), dtype=np.uint32), np.fromiter((sum(map(len, own)) for own in found), dtype=np.int64, count=len(found))
+        simple = np.fromiter((plain and SIMPLE(s) is not None for s in fresh), dtype=bool, count=len(fresh))
+        pieces.begin()
+        numbers, distinct, segment = cut_simple(list(itertools.compress(fresh, simple)))
+        order = pieces.numbered(distinct)[numbers]
+        ids = pieces.found([order])
+        other = [e.ids for e in tokenizer.encode_batch_fast(list(itertools.compress(fresh, ~simple)), add_special_tokens=False)]
+        ids.append(np.fromiter(itertools.chain.from_iterable(other), dtype=np.uint32))
+        sizes = np.concatenate(
+            (np.bincount(segment, pieces.sizes[order], int(simple.sum())).astype(np.int64), np.fromiter(map(len, other), dtype=np.int64, count=len(other)))
+        )
+        place = np.empty(len(fresh), dtype=np.int64)
+        place[np.concatenate((np.flatnonzero(simple), np.flatnonzero(~simple)))] = np.arange(len(fresh))
+        return gathered(place, np.concatenate(ids), sizes, np.cumsum(sizes) - sizes), sizes[place]
 
     return Memo(encode, SEGMENTS)
 

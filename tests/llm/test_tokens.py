@@ -90,6 +90,38 @@ def test_word_encoder_equals_the_library_on_odd_segments():
         assert own.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_simple_segments_are_cut_as_the_library_cuts_them():
+    library, rnd = Tokenizer.from_file(WORDS), random.Random(4)
+    marks = ["'s", "'T", "'re", "'VE", "'m", "'ll", "'d", "'r", "'l", "'", "''", "É", "ÿ", "ß", "ÀÖ", "12", "a_b", "\"'s"]
+    rows = ["".join(rnd.choice([*marks, *"abstmdrevlXYZ0159.,;-"]) for _ in range(rnd.randint(1, 14))) for _ in range(5_000)]
+    numbers, distinct, segment = token_store.cut_simple(rows)
+    cut = [[] for _ in rows]
+    for n, s in zip(numbers.tolist(), segment.tolist()):
+        cut[s].append("".join(token_store.BYTES.get(ord(c), c) for c in distinct[n]))
+    assert len(set(distinct)) == len(distinct)
+    for text, own in zip(rows, cut):
+        assert own == [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))], text
+    assert [len(a) for a in token_store.cut_simple([])[::2]] == [0, 0]
+
+
+def test_words_of_a_block_reach_the_model_together(monkeypatch):
+    """Pieces go to the library in batches, never one by one."""
+    token_store._memo.cache_clear()
+    rows = [f"word{i} w{i % 7}x, Q{i}" for i in range(2_000)]
+    calls, profile = [], lambda frame, event, arg: event == "c_call" and calls.append(arg.__name__)
+    encode = token_store.word_encoder(WORDS)
+    encode(["warm"])
+    import sys
+
+    sys.setprofile(profile)
+    try:
+        made = encode(rows)
+    finally:
+        sys.setprofile(None)
+    assert "tokenize" not in calls and calls.count("encode_batch_fast") < 5
+    assert made[5].tolist() == Tokenizer.from_file(WORDS).encode(rows[5], add_special_tokens=False).ids
+
+
 def test_ids_that_need_more_bytes_are_refused():
     with pytest.raises(ValueError, match="70000"):
         token_store.segment(0, 0, 0, [1], [np.array([5, 70_000], dtype=np.uint32)], 2)
