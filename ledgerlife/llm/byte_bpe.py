@@ -111,7 +111,8 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
     bounds = np.flatnonzero(np.diff(rank[held], prepend=-1))
     index = {int(rank[part[0]]): part.tolist() for part in np.split(held, bounds[1:])} if len(held) else {}
 
-    tok, nxt, prv = (array("q", a.tobytes()) for a in (token, following, before))
+    # Of each live position: its token, the next and the previous position, and the rank of the pair that stands there (-1: none).
+    tok, nxt, prv, now = (array("q", a.tobytes()) for a in (token, following, before, rank))
     pair, known = vocab.pair, vocab.known
     heap = list(index)
     heapq.heapify(heap)
@@ -123,15 +124,7 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
         positions.sort()
         closed = -1  # positions before it wait, as their piece has got a pair to be merged first
         for p in positions:
-            a = tok[p]
-            if a < 0:
-                continue
-            q = nxt[p]
-            if q < 0:
-                continue
-            b = tok[q]
-            now = known.get(a << 20 | b)
-            if (pair(a, b) if now is None else now) != r:
+            if now[p] != r:
                 continue
             if p < closed:
                 if r not in index:
@@ -139,9 +132,10 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
                     heapq.heappush(heap, r)
                 index[r].append(p)
                 continue
-            tok[p], tok[q] = r, -1
+            q = nxt[p]
+            tok[p], tok[q], now[q] = r, -1, -1
             n = nxt[p] = nxt[q]
-            least = -1
+            least = up = -1
             if n >= 0:
                 prv[n] = p
                 c = tok[n]
@@ -155,12 +149,14 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
                     else:
                         index[up] = [p]
                         heapq.heappush(heap, up)
+            now[p] = up
             l = prv[p]
             if l >= 0:
                 c = tok[l]
                 up = known.get(c << 20 | r)
                 if up is None:
                     up = pair(c, r)
+                now[l] = up
                 if up >= 0:
                     if least < 0 or up < least:
                         least = up
@@ -211,8 +207,11 @@ def encode_block(texts: Iterable[str | None], path: str, pattern: str) -> list[b
     first[bounds[:-1]] = True
     order = np.empty(len(parts), dtype=np.int64)
     for own, space in ((first, ""), (~first, " ")):
-        used, at = np.unique(parts[own], return_inverse=True)
-        order[own] = held.numbered([space + distinct[n] for n in used.tolist()])[at]
+        number = np.full(len(distinct), -1, dtype=np.int64)
+        number[parts[own]] = 0
+        used = np.flatnonzero(number == 0)
+        number[used] = held.numbered([space + distinct[n] for n in used.tolist()])
+        order[own] = number[parts[own]]
     orders: list = [None] * len(texts)
     for i, a, b in zip(plain, bounds[:-1], bounds[1:]):
         orders[i] = order[a:b]

@@ -62,6 +62,25 @@ def test_lower_rank_born_of_a_merge_goes_first(tmp_path):
         assert np.frombuffer(own, "<u4").tolist() == theirs.encode_ordinary(text), text
 
 
+def test_a_merge_looks_up_only_its_neighbours():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    vocab, rnd = byte_bpe.Vocabulary(RANKS, P.PATTERN), random.Random(7)
+    vocab.known = Counted()
+    pieces = list({bytes(rnd.choice(b"abcdeinorst") for _ in range(rnd.randint(2, 12))) for _ in range(500)})
+    ids, sizes = byte_bpe.replay(pieces, vocab)
+    split = [(p, n) for p, n in zip(pieces, sizes.tolist()) if p not in vocab.ranks]
+    merges = sum(len(p) - n for p, n in split)
+    looked_up, known = vocab.known.asked, len(vocab.known)
+    assert merges > 500 and looked_up - known <= 2 * merges - len(split)
+    assert b"".join(vocab.token[i] for i in ids) == b"".join(pieces)
+
+
 def test_round_trip_on_spark(spark):
     rows = [(i, t, "old", None) for i, t in enumerate(texts(200))] + [(None, "no key", "old", "x")]
     df = spark.createDataFrame(rows, SCHEMA)
