@@ -113,6 +113,7 @@ def replay(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
 
     # Of each live position: its token, the next and the previous position, and the rank of the pair that stands there (-1: none).
     tok, nxt, prv, now = (array("q", a.tobytes()) for a in (token, following, before, rank))
+    del raw, token, following, before, rank
     pair, known = vocab.pair, vocab.known
     heap = list(index)
     heapq.heapify(heap)
