@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,25 @@ def test_misses_of_the_chain_are_no_common_key(spark, make):
     sizes = [sum(r.task == task for r in rows) for task in {r.task for r in rows}]
     assert len(rows) == 400 and max(sizes) < 120
     assert all(r.T_O == 10.0 and r.gender == ("f" if r.party_code == 1 else None) for r in rows)
+
+
+def test_data_set_steps_are_dealt_over_the_given_tasks(spark, make):
+    """Day sums, party windows and distinct customers too: none goes by the session's number of shuffle partitions."""
+    days = [(p, f"2022-01-0{d}", code, 1, amount) for p in (1, 2, 3, None) for d in (1, 3, 4) for code, amount in (("EQ", 5.0), ("XX", None), ("EQ", 7.0))]
+    trades, kyc = make.trades(days * 2), make.kyc([{"party_code": 1, "B2C": "Y", "gender": "f"}, {"party_code": 1, "B2C": "Y", "gender": "f"}, 2])
+    profile = orders.daily_order_profile(lines(spark, [{}]).repartition(7, "strguiorgordid"), tasks=7)
+
+    def mart(tasks):
+        stored = spark.createDataFrame(states.daily_summary(trades, {"has_cnc_trade": ["EQ"]}, tasks).collect())
+        targets = states.transition_targets(stored, tasks=tasks)
+        return stored, orders.customer_feature_mart(targets, trades, profile, kyc, "2022-02-01", tasks=tasks)
+
+    (summary, dealt), (plain_summary, plain) = mart(7), mart(None)
+    for df in (states.daily_summary(trades, {"has_cnc_trade": ["EQ"]}, 7), dealt):
+        found = re.findall(r"hashpartitioning\(.*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+        assert found and set(found) == {"7"}
+    assert sorted(map(str, summary.collect())) == sorted(map(str, plain_summary.collect()))
+    rows = dealt.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, plain.collect()))
+    # A null party joins nothing.
+    assert {(r.party_code, r.T_O, r.has_cnc_trade) for r in rows} == {(p, p and 24.0, True) for p in (1, 2, 3, None)}
