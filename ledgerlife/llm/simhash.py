@@ -12,6 +12,9 @@ than CROWD fingerprints meet in a cell, pairing them would grow with the
 square: those are linked instead through every fingerprint one bit flip away
 (two fingerprints within two bits share one), where each joins the smallest
 of its meeting point. That is exact as well and costs 65 rows a fingerprint.
+
+Spark sizes exploded rows as the rows before them, 33 and 65 times too low, so
+joins over them are merges by hint: none is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -65,16 +68,16 @@ def links(prints: DataFrame) -> DataFrame:
         steps.append(F.when(digit(i) > 0, F.col("own") - F.lit(1 << 3 * i)))
     entered = prints.select("fp", own.alias("own")).select("fp", F.explode(F.array(*steps)).alias("cell")).filter("cell is not null")
     met = entered.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    entered = stored(entered.join(met, "cell"), "cells")
+    entered = stored(entered.join(met.hint("merge"), "cell"), "cells")
 
     few = entered.filter(F.col("n") <= CROWD).select("cell", "fp")
     a, b = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
-    near = a.join(b, (a["cell"] == b["cell"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
+    near = a.join(b.hint("merge"), (a["cell"] == b["cell"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
 
     crowded = entered.filter(F.col("n") > CROWD).select("fp").distinct()
     flipped = crowded.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("via"))
     first = flipped.groupBy("via").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    stars = flipped.join(first, "via").filter("a <> fp").select("a", F.col("fp").alias("b"))
+    stars = flipped.join(first.hint("merge"), "via").filter("a <> fp").select("a", F.col("fp").alias("b"))
     return near.unionByName(stars).distinct()
 
 

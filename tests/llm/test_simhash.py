@@ -108,3 +108,15 @@ def test_components_of_long_chains_and_stars(spark):
     assert len({found[i] for i in range(301)}) == 1 and len({found[1000 + i] for i in range(400)}) == 1
     assert len(set(found.values())) == 3
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_joins_over_exploded_rows_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes exploded rows as those before them, so a table far over the threshold would go through the driver."""
+    plans, whole = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, label))
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    prints = {flip(0x0F3C_55AA_1234_8001, a, b) for a in range(0, 64, 5) for b in range(a)}
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint"))
+    found.collect()  # the plan that ran: joins may change as sizes become known
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in plans)
