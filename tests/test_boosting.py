@@ -1,6 +1,7 @@
 """Boosted trees beside a plain version that tries every split of every leaf in turn."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerlife.operators import boosting
 from ledgerlife.operators.boosting import Boosting
+from ledgerlife.operators.boosting_rounds import xxhash
+from ledgerlife.plans import modelling
 
 
 def strength(g, h, s):
@@ -157,3 +160,32 @@ def test_bins_of_a_row_are_found_once(spark):
     plan = boosting.boosted_scores(model, df)._jdf.queryExecution().optimizedPlan().toString()
     walks = [line for line in plan.splitlines() if "lambdafunction(" in line]
     assert "bucketizer_" in plan and walks and not any("bucketizer_" in line[line.index("lambdafunction("):] for line in walks)
+
+
+def test_trees_do_not_depend_on_tasks_or_jobs(spark, monkeypatch):
+    """Rows in one task and dealt over eight, all rounds in one job and two a job: the very same trees."""
+    x, y = sample(500, 3, 13)
+    df = frame_of(spark, x, y)
+    s = Boosting(rounds=5, learning_rate=0.9, max_depth=4, min_child_samples=5, lambda_l2=1.0, row_share=0.7, column_share=0.75, seed=180656403)
+    one = boosting.fit_boosted(df, "y", list("abcd"), 3, s)
+    monkeypatch.setattr(boosting, "CELLS", 100)
+    monkeypatch.setattr(boosting, "ROUNDS_A_JOB", 2)
+    assert boosting._tasks(spark, 2000) == 8
+    assert boosting.fit_boosted(df, "y", list("abcd"), 3, s).rounds == one.rounds and len(one.rounds) == 5
+
+
+def test_rows_are_drawn_as_spark_hashes(spark):
+    ids = np.array([0, 1, -1, 7, 2**40 + 3, -(2**63), 2**63 - 1])
+    for seed in (0, 5, -3, 180656403, 2**40):
+        found = spark.createDataFrame([(int(i),) for i in ids], "id bigint").select("id", F.xxhash64("id", F.lit(seed), F.lit(11)).alias("h")).collect()
+        assert {r.id: r.h for r in found} == dict(zip(ids.tolist(), xxhash(ids, seed, 11).tolist()))
+
+
+def test_settle_query_boosts_all_its_rounds(spark, monkeypatch):
+    """The tuned configuration of the settle task has 1,199 rounds."""
+    asked, fit = [], boosting.fit_boosted
+    monkeypatch.setattr(boosting, "fit_boosted", lambda df, label, names, classes, s: asked.append(s.rounds) or fit(df, label, names, classes, replace(s, rounds=2)))
+    x, y = sample(200, 3, 17)
+    rows = frame_of(spark, x, y).withColumnRenamed("y", "settle_target")
+    monkeypatch.setattr(modelling, "settle_sets", lambda t: [rows, rows])
+    assert modelling.settle_boosted_trees(None).count() == 200 and asked == [1199]
